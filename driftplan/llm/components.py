@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -44,3 +48,55 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "hub")
     return _clean(edges.join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("hub").alias("a"), F.col("m").alias("b"))))
+
+
+def merge_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after links a-b: each root hooks to the smallest that it meets, until all agree."""
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return root
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        up = np.arange(len(root))
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def deal(rows: DataFrame, group: str, node: str, side: int) -> DataFrame:
+    """Members of each group of two or more as pairs of chunks (i, j) of about ``side`` members; own: the member's chunk.
+
+    A group under ``side`` is one piece; a larger one goes to many tasks, none of which holds more than two chunks.
+    """
+    sizes = cut(rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / F.lit(side)).cast("long").alias("chunks")), "group-sizes")
+    own = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(node), F.col("chunks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("chunks", "other")
+
+
+def by_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], schema: str, names: tuple[str, ...]) -> DataFrame:
+    """Sorts rows by long ``keys`` and hands ``work`` runs of whole groups as tables, with the places where groups begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            found = list(work(table, bounds)) or [tuple(np.zeros(0, np.int64) for _ in names)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            of = [table[k].to_numpy() for k in keys]
+            starts = np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in of])) + 1))
+            if starts[-1]:
+                yield done(table.slice(0, int(starts[-1])).combine_chunks(), starts)
+            held = table.slice(int(starts[-1])).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield done(table, np.array([0, table.num_rows]))
+
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

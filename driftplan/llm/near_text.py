@@ -7,19 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import segment
 from .common import cut, pieces
-from .components import components
+from .components import by_group, components, deal, merge_roots
 
 #: Coordinates of a signature, and how many two documents must share to be compared on full sets. At a similarity of
 #: exactly 0.75 a pair shares 24 of 32 on average and fewer than 13 with a chance of 5 in a million.
 COORDINATES, SHARED = 32, 13
-#: Lists up to this length are joined all against all; longer ones first link to pivots.
-SHORT_LIST, PIVOT_ROUNDS = 24, 3
+#: Documents of a list or family that one task takes on each side.
+LIST_SIDE, FAMILY_SIDE = 2_048, 512
 CHUNK_CHARS = 500_000
 
 
@@ -63,13 +62,13 @@ def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str =
 
     Every document posts its signature under (coordinate, value); values that nobody else has can't collide and are not
     posted. A document's postings are ordered from rare to common; as a pair must share at least 13 of its values, only the
-    first ones, all but 12, need lists (prefix), and lists whose documents are all connected already are left out (skip).
-    Along the lists, pairs with 13 collisions or more over whole signatures go on to an exact comparison of full sets.
-    Long lists link to a few pivots first, so that a large group becomes connected in linear work; afterwards only pairs
-    that are not connected yet are compared.
+    first ones, all but 12, need lists (prefix). Along each list, documents with 13 collisions or more over whole
+    signatures belong to one family, and pairs that are in one family already are skipped. Within families, pairs are
+    compared on full sets, those with most collisions first, and only while they aren't connected yet.
 
-    Documents with equal sets form one class from the start, so copies aren't expanded into pairs. Signatures must be
-    fitted to ``percent``: below 75, pairs near the threshold are lost more often.
+    Documents with equal sets form one class from the start. Long lists and large families are dealt as pairs of chunks;
+    tasks return spanning forests. So neither copies nor large families are expanded into pairs. Signatures are fitted to
+    ``percent`` 75: below, pairs near the threshold are lost more often.
 
     Null or wordless texts have no shingles and no links. Rows that repeat an id are one document that has all of their
     links. A row without id has no links and a null component. Returns one row per input row: ``id_col``, n_shingles,
@@ -79,9 +78,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str =
     signed = cut(source.mapInArrow(_sign(width), "id long, n long, f1 long, f2 long, signature array<int>"), "signatures")
     classes = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.max_by("signature", "id").alias("signature"), F.max("n").alias("n")), "classes")
     same = signed.where("n > 0 and id is not null").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    lists = _postings(classes)
-    sets = cut(_sets(source, lists.select("node").distinct(), width), "sets")
-    links = _links(lists, sets, percent)
+    links = _links(_families(_postings(classes), percent), source, width, percent)
     roots = cut(components(links.unionByName(same)), "components")
     root = F.coalesce("root", "id")
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
@@ -94,92 +91,129 @@ def _sign(width: int):
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
             sets = shingles(texts, width)
             prints = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
-            found = signatures(sets)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, COORDINATES), pa.int32()), pa.array(found.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), values], names=["id", "n", "f1", "f2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists(signatures(sets))], names=["id", "n", "f1", "f2", "signature"])
 
     return run
 
 
+def _lists(found: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, COORDINATES), pa.int32()), pa.array(found.ravel(), pa.int32()))
+
+
 def _postings(classes: DataFrame) -> DataFrame:
     """(list, node, n, signature): the prefix of every document's shared values, rarest first."""
-    token = lambda pos, v: F.shiftleft(pos.cast("long"), 32).bitwiseOR(v.cast("long"))
-    tokens = classes.select("node", F.posexplode("signature").alias("pos", "value")).select("node", token(F.col("pos"), F.col("value")).alias("list"))
+    token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long"))
+    tokens = classes.select("node", F.posexplode("signature").alias("pos", "value")).select("node", token.alias("list"))
     common = cut(tokens.groupBy("list").agg(F.count("*").alias("often")).where("often > 1"), "lists")
     own = tokens.join(common, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "list"))).alias("own")).where(F.size("own") >= SHARED)
     prefix = own.select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - F.lit(SHARED - 1))).alias("x")).select("node", "x.list")
-    held = classes.select("node", "n", "signature").groupBy("node").agg(F.max("n").alias("n"), F.max_by("signature", "n").alias("signature"))
+    held = classes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("signature", "n").alias("signature"))
     return cut(prefix.join(held, "node").select("list", "node", "n", "signature"), "postings")
 
 
-def _sets(source: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the documents that are in any list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text", CHUNK_CHARS):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(texts, width)], pa.binary())], names=["id", "hashes"])
-
-    chosen = source.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
-    return chosen.mapInArrow(run, "id long, hashes binary")
-
-
-def _collisions(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda total, hit: total + hit)
-
-
-def _alike(x: str, y: str, percent: int) -> Column:
-    """What a pair must meet before its sets are compared: sizes that allow the similarity, and enough collisions."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (_collisions(f"{x}.signature", f"{y}.signature") >= SHARED)
-
-
-def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    spark = lists.sparkSession
-    empty = spark.createDataFrame([], "a long, b long")
-    sized = lists.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
-    links, roots = empty, None
-    long = cut(lists.join(sized.where(f"size > {SHORT_LIST}").select("list"), "list", "left_semi"), "long-lists")
-    if not long.isEmpty():
-        for turn in range(PIVOT_ROUNDS):
-            open_ = _open(long, roots)
-            pivots = open_.groupBy("list").agg(F.min_by(F.struct("node", "n", "signature", "root"), F.xxhash64("node", F.lit(turn))).alias("p")).select("list", "p.*")
-            pairs = open_.alias("x").join(cut(pivots, "pivots").alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y", percent))
-            links = cut(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-            roots = cut(components(links), "roots")
-    rest = cut(_open(lists.join(sized.select("list"), "list", "left_semi"), roots), "open-lists")
-    each = rest.groupBy("list", "root").agg(F.count("*").alias("size"))
-    most = cut(each.groupBy("list").agg(F.max_by("root", F.struct("size", "root")).alias("most")), "most")
-    # documents of a list's largest connected part aren't compared among themselves
-    some = rest.join(most, "list").where("root <> most")
-    every = rest.withColumnRenamed("list", "of")
-    pairs = some.alias("x").join(every.alias("y"), (F.col("x.list") == F.col("y.of")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("x.most"))) & _alike("x", "y", percent))
-    return cut(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-
-
-def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of lists that hold more than one connected part."""
-    if roots is None:
-        return lists.withColumn("root", F.col("node"))
-    rooted = lists.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*lists.columns, F.coalesce("root", "node").alias("root"))
-    parts = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    return rooted.join(parts, "list", "left_semi")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    named = cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(rows, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                hit.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = named.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct()
+def _alike(signature: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs with collisions enough and sizes that allow the similarity, and how many collisions."""
+    out = []
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        hits = np.zeros((len(rows), len(right)), np.int16)
+        for k in range(signature.shape[1]):
+            hits += signature[rows, k][:, None] == signature[right, k][None, :]
+        a, b = np.nonzero(hits >= SHARED)
+        x, y = rows[a], right[b]
+        fit = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+        if within:
+            fit &= x < y
+        out.append((x[fit], y[fit], hits[a[fit], b[fit]]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (left, left, left)
+
+
+def _families(postings: DataFrame, percent: int) -> DataFrame:
+    """(node, root): documents that may be linked, directly or through others."""
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        node, n, own, i, j = (table[c].to_numpy() for c in ("node", "n", "own", "i", "j"))
+        signature = _matrix(table["signature"], table.num_rows)
+        edges = np.append(bounds, table.num_rows) if bounds[-1] != table.num_rows else bounds
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        two = two[(own[two] != own[two + 1]) | (i[two] == j[two])]
+        fit = ((signature[two] == signature[two + 1]).sum(1) >= SHARED) & (np.minimum(n[two], n[two + 1]) * 100 >= np.maximum(n[two], n[two + 1]) * percent)
+        yield node[two[fit]], node[two[fit] + 1]
+        for k in np.flatnonzero(size > 2):
+            at = np.arange(edges[k], edges[k + 1])
+            x, y, _ = _alike(signature, n, at[own[at] == i[at[0]]], at[own[at] == j[at[0]]], i[at[0]] == j[at[0]], percent)
+            root = merge_roots(np.arange(len(at)), x - at[0], y - at[0])
+            moved = root != np.arange(len(at))
+            yield node[at[moved]], node[at[root[moved]]]
+
+    dealt = deal(postings, "list", "node", LIST_SIDE)
+    pairs = by_group(dealt, ("list", "i", "j"), work, "a long, b long", ("a", "b"))
+    return cut(components(pairs), "families")
+
+
+def _links(families: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """A spanning forest of the links within each family."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text", CHUNK_CHARS):
+            sets = shingles(texts, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), _lists(signatures(sets))], names=["family", "node", "hashes", "signature"])
+
+    members = source.join(families, F.col("id") == F.col("node")).select(F.col("root").alias("family"), "node", "text")
+    sets = cut(members.mapInArrow(gather, "family long, node long, hashes binary, signature array<int>"), "sets")
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        node, own, i, j = (table[c].to_numpy() for c in ("node", "own", "i", "j"))
+        signature = _matrix(table["signature"], table.num_rows)
+        hashes = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["hashes"]]
+        n = np.array([len(h) for h in hashes], np.int64)
+        edges = np.append(bounds, table.num_rows) if bounds[-1] != table.num_rows else bounds
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = np.arange(a, b)
+            x, y, hits = _alike(signature, n, at[own[at] == i[a]], at[own[at] == j[a]], i[a] == j[a], percent)
+            root = _connect(x - a, y - a, hits, hashes[a:b], percent)
+            moved = root != np.arange(b - a)
+            yield node[at[moved]], node[at[root[moved]]]
+
+    dealt = deal(sets, "family", "node", FAMILY_SIDE)
+    return by_group(dealt, ("family", "i", "j"), work, "a long, b long", ("a", "b"))
+
+
+def _connect(x: np.ndarray, y: np.ndarray, hits: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
+    """Roots of the documents after comparing full sets of the pairs x-y, best first, as long as they aren't connected."""
+    root, turn = np.arange(len(hashes)), 1
+    order = np.lexsort((y, x, -hits))
+    x, y = x[order], y[order]
+    while len(x):
+        # the best pairs of every document that are left: one each, then twice as many each time
+        rank = _places(x)
+        now = (rank < turn) | (_places(y) < turn)
+        hit = [_similar(hashes[p], hashes[q], percent) for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True)]
+        root = merge_roots(root, x[now][hit], y[now][hit])
+        rest = ~now
+        rest[rest] = root[x[rest]] != root[y[rest]]
+        x, y, turn = x[rest], y[rest], 2 * turn
+    return root
+
+
+def _places(of: np.ndarray) -> np.ndarray:
+    """How many earlier entries are equal to each entry."""
+    order = np.argsort(of, kind="stable")
+    held = of[order]
+    first = np.concatenate(([True], held[1:] != held[:-1]))
+    out = np.empty(len(of), np.int64)
+    out[order] = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
+    return out
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)

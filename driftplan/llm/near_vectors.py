@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, merge_roots
 
 #: Vectors that codebooks and the number of visits are fitted on, at most, and queries among them.
 SAMPLE, QUERIES = 20_000, 1_000
 #: Vectors of a cell, about; members of a cell that one task takes on each side.
 PER_CELL, SIDE = 24, 4_096
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.9995
 TINY = 1e-12
 
 
@@ -189,23 +189,9 @@ def _meet(threshold: float):
             exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold if len(a) * x.shape[1] <= 4_000_000 else np.concatenate([np.einsum("ij,ij->i", x[p], x[q]) for p, q in zip(np.array_split(a, 64), np.array_split(b, 64), strict=True)]) >= threshold
             a, b = a[exact], b[exact]
             links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
-            root = _merge(root, a, b)
+            root = merge_roots(root, a, b)
         keep = (links > 0) | (root != np.arange(len(x)))
         return pa.table({"node": node[keep], "links": links[keep], "root": node[root[keep]]})
 
     return run
 
-
-def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots after links a-b: each root hooks to the smallest that it meets, until all agree."""
-    while True:
-        p, q = root[a], root[b]
-        apart = p != q
-        if not apart.any():
-            return root
-        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
-        up = np.arange(len(root))
-        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
-        while (up[up] != up).any():
-            up = up[up]
-        root = up[root]
