@@ -1,4 +1,442 @@
 """Queries over inventories, by name, and equivalent SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import digest, paths, text
+from .operators import diff, match
+from .plans import fixtures, reconcile
+from .sources import tables, wire
+
+SRC, DST = "/src", "/dst"
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+BASE = f"""
+WITH base AS ({fixtures.DERIVED.format(documents="documents")}),
+src0 AS (SELECT p AS path, t::BIGINT AS mtime, text AS content FROM base WHERE k <= 8),
+dst0 AS (
+  SELECT CASE k WHEN 4 THEN concat('old/', lang, '/doc_', doc_id, '.', lang) WHEN 5 THEN concat(CASE WHEN doc_id % 20 = 5 THEN 'zz' ELSE source END, '/renamed_', doc_id, '.', lang) ELSE p END AS path,
+    (CASE WHEN k IN (5, 6) THEN t + 3600 ELSE t END)::BIGINT AS mtime, CASE k WHEN 8 THEN text || 'x' ELSE text END AS content
+  FROM base WHERE k <> 7),
+arc0 AS (SELECT concat('/archive/', lang, '/', regexp_extract(p, '[^/]*$')) AS path, t::BIGINT AS mtime, text AS content FROM base WHERE k = 7 AND doc_id % 20 = 7),
+src AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM src0),
+dst AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM dst0),
+arc AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM arc0),
+orph AS (SELECT * FROM src s WHERE NOT EXISTS (SELECT 1 FROM dst d WHERE d.path = s.path AND d.size = s.size AND d.mtime = s.mtime)),
+cand AS (SELECT * FROM dst d WHERE EXISTS (SELECT 1 FROM orph o WHERE o.ext = d.ext AND o.size = d.size)),
+dirs AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS path FROM (SELECT string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS n FROM dst))
+"""
+SAMPLED = "CASE WHEN size <= 16384 THEN md5(content) ELSE md5(substr(hex(encode(content)), 1, 16384) || substr(hex(encode(content)), 2 * (size // 2) + 1, 8192) || substr(hex(encode(content)), 2 * (size - 4096) + 1, 8192)) END"
+MATCH = f"""{BASE},
+ho AS (SELECT path, size, mtime, ext, {SAMPLED} AS hash FROM orph),
+hc AS (SELECT path, size, mtime, ext, {SAMPLED} AS hash FROM cand),
+pairs AS (
+  SELECT o.path AS orphan, c.path AS candidate, o.size, o.mtime, c.mtime AS cand_mtime, s.path IS NOT NULL AS in_src,
+    coalesce(s.size = c.size AND s.mtime = c.mtime, false) AS synced,
+    CASE WHEN s.path IS NULL AND regexp_extract(o.path, '[^/]*$') = regexp_extract(c.path, '[^/]*$') THEN 0 WHEN s.path IS NULL THEN 1 ELSE 2 END AS cls
+  FROM ho o JOIN hc c ON o.ext = c.ext AND o.size = c.size AND o.hash = c.hash LEFT JOIN src s ON s.path = c.path),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY orphan ORDER BY cls, candidate) = 1),
+picked AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY orphan) AS rn FROM best)"""
+
+
+def parent(column: str) -> str:
+    return f"CASE WHEN {column} LIKE '%/%' THEN regexp_replace({column}, '/[^/]*$', '') ELSE '.' END"
+
+
+def plan_sql(mode: str, copy: bool, archive: bool = False, dirs: bool = False) -> str:
+    local, copy = mode == match.LOCAL, copy or archive
+    usable = "(in_src OR rn > 1)" if local else "in_src"
+    ranks = {k: v for k, v in reconcile.PHASES[mode].items()}
+    return f"""{MATCH},
+moved AS (SELECT * FROM picked WHERE NOT in_src AND rn = 1),
+copied AS (SELECT * FROM picked WHERE candidate <> orphan AND {usable} AND {str(copy).lower()}),
+touched AS (
+  SELECT * FROM picked WHERE cand_mtime <> mtime AND NOT synced {"AND (in_src OR rn = 1)" if local else ""}
+  QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY orphan) = 1),
+wanted AS (SELECT orphan FROM {"moved" if local else "picked WHERE NOT in_src"} UNION ALL SELECT orphan FROM copied),
+made AS (
+  SELECT {parent("orphan")} AS path, min(orphan) AS orphan FROM wanted GROUP BY 1
+  {"HAVING path <> '.' AND path NOT IN (SELECT path FROM dirs)" if local else ""}),
+unmatched AS (SELECT * FROM ho WHERE path NOT IN (SELECT orphan FROM moved UNION ALL SELECT orphan FROM copied)),
+ha AS (SELECT path, size, ext, {SAMPLED} AS hash FROM arc),
+hit AS (
+  SELECT u.path AS orphan, u.size, u.mtime, a.path AS archive_path FROM unmatched u JOIN ha a ON u.ext = a.ext AND u.size = a.size AND u.hash = a.hash
+  QUALIFY row_number() OVER (PARTITION BY u.path ORDER BY a.path) = 1),
+fresh AS (SELECT {parent("orphan")} AS path, min(orphan) AS orphan FROM hit GROUP BY 1 HAVING path <> '.' AND path NOT IN (SELECT path FROM dirs) AND path NOT IN (SELECT path FROM made)),
+sdirs AS (SELECT array_to_string(parts[1:n], '/') AS path, max(mtime) AS mtime FROM (SELECT string_split(path, '/') AS parts, mtime, unnest(range(1, len(string_split(path, '/')))) AS n FROM src) GROUP BY 1),
+ddirs AS (SELECT array_to_string(parts[1:n], '/') AS path, max(mtime) AS mtime FROM (SELECT string_split(path, '/') AS parts, mtime, unnest(range(1, len(string_split(path, '/')))) AS n FROM dst) GROUP BY 1),
+dtouch AS (SELECT s.path, s.mtime FROM sdirs s JOIN ddirs d ON s.path = d.path AND s.mtime <> d.mtime),
+actions AS (
+  SELECT 'match' AS phase, 'touch' AS kind, orphan, orphan AS from_path, candidate AS to_path, mtime, size AS bytes_saved FROM touched
+  UNION ALL SELECT 'match', 'mkdir', orphan, NULL, path, NULL, 0 FROM made
+  UNION ALL SELECT 'match', 'move', orphan, candidate, orphan, NULL, size FROM moved
+  UNION ALL SELECT 'match', 'copy', orphan, candidate, orphan, mtime, size FROM copied
+  UNION ALL SELECT 'archive', 'mkdir', orphan, NULL, path, NULL, 0 FROM fresh WHERE {str(archive).lower()}
+  UNION ALL SELECT 'archive', 'copy', orphan, archive_path, orphan, mtime, 0 FROM hit WHERE {str(archive).lower()}
+  UNION ALL SELECT 'dirs', 'touch', path, path, path, mtime, 0 FROM dtouch WHERE {str(dirs).lower()}),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY CASE phase WHEN 'match' THEN {ranks["match"]} WHEN 'archive' THEN {ranks["archive"]} ELSE {ranks["dirs"]} END, orphan,
+    CASE kind WHEN 'touch' THEN 0 WHEN 'mkdir' THEN 1 ELSE 2 END, kind, to_path) AS emit_seq FROM actions),
+placed AS (SELECT *, row_number() OVER (ORDER BY dest_dir, emit_seq) AS exec_seq FROM (SELECT *, {parent("CASE WHEN kind = 'mkdir' THEN to_path ELSE to_path END")} AS dest_dir FROM ordered)),
+executed AS (
+  SELECT p.* EXCLUDE (from_path), coalesce(m.to_path, p.from_path) AS from_path FROM placed p
+  LEFT JOIN placed m ON p.kind = 'copy' AND p.phase = 'match' AND m.kind = 'move' AND m.from_path = p.from_path AND m.exec_seq < p.exec_seq)"""
+
+
+FULL = plan_sql(match.LOCAL, True, True, True)
+COPY = plan_sql(match.LOCAL, True)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _src(spark, sf_dir):
+    return fixtures.source(spark, sf_dir)
+
+
+def _dst(spark, sf_dir):
+    return fixtures.destination(spark, sf_dir)
+
+
+def _plan(spark: SparkSession, sf_dir: str, **more) -> reconcile.Plan:
+    return reconcile.reconcile(_src(spark, sf_dir), _dst(spark, sf_dir), digest.fuzzy_hash(F.col("content")), **more)
+
+
+def _full(spark: SparkSession, sf_dir: str) -> reconcile.Plan:
+    src, dst = _src(spark, sf_dir), _dst(spark, sf_dir)
+    return reconcile.reconcile(src, dst, digest.fuzzy_hash(F.col("content")), archives=fixtures.archive(spark, sf_dir), directory_times=(diff.directories(src), diff.directories(dst)))
+
+
+@query(f"{plan_sql(match.LOCAL, False)} SELECT kind, count(*) AS actions, sum(bytes_saved)::BIGINT AS bytes_saved FROM actions GROUP BY kind")
+def plan_summary(spark, sf_dir):
+    return reconcile.plan_summary(_plan(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT path, size, mtime FROM orph")
+def find_orphans(spark, sf_dir):
+    return diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content"))
+
+
+@query(f"{BASE} SELECT path, size, mtime FROM cand")
+def find_candidates(spark, sf_dir):
+    dst = _dst(spark, sf_dir).drop("content")
+    return diff.candidates(dst, diff.orphans(_src(spark, sf_dir).drop("content"), dst))
+
+
+@query(f"{MATCH} SELECT orphan, candidate, in_src, synced, cls FROM pairs")
+def digest_match(spark, sf_dir):
+    p = _plan(spark, sf_dir)
+    return match.pairs(p.orphans, p.candidates, _src(spark, sf_dir).drop("content")).select("orphan", "candidate", "in_src", "synced", "cls")
+
+
+@query(f"{MATCH} SELECT orphan, candidate, in_src, synced, cls, rn = 1 AS first FROM picked")
+def pick_best(spark, sf_dir):
+    return _plan(spark, sf_dir).picked.select("orphan", "candidate", "in_src", "synced", "cls", "first")
+
+
+def _of(kind: str, columns: str = "from_path, to_path, mtime, bytes_saved"):
+    return lambda plan: plan.actions.where(F.col("kind") == kind).select(*columns.split(", "))
+
+
+for _kind in ("touch", "move", "copy", "mkdir"):
+    QUERIES[f"act_{_kind}"] = lambda spark, sf_dir, kind=_kind: _of(kind)(_plan(spark, sf_dir, copy_duplicates=True))
+    ORACLES[f"act_{_kind}"] = f"{COPY} SELECT from_path, to_path, mtime, bytes_saved FROM actions WHERE kind = '{_kind}'"
+
+
+@query(f"{plan_sql(match.AGENT, True)} SELECT kind, from_path, to_path, mtime, bytes_saved FROM actions")
+def agent_actions(spark, sf_dir):
+    return _plan(spark, sf_dir, mode=match.AGENT, copy_duplicates=True).actions.select("kind", "from_path", "to_path", "mtime", "bytes_saved")
+
+
+@query(f"{COPY} SELECT sum(bytes_saved)::BIGINT AS savings FROM actions")
+def savings(spark, sf_dir):
+    return _plan(spark, sf_dir, copy_duplicates=True).actions.agg(F.sum("bytes_saved").alias("savings"))
+
+
+@query(f"{COPY} SELECT path, size, mtime FROM unmatched")
+def unmatched_orphans(spark, sf_dir):
+    return _plan(spark, sf_dir, copy_duplicates=True).unmatched.select("path", "size", "mtime")
+
+
+@query(f"{FULL} SELECT kind, from_path, to_path, mtime FROM actions WHERE phase = 'archive'")
+def archive_actions(spark, sf_dir):
+    return _full(spark, sf_dir).actions.where("phase = 'archive'").select("kind", "from_path", "to_path", "mtime")
+
+
+@query(f"{BASE} SELECT 0 AS archive_ord, path, size, mtime FROM arc")
+def archive_scan(spark, sf_dir):
+    return fixtures.archive(spark, sf_dir).select("archive_ord", "path", "size", "mtime")
+
+
+@query(f"{FULL} SELECT path, mtime FROM dtouch")
+def dir_touch(spark, sf_dir):
+    return diff.directory_touches(diff.directories(_src(spark, sf_dir)), diff.directories(_dst(spark, sf_dir)))
+
+
+@query(f"{FULL} SELECT emit_seq, phase, kind, from_path, to_path, mtime, bytes_saved FROM ordered")
+def full_plan(spark, sf_dir):
+    return _full(spark, sf_dir).ordered().select("emit_seq", "phase", "kind", "from_path", "to_path", "mtime", "bytes_saved")
+
+
+@query(f"{FULL} SELECT exec_seq, emit_seq, kind, dest_dir, to_path FROM executed")
+def exec_order(spark, sf_dir):
+    return _full(spark, sf_dir).executed().select("exec_seq", "emit_seq", "kind", "dest_dir", "to_path")
+
+
+@query(f"{FULL} SELECT exec_seq, from_path, to_path FROM executed WHERE kind = 'copy'")
+def copy_redirect(spark, sf_dir):
+    return _full(spark, sf_dir).executed().where("kind = 'copy'").select("exec_seq", "from_path", "to_path")
+
+
+@query(f"{BASE} SELECT 'source' AS side, count(*) AS files, sum(size)::BIGINT AS total_size FROM src UNION ALL SELECT 'destination', count(*), sum(size)::BIGINT FROM dst")
+def inventory_summary(spark, sf_dir):
+    return diff.summary(_src(spark, sf_dir).withColumn("side", F.lit("source")).unionByName(_dst(spark, sf_dir).withColumn("side", F.lit("destination"))))
+
+
+@query(f"{MATCH} SELECT ext, size, count(*) AS files, string_agg(path, '|' ORDER BY path) AS paths FROM hc GROUP BY ext, size, hash")
+def duplicate_groups(spark, sf_dir):
+    groups = _plan(spark, sf_dir).candidates.groupBy("ext", "size", "hash").agg(F.sort_array(F.collect_list("path")).alias("all"))
+    return groups.select("ext", "size", F.size("all").cast("long").alias("files"), F.array_join("all", "|").alias("paths"))
+
+
+@query(f"{BASE} SELECT ext, size, count(*) AS orphans, min(path) AS first FROM orph GROUP BY ext, size")
+def orphans_by_key(spark, sf_dir):
+    lost = diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content"))
+    return lost.groupBy(paths.extension(F.col("path")).alias("ext"), "size").agg(F.count("*").alias("orphans"), F.min("path").alias("first"))
+
+
+CRC = f"""{BASE}, tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+part AS (SELECT path, ext, size, CASE WHEN size <= 16384 THEN hex(encode(content)) ELSE substr(hex(encode(content)), 1, 16384) || substr(hex(encode(content)), 2 * (size // 2) + 1, 8192) || substr(hex(encode(content)), 2 * (size - 4096) + 1, 8192) END AS h FROM src),
+crc AS (SELECT path, ext, size, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS c FROM part, tbl)
+SELECT path, ext, size, CASE WHEN size <= 16384 THEN 'f' ELSE 's' END || lpad(lower(to_hex(c)), 8, '0') AS fuzzy_hash FROM crc"""
+
+
+def _digests(spark, sf_dir, some: str) -> DataFrame:
+    return _src(spark, sf_dir).where(some).select("path", paths.extension(F.col("path")).alias("ext"), "size", digest.fuzzy_hash(F.col("content")).alias("fuzzy_hash"))
+
+
+@query(f"{CRC} WHERE size <= 16384")
+def digest_small(spark, sf_dir):
+    return _digests(spark, sf_dir, "size <= 16384")
+
+
+@query(f"{CRC} WHERE size > 16384")
+def digest_sampled(spark, sf_dir):
+    return _digests(spark, sf_dir, "size > 16384")
+
+
+@query(f"{BASE} SELECT path, size, mtime FROM src")
+def scan_files(spark, sf_dir):
+    return _src(spark, sf_dir).select("path", "size", "mtime")
+
+
+@query(f"{FULL} SELECT path, mtime FROM sdirs")
+def scan_dirs(spark, sf_dir):
+    return diff.directories(_src(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT path || ',' || size || ',' || mtime AS line FROM src")
+def list_csv(spark, sf_dir):
+    return _src(spark, sf_dir).select(F.concat_ws(",", F.when(F.col("path").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("path")), "size", "mtime").alias("line"))
+
+
+COMMAND = f"""{COPY}, said AS (SELECT emit_seq AS seq, CASE kind
+  WHEN 'touch' THEN 'touch -r "{SRC}/' || from_path || '" "{DST}/' || to_path || '"'
+  WHEN 'mkdir' THEN 'mkdir -p -v "{DST}/' || to_path || '"'
+  WHEN 'move' THEN 'mv -v -n "{DST}/' || from_path || '" "{DST}/' || to_path || '"'
+  ELSE 'cp -pv "{DST}/' || from_path || '" "{DST}/' || to_path || '" && touch -m -a -t "' || strftime(make_timestamp(mtime * 1000000), '%Y%m%d%H%M.%S') || '" "{DST}/' || to_path || '"' END AS command FROM ordered)"""
+
+
+def _script(spark, sf_dir) -> DataFrame:
+    return reconcile.commands(_plan(spark, sf_dir, copy_duplicates=True).ordered(), SRC, DST).select(F.col("emit_seq").alias("seq"), "command")
+
+
+@query(f"{COMMAND} SELECT seq, command FROM said")
+def script_lines(spark, sf_dir):
+    return _script(spark, sf_dir)
+
+
+@query(f"{COMMAND} SELECT seq, 'ssh user@host ''' || replace(command, '''', '''\\''''') || '''' AS command FROM said")
+def script_lines_ssh(spark, sf_dir):
+    return _script(spark, sf_dir).withColumn("command", reconcile.over_ssh(F.col("command"), "user@host"))
+
+
+@query(f"{COPY}, n AS (SELECT count(*) AS total FROM executed) SELECT exec_seq, printf('%4d/%d ', exec_seq, total) || CASE kind WHEN 'touch' THEN 'propagate timestamp of \"' || from_path || '\" to \"' || to_path || '\"' WHEN 'mkdir' THEN 'create directory \"' || to_path || '\"' WHEN 'move' THEN 'rename/move file from \"' || from_path || '\" to \"' || to_path || '\"' ELSE 'copy file \"' || from_path || '\" to \"' || to_path || '\"' END || ': skipping (dry run)' AS line FROM executed, n")
+def action_log_lines(spark, sf_dir):
+    rows = _plan(spark, sf_dir, copy_duplicates=True).executed()
+    return rows.select("exec_seq", reconcile.log_lines(rows, F.lit(rows.count())).alias("line"))
+
+
+@query(f"{COPY} SELECT kind || chr(1) || CASE kind WHEN 'move' THEN from_path ELSE to_path END AS key, count(*) AS n FROM actions GROUP BY 1")
+def action_keys(spark, sf_dir):
+    rows = _plan(spark, sf_dir, copy_duplicates=True).actions
+    return rows.groupBy(reconcile.uniqueness(rows).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(f"{COPY} SELECT count(*) AS actions, count(*) AS successes, sum(bytes_saved)::BIGINT AS bytes_saved FROM actions")
+def dry_run_summary(spark, sf_dir):
+    return _plan(spark, sf_dir, copy_duplicates=True).actions.agg(F.count("*").alias("actions"), F.count("*").alias("successes"), F.sum("bytes_saved").alias("bytes_saved"))
+
+
+@query(f"""{COPY} SELECT emit_seq, '{{"type":"' || CASE kind WHEN 'touch' THEN 'propagate_timestamp' WHEN 'mkdir' THEN 'make_directory' WHEN 'move' THEN 'move_file' ELSE 'copy_file' END || '"'
+  || coalesce(',"source_path":"' || from_path || '"', '') || ',"dest_path":"' || to_path || '"' || coalesce(',"mod_timestamp":' || mtime, '') || '}}' AS spec FROM ordered""")
+def action_specs(spark, sf_dir):
+    return wire.action_specs(_plan(spark, sf_dir, copy_duplicates=True).ordered()).select("emit_seq", "spec")
+
+
+def _inventory(spark, sf_dir) -> DataFrame:
+    src = _src(spark, sf_dir)
+    return src.select("path", "size", "mtime", F.lit(False).alias("is_dir")).unionByName(diff.directories(src).select("path", F.lit(0).cast("long").alias("size"), "mtime", F.lit(True).alias("is_dir")))
+
+
+@query(f"{FULL} SELECT path, size, mtime, false AS is_dir FROM src UNION ALL SELECT path, 0, mtime, true FROM sdirs")
+def agent_walk_decode(spark, sf_dir):
+    return wire.walk_rows(wire.walk_lines(_inventory(spark, sf_dir), 100))
+
+
+@query(f"{FULL} SELECT (SELECT count(*) FROM src)::BIGINT AS files, (SELECT count(*) FROM sdirs)::BIGINT AS dirs, (SELECT sum(size) FROM src)::BIGINT AS total_size")
+def agent_walk_encode(spark, sf_dir):
+    sent = wire._payload(wire.walk_lines(_inventory(spark, sf_dir), 100), "walk_response", wire.WALK, "value")
+    return sent.agg(F.sum(F.size("files")).cast("long").alias("files"), F.sum(F.size("dirs")).cast("long").alias("dirs"), F.sum("total_size").alias("total_size"))
+
+
+@query(f"{BASE} SELECT path, ext, size FROM orph")
+def agent_digest_decode(spark, sf_dir):
+    entry = F.struct(F.col("ext").alias("file_extension"), F.col("size").alias("file_size"), F.col("hash").alias("file_fuzzy_hash"))
+    lines = _plan(spark, sf_dir).orphans.select(wire.envelope("digest_response", F.to_json(F.struct(F.create_map("path", entry).alias("digests")))).alias("value"))
+    return wire.digest_rows(lines).select("path", "ext", "size")
+
+
+@query(f"{BASE} SELECT path FROM src WHERE NOT list_has_any(string_split(path, '/'), ['src3', 'fr', 'doc_1.en'])")
+def filter_exclusions(spark, sf_dir):
+    return diff.excluded(_src(spark, sf_dir).select("path"), ["src3", "fr", "doc_1.en"])
+
+
+#: Names that exercise the scalar functions; the same text runs in either dialect.
+NAMES = r"""SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN concat(source, '/.bashrc') WHEN 1 THEN concat('foo', doc_id, '.') WHEN 2 THEN concat('a.b/c', doc_id)
+  WHEN 3 THEN concat('x/ARCHIVE_', doc_id, '.TAR.Gz') WHEN 4 THEN concat(source, '/._', doc_id, '.txt') WHEN 5 THEN concat('._dir/', doc_id) WHEN 6 THEN concat(source, '/a b$', doc_id, '`"!.md')
+  WHEN 7 THEN concat(lang, '/', source, '/d', doc_id % 3, '/deep/f', doc_id, '.ÉX') WHEN 8 THEN 'plain' WHEN 9 THEN concat('tab', chr(9), 'bell', chr(7), doc_id) WHEN 10 THEN concat('c1', chr(144), chr(127), doc_id % 7)
+  ELSE concat(lang, '/doc', doc_id, '.', lang) END AS path FROM {documents}"""
+NAMED = f"WITH names AS ({NAMES.format(documents='documents')}) SELECT doc_id, "
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    return spark.sql(NAMES, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _scalar(name: str, column, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _names(spark, sf_dir).select("doc_id", column(F.col("path")).alias("value"))
+    ORACLES[name] = f"{NAMED}{sql} AS value FROM names"
+
+
+_scalar("fn_ext", paths.extension, r"lower(regexp_extract(path, '\.[^./]*$'))")
+_scalar("fn_basename", paths.basename, "regexp_extract(path, '[^/]*$')")
+_scalar("fn_parent", paths.parent, parent("path"))
+_scalar("fn_relpath", lambda p: paths.relative(F.lit("en"), F.concat(F.lit("en"), F.lit("/"), p)), "path")
+_scalar("fn_sanitize", text.sanitized, r"array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN (unicode(c) < 32 AND unicode(c) <> 9 AND unicode(c) >= 0) OR unicode(c) BETWEEN 127 AND 159 THEN '\u' || lpad(upper(to_hex(unicode(c))), 4, '0') ELSE c END), '')")
+_scalar("fn_shell_escape", text.shell_escaped, r"""replace(replace(replace(replace(replace(path, '\', '\\'), '"', '\"'), '!', '\!'), '`', '\`'), '$', '\$')""")
+
+
+@query(f"{NAMED} path FROM names WHERE NOT starts_with(regexp_extract(path, '[^/]*$'), '._')")
+def filter_appledouble(spark, sf_dir):
+    return diff.without_apple_doubles(_names(spark, sf_dir))
+
+
+TREE = """SELECT path, CASE WHEN path = 'src4' THEN 7 WHEN path = 'src5/en' THEN 9 ELSE 1 END AS dev, is_dir FROM {rows}"""
+
+
+@query(f"{FULL}, tree AS ({TREE.format(rows='(SELECT path, false AS is_dir FROM src UNION ALL SELECT path, true FROM sdirs)')}) SELECT path FROM tree WHERE path <> 'src4' AND NOT starts_with(path, 'src4/') AND path <> 'src5/en' AND NOT starts_with(path, 'src5/en/')")
+def filter_one_fs(spark, sf_dir):
+    return diff.one_file_system(spark.sql(TREE, rows=_inventory(spark, sf_dir)), 1).select("path")
+
+
+SIZES = "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN doc_id WHEN 1 THEN 1023 + doc_id % 5 WHEN 2 THEN doc_id * 1125 WHEN 3 THEN n_chars * 1048576 WHEN 4 THEN -1 WHEN 5 THEN n_chars * 12345678901 WHEN 6 THEN n_chars * 23456789012345 ELSE 2341234123412341234 END AS size FROM {documents}"
+
+
+def _size_sql(base: int, units: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN size < {base ** (k + 1)} THEN printf('%.2f {units[k]}', size::DOUBLE / {base**k}::DOUBLE)" for k in range(1, 6))
+    return f"WITH s AS ({SIZES.format(documents='documents')}) SELECT doc_id, CASE WHEN size < 0 THEN '' WHEN size < {base} THEN size || ' B' {cases} ELSE printf('%.2f {units[6]}', size::DOUBLE / {base**6}::DOUBLE) END AS value FROM s"
+
+
+for _name, _f, _base_, _units in (("fn_binary_format", text.binary_size, 1024, text.BINARY_UNITS), ("fn_decimal_format", text.decimal_size, 1000, text.DECIMAL_UNITS)):
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: spark.sql(SIZES, documents=spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", f(F.col("size")).alias("value"))
+    ORACLES[_name] = _size_sql(_base_, _units)
+
+VERSIONS = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat('v1.10.', doc_id % 9) WHEN 1 THEN concat('1.', doc_id % 20, '.0') WHEN 2 THEN '2.0.0' WHEN 3 THEN '1.10' WHEN 4 THEN 'dev' WHEN 5 THEN concat(doc_id % 3, '.10.6') ELSE '1.10.x' END AS version FROM {documents}"
+
+
+@query(f"WITH v AS ({VERSIONS.format(documents='documents')}), p AS (SELECT *, string_split(regexp_replace(version, '^v', ''), '.') AS n FROM v) SELECT doc_id, coalesce(len(n) = 3 AND (TRY_CAST(n[1] AS INT), TRY_CAST(n[2] AS INT), TRY_CAST(n[3] AS INT)) >= (1, 10, 6) AND TRY_CAST(n[1] AS INT) IS NOT NULL AND TRY_CAST(n[2] AS INT) IS NOT NULL AND TRY_CAST(n[3] AS INT) IS NOT NULL, false) AS ok FROM p")
+def version_gate(spark, sf_dir):
+    rows = spark.sql(VERSIONS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", text.version_at_least(F.col("version"), (1, 10, 6)).alias("ok"))
+
+
+ARGS = "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN concat('/abs/', doc_id) WHEN 1 THEN './rel:x' WHEN 2 THEN 'plain' WHEN 3 THEN concat('host', doc_id, ':/data') WHEN 4 THEN 'me@host:2222:/data' WHEN 5 THEN ':/nohost' WHEN 6 THEN 'me@:/x' WHEN 7 THEN 'host:' WHEN 8 THEN 'host:99999:/p' ELSE '' END AS arg FROM {documents}"
+LOCATED = f"""WITH a AS ({ARGS.format(documents='documents')}), l AS (SELECT *, CASE doc_id % 10 WHEN 3 THEN true WHEN 4 THEN true WHEN 8 THEN true ELSE false END AS is_remote, CASE doc_id % 10 WHEN 4 THEN 'me' ELSE '' END AS "user",
+  CASE doc_id % 10 WHEN 3 THEN 'host' || doc_id WHEN 4 THEN 'host' WHEN 8 THEN 'host' ELSE '' END AS host, CASE doc_id % 10 WHEN 4 THEN 2222 ELSE 0 END AS port,
+  CASE doc_id % 10 WHEN 0 THEN arg WHEN 1 THEN arg WHEN 2 THEN arg WHEN 3 THEN '/data' WHEN 4 THEN '/data' WHEN 8 THEN '99999:/p' ELSE '' END AS path,
+  CASE doc_id % 10 WHEN 5 THEN 'empty host' WHEN 6 THEN 'empty host' WHEN 7 THEN 'empty path' WHEN 9 THEN 'empty path argument' END AS error FROM a)"""
+
+
+def _located(spark, sf_dir) -> DataFrame:
+    return spark.sql(ARGS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", text.location(F.col("arg")).alias("l"))
+
+
+@query(f"""{LOCATED} SELECT doc_id, is_remote, "user", host, port, path, error, host || ':' || CASE WHEN port = 0 THEN '22' ELSE port::VARCHAR END AS addr, CASE WHEN "user" <> '' THEN "user" || '@' || host ELSE host END AS spec FROM l""")
+def parse_location(spark, sf_dir):
+    return _located(spark, sf_dir).select("doc_id", "l.*", text.ssh_address(F.col("l")).alias("addr"), text.ssh_spec(F.col("l")).alias("spec"))
+
+
+@query(f"""{LOCATED} SELECT doc_id, CASE WHEN "user" <> '' THEN '-l ' || "user" || ' ' ELSE '' END || CASE WHEN port <> 0 THEN '-p ' || port || ' ' ELSE '' END || '-i /key -T ' || host AS args FROM l WHERE is_remote""")
+def ssh_args(spark, sf_dir):
+    return _located(spark, sf_dir).where("l.is_remote").select("doc_id", F.array_join(text.ssh_arguments(F.col("l"), F.lit("/key")), " ").alias("args"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 70 > 3 THEN (doc_id % 70) // 2 - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END ELSE 1 END AS source, CASE WHEN doc_id % 70 > 3 THEN (doc_id % 70) // 2 ELSE 1 END AS destination FROM documents")
+def fn_parallelism(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.parallelism(F.col("doc_id") % 70).alias("p")).select("doc_id", "p.*")
+
+
+@query("SELECT DISTINCT trim(x) AS name FROM (SELECT unnest(string_split(replace(l, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM (SELECT ' ' || source || chr(13) || chr(10) || chr(10) || lang || '  ' AS l FROM documents)) WHERE trim(x) <> ''")
+def exclusion_parse(spark, sf_dir):
+    return tables.exclusions(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("concat(' ', source, '\r\n\n', lang, '  ') AS value"))
+
+
+MOUNTS = r"SELECT DISTINCT concat('/dev/', source, '  /mnt/', source, '\040disk ext', {n}, ' rw') AS value FROM {documents}"
+MOUNTED = r"WITH mounts AS (SELECT DISTINCT '/mnt/' || source || ' disk' AS mountpoint, 'ext4' AS fstype FROM documents)"
+
+
+def _mounts(spark, sf_dir) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("/dev/"), "source", F.lit("  /mnt/"), "source", F.lit("\\040disk\text4 rw")).alias("value")).distinct()
+    return tables.mounts(lines)
+
+
+@query(f"{MOUNTED} SELECT mountpoint, fstype FROM mounts")
+def mount_parse(spark, sf_dir):
+    return _mounts(spark, sf_dir)
+
+
+@query(f"{MOUNTED}, every AS (SELECT * FROM mounts UNION ALL SELECT '/', 'rootfs'), p AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN '/mnt/' || source || ' disk/' || doc_id ELSE '/mnt/' || source || ' diskette' END AS path FROM documents) SELECT path, mountpoint, fstype FROM p JOIN every ON mountpoint = '/' OR path = mountpoint OR starts_with(path, mountpoint || '/') QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(mountpoint) DESC) = 1")
+def mount_lookup(spark, sf_dir):
+    every = _mounts(spark, sf_dir).unionByName(spark.createDataFrame([("/", "rootfs")], "mountpoint string, fstype string"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("CASE WHEN doc_id % 2 = 0 THEN concat('/mnt/', source, ' disk/', doc_id) ELSE concat('/mnt/', source, ' diskette') END AS path").distinct()
+    return tables.mount_of(rows, every)
+
+
+@query()
+def scan_inventory(spark, sf_dir):
+    """The tables' own folder as a file tree; mtimes depend on the machine, so there is no SQL for it."""
+    from .sources.filetree import FileTree
+
+    spark.dataSource.register(FileTree)
+    return spark.read.format("filetree").option("root", sf_dir).load().select("path", "size", "is_dir")
