@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_exact, language, mixing, near_text, near_vectors, packing, private, quality, token_counts
+from . import dedup_exact, language, mixing, near_text, near_vectors, packing, private, quality, repeats, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = _documents(spark, sf_dir), language.held_out("doc_id", 5, 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out).select("doc_id", "quality")
@@ -60,7 +64,7 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(private.find_private(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_packing, op5_quality, op6_language, op7_near_text, op8_near_vectors, op9_token_counts, op10_private)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_packing, op4_repeats, op5_quality, op6_language, op7_near_text, op8_near_vectors, op9_token_counts, op10_private)}
 
 ORACLES = {
     "op1_mixing": r"""
