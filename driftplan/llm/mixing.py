@@ -9,7 +9,7 @@ from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one task sums up, about.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 
 
 def word_count(text: Column) -> Column:
