@@ -17,7 +17,7 @@ from . import segment
 from .common import cut, partitions, pieces, safe_parts
 
 #: Characters of text in a block, and in one array while a block is built.
-BLOCK_CHARS, CHUNK_CHARS = 16_000_000, 1_000_000
+BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 500_000
 #: Strings that the library's file lists as special tokens: each counts as one token wherever it stands.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 TABLE = "block long, bucket int, body binary"
@@ -38,25 +38,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, part, seq = Tokenizer.from_file(tokenizer_path), TaskContext.get().partitionId(), 0
-        block = _Block(tokenizer)
+        part, seq = TaskContext.get().partitionId(), 0
+        block = _Block(tokenizer_path)
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
             block.add(batch.column(0).to_pylist(), texts)
             if block.chars >= BLOCK_CHARS:
                 yield block.rows((part << 32) + seq, buckets)
-                block, seq = _Block(tokenizer), seq + 1
+                block, seq = _Block(tokenizer_path), seq + 1
         if block.ids:
             yield block.rows((part << 32) + seq, buckets)
 
     def answer(table: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
-        bodies = [_unpack(b) for b in table["body"].to_pylist()]
-        hashes = [np.frombuffer(b[0], np.uint64) for b in bodies]
+        lists = [_unpack(b)[0].decode("utf-8", "surrogatepass").split("\n") for b in table["body"].to_pylist()]
+        hashes = [segment.span_hashes(points, at[:-1], at[1:]) for points, at in map(segment.code_points, lists)]
         distinct, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        words = np.array([w for b in bodies for w in b[1].decode("utf-8", "surrogatepass").split("\n")] if len(distinct) else [], object)[first]
+        words = np.array([w for own in lists for w in own], object)[first]
         tokenizer, n = Tokenizer.from_file(tokenizer_path), np.zeros(len(distinct), np.uint32)
         for i in range(0, len(words), 10_000):
             n[i : i + 10_000] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + 10_000].tolist(), add_special_tokens=False)]
@@ -102,8 +100,8 @@ def _unpack(body: bytes) -> list[bytes]:
 class _Block:
     """Documents with their pre-token frequencies."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.chars, self.ids, self.sizes, self.base = tokenizer, 0, [], [], []
+    def __init__(self, tokenizer_path: str):
+        self.path, self.library, self.chars, self.ids, self.sizes, self.base = tokenizer_path, None, 0, [], [], []
         self.words: dict[int, str] = {}
         self.docs, self.hashes, self.often = [], [], []
 
@@ -129,9 +127,13 @@ class _Block:
             starts, ends = segment.word_bpe_spans(points, offsets)
             of = np.array([d for d, _ in fast])[np.searchsorted(offsets, starts, "right") - 1] if len(starts) else starts
             self._count(of, points, starts, ends, "".join(lower))
+        if odd and self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         for doc, text in odd:
-            text = self.tokenizer.normalizer.normalize_str(text)
-            spans = np.array([s for _, s in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)], np.int64).reshape(-1, 2)
+            text = self.library.normalizer.normalize_str(text)
+            spans = np.array([s for _, s in self.library.pre_tokenizer.pre_tokenize_str(text)], np.int64).reshape(-1, 2)
             if len(spans):
                 self._count(np.full(len(spans), doc), segment.code_points([text])[0], spans[:, 0], spans[:, 1], text)
 
@@ -170,6 +172,6 @@ class _Block:
         out, edges = [(block, -1, own)], np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             held = every[edges[b] : edges[b + 1]]
-            out.append((block, int(b), _pack(held.tobytes(), "\n".join(map(self.words.__getitem__, held.tolist())).encode("utf-8", "surrogatepass"))))
+            out.append((block, int(b), _pack("\n".join(map(self.words.__getitem__, held.tolist())).encode("utf-8", "surrogatepass"))))
         blocks, of, bodies = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(of, pa.int32()), pa.array(bodies, pa.binary())], names=["block", "bucket", "body"])
