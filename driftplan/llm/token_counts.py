@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +51,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield block.rows((part << 32) + seq, buckets)
 
     def answer(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
         lists = [_unpack(b)[0].decode("utf-8", "surrogatepass").split("\n") for b in table["body"].to_pylist()]
         hashes = [segment.span_hashes(points, at[:-1], at[1:]) for points, at in map(segment.code_points, lists)]
         distinct, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         words = np.array([w for own in lists for w in own], object)[first]
-        tokenizer, n = Tokenizer.from_file(tokenizer_path), np.zeros(len(distinct), np.uint32)
-        for i in range(0, len(words), 10_000):
-            n[i : i + 10_000] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + 10_000].tolist(), add_special_tokens=False)]
+        tokenizer, n = _library(tokenizer_path), np.zeros(len(distinct), np.uint32)
+        for i in range(0, len(words), 2_000):
+            n[i : i + 2_000] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + 2_000].tolist(), add_special_tokens=False)]
         found = np.split(n[inverse], np.cumsum([len(h) for h in hashes])[:-1])
         return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array([_pack(x.tobytes()) for x in found], pa.binary())})
 
@@ -80,6 +80,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+@lru_cache(1)
+def _library(path: str):
+    """The tokenizer, once per worker and on the task's own thread: a pool of threads per worker would hold memory and CPUs that the task wasn't given."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _pack(*parts: bytes) -> bytes:
     import zstandard
 
@@ -128,9 +137,7 @@ class _Block:
             of = np.array([d for d, _ in fast])[np.searchsorted(offsets, starts, "right") - 1] if len(starts) else starts
             self._count(of, points, starts, ends, "".join(lower))
         if odd and self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
+            self.library = _library(self.path)
         for doc, text in odd:
             text = self.library.normalizer.normalize_str(text)
             spans = np.array([s for _, s in self.library.pre_tokenizer.pre_tokenize_str(text)], np.int64).reshape(-1, 2)
