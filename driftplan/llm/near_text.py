@@ -15,7 +15,7 @@ from .common import cut, pieces
 from .components import by_group, components, deal, merge_roots
 
 #: Coordinates of a signature, and how many two documents must share to be compared on full sets. At a similarity of
-#: exactly 0.75 a pair shares 24 of 32 on average and fewer than 13 with a chance of 5 in a million.
+#: exactly 0.75 a pair shares 24 of 32 on average and fewer than 13 with a chance of 8 in a million.
 COORDINATES, SHARED = 32, 13
 #: Documents of a list or family that one task takes on each side.
 LIST_SIDE, FAMILY_SIDE = 2_048, 512
