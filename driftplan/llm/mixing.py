@@ -28,7 +28,7 @@ def uniform(name: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, mark: Column | None = None) -> DataFrame:
     """How many words of each document a mix takes, so that sources come to their targets.
 
     Sources, by code point with null last, get ``weights`` in turn. They share ``share`` of all words by weight; no target
@@ -39,17 +39,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     A source's rows are spread over key ranges whose sums are added up first, so a source that holds most rows is not one
     task's work. Null and empty texts have size 0 and are never taken; a source of size 0 has target 0. Ties in the key go
     by id and size; rows that repeat an id count each. u depends on id and seed alone: reruns agree. Returns ``id_col``,
-    source, size, source_size, target, taken, copies (taken / size).
+    source, size, source_size, target, taken, copies (taken / size), and ``mark``, a column of ``docs`` to carry along, if given.
     """
     value = symbol_quality(F.col(text_col)) if quality is None else quality
     sized = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), value.alias("quality"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), value.alias("quality"), *([] if mark is None else [mark.alias("mark")]))
         .withColumn("key", -F.log(uniform(F.col("id"), seed)) / F.col("quality")),
         "mix-sizes",
     )
     targets = cut(_targets(sized, weights, max_epochs, share), "mix-targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["of"]))
-    placed = rows.select("id", "source", "size", "key", "source_size", "target", "place", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")), F.col("n_buckets") - 1).alias("bucket"))
+    carried = [] if mark is None else ["mark"]
+    placed = rows.select("id", "source", "size", "key", "source_size", "target", "place", *carried, F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")), F.col("n_buckets") - 1).alias("bucket"))
     own = Window.partitionBy("place", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = cut(placed.groupBy("place", "bucket").agg(F.sum("size").alias("held")), "mix-sums")
     ahead = sums.withColumn("ahead", F.sum("held").over(Window.partitionBy("place").orderBy("bucket")) - F.col("held")).select("place", "bucket", "ahead")
@@ -61,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
         .withColumn("before", before)
         .withColumn("epochs", epochs)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + (2 * (left - F.col("before")) > F.col("size")).cast("long")).otherwise(F.lit(0)).cast("long"))
-        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carried)
     )
 
 

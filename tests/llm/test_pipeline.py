@@ -3,7 +3,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline
-from test_operators import roots, shingle_set
+from test_operators import ODD, frame, roots, shingle_set
 
 from driftplan.llm import stages
 
@@ -26,3 +26,21 @@ def test_stages(spark, small):
     assert packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
     assert len(packed[packed.start == 0]) == len(mixed)
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_stages_with_odd_rows(spark):
+    docs = frame(spark, ODD).selectExpr("*", "id score", "id rejected", "id key", "id row_", "id mark", "map(id, id) other")
+    rows = lambda d: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.source or "") for r in d.collect())
+    every, stage = rows(docs), dict(corpus_pipeline.STAGES)
+    spoken = stage["language"](spark, docs, "")
+    assert spoken.columns == docs.columns and set(rows(spoken)) <= set(every) and all(any(c.isalpha() for c in r[2]) for r in rows(spoken))
+    once = stage["exact_dedup"](spark, docs, "")
+    assert once.columns == docs.columns
+    assert rows(once) == sorted(max(r for r in every if r[2] == text) for text in {r[2] for r in every})
+    near = stage["near_dedup"](spark, docs, "")
+    assert near.columns == docs.columns and [r[1] for r in rows(near)] == [0, 1, 3, 4, 5, 6, 7, 8]
+    mixed = stage["mixing"](spark, docs, "")
+    assert mixed.columns == docs.columns and set(rows(mixed)) <= set(every)
+    assert all(rows(mixed).count(r) <= 3 * every.count(r) and rows(mixed).count(r) % every.count(r) == 0 for r in every)
+    for name in stage:
+        assert stage[name](spark, docs.where("false"), "").count() == 0
