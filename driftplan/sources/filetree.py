@@ -59,7 +59,9 @@ class _Reader(DataSourceReader):
             return []
         return [_Part(name) for name in sorted(os.listdir(self.root))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         yield from self._entry(partition.value)
 
     def _entry(self, rel: str) -> Iterator[tuple]:
