@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Contents up to LIMIT bytes count whole; of larger ones the first HEAD, MIDDLE from the middle and the last TAIL bytes.
 LIMIT, HEAD, MIDDLE, TAIL = 16_384, 8_192, 4_096, 4_096
+#: Fixed value: files that may fail to be read before an index is given up.
+TOLERATED = 20
 
 
 def crucial_bytes(content: Column) -> Column:
@@ -39,6 +41,14 @@ def digest_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, size long, fuzzy_hash string, error string")
 
 
+def tolerated(digests: DataFrame, most: int = TOLERATED) -> DataFrame:
+    """``digests`` (of ``digest_files``, written or kept, as they are read here) unchanged; an error if more than ``most`` files of the whole index couldn't be read."""
+    failed = digests.where("error is not null").agg(F.count("*").alias("n"), F.min(F.concat_ws(": ", "path", "error")).alias("first")).first()
+    if failed["n"] > most:
+        raise OSError(f"{failed['n']} files can't be read, {most} are tolerated; first: {failed['first']}")
+    return digests
+
+
 def _digest(path: str) -> tuple[int | None, str | None, str | None]:
     try:
         with open(path, "rb") as f:

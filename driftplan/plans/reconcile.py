@@ -37,7 +37,7 @@ class Plan:
     def executed(self) -> DataFrame:
         """Actions in order of their targets' directories (exec_seq), emission order within one, and copies redirected to where an earlier move took their source."""
         ordered = self.ordered()
-        rows = numbered(ordered.withColumn("dest_dir", paths.parent(F.when(F.col("kind") == "mkdir", F.col("to_path")).otherwise(F.col("to_path")))), ["dest_dir", "emit_seq"], "exec_seq")
+        rows = numbered(ordered.withColumn("dest_dir", paths.parent(F.col("to_path"))), ["dest_dir", "emit_seq"], "exec_seq")
         return redirected(rows)
 
 
@@ -48,13 +48,14 @@ def redirected(rows: DataFrame) -> DataFrame:
     return held.withColumn("from_path", F.coalesce("moved_to", "from_path")).drop("moved", "moved_to", "moved_at")
 
 
-def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None = None, mode: str = match.LOCAL, copy_duplicates: bool = False, archives: DataFrame | None = None, directory_times: tuple[DataFrame, DataFrame] | None = None, digest=None) -> Plan:
+def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None = None, mode: str = match.LOCAL, copy_duplicates: bool = False, archives: DataFrame | None = None, directory_times: tuple[DataFrame, DataFrame] | None = None, digest=None, resolve_touches: bool = False) -> Plan:
     """Plans touches, directories, moves and copies.
 
     ``source``, ``destination``: path, size, mtime, and what ``hashes`` (a column over ``content``, say) or ``digest`` (a
     function from files and side to files with a hash) needs. Only orphans and candidates are hashed: the semi-joins stand
     before the digest. ``archives`` (archive_ord, path, size, content) are further sources of copies and imply
-    ``copy_duplicates``. ``directory_times``: directories of both sides with mtimes.
+    ``copy_duplicates``. ``directory_times``: directories of both sides with mtimes. An orphan that only
+    needs a touch of its own path counts as unmatched, so archives may copy over it, unless ``resolve_touches``.
     """
     copy_duplicates = copy_duplicates or archives is not None
     digest = digest or (lambda files, side: match.digested(files, hashes))
@@ -73,7 +74,10 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
         _rows(moved, "match", "move", F.col("candidate"), F.col("orphan"), F.lit(None), F.col("size")),
         _rows(copied, "match", "copy", F.col("candidate"), F.col("orphan"), F.col("mtime"), F.col("size")),
     ]
-    unmatched = lost.join(moved.select(F.col("orphan").alias("path")).unionByName(copied.select(F.col("orphan").alias("path"))), "path", "left_anti")
+    solved = [moved, copied, *([touched.where("candidate = orphan")] if resolve_touches else [])]
+    unmatched = lost
+    for some in solved:
+        unmatched = unmatched.join(some.select(F.col("orphan").alias("path")), "path", "left_anti")
     if archives is not None:
         few = match.digested(archives.withColumn("ext", paths.extension(F.col("path"))).join(unmatched.select("ext", "size").distinct(), ["ext", "size"], "left_semi"), hashes) if hashes is not None else digest(archives, "archive")
         hit = match.archive_matches(unmatched, few)

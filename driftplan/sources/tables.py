@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -43,5 +43,5 @@ def mount_of(paths: DataFrame, table: DataFrame, path: str = "path") -> DataFram
     return hits.groupBy(path).agg(F.max_by(F.struct("mountpoint", "fstype"), F.length("mountpoint")).alias("m")).select(path, "m.*")
 
 
-def first_few(names: DataFrame, column: str = "name", n: int = 3) -> Column:
+def first_few(names: DataFrame, column: str = "name", n: int = 3) -> DataFrame:
     return names.orderBy(column).limit(n)

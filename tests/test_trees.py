@@ -117,6 +117,22 @@ def test_sampled_digest_agrees(spark, tmp_path):
     assert {r.path: r.fuzzy_hash for r in found} == {"big": column, "missing": None}
 
 
+def test_unreadable_files_are_tolerated_up_to_a_number(spark, tmp_path):
+    found = digest.digest_files(spark.createDataFrame([(f"missing{i}",) for i in range(21)], "path string"), str(tmp_path))
+    assert digest.tolerated(found, 21).count() == 21
+    with pytest.raises(OSError, match="21 files can't be read, 20 are tolerated"):
+        digest.tolerated(found)
+
+
+@pytest.mark.parametrize(("resolve", "copies"), [(False, 1), (True, 0)])
+def test_touched_files_and_archives(spark, resolve, copies):
+    schema = "path string, size long, mtime long, content string"
+    src, dst = (spark.createDataFrame([("a.txt", 1, t, "x")], schema) for t in (200, 100))
+    stored = spark.createDataFrame([(0, "/old/b.txt", 1, "x")], "archive_ord int, path string, size long, content string")
+    plan = reconcile(src, dst, F.col("content"), archives=stored, resolve_touches=resolve)
+    assert kinds(plan) == {"touch": 1} | ({"copy": copies} if copies else {})
+
+
 def sequential(src, dst, copy, mode):
     """The greedy matcher as a loop, in order of orphans and candidates."""
     lost = sorted(p for p in src if dst.get(p, ())[:2] != src[p][:2])
