@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components, merge_roots
 
-#: Vectors that codebooks and the number of visits are fitted on, at most, and queries among them.
-SAMPLE, QUERIES = 20_000, 1_000
+#: Vectors that codebooks and the reach of visits are fitted on, at most, queries among them, and made-up neighbours of each.
+SAMPLE, QUERIES, MADE = 20_000, 1_000, 4
 #: Vectors of a cell, about; members of a cell that one task takes on each side.
 PER_CELL, SIDE = 24, 4_096
 TARGET_RECALL = 0.9995
 TINY = 1e-12
+#: Rows, entries of a grid and postings that are in memory at once.
+BLOCK, GRID, POSTS = 250, 4_000_000, 20_000
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,8 +32,9 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k-means centres; deterministic. Empty clusters keep their centres."""
-    centres = x[np.random.default_rng(7).permutation(len(x))[:k]].copy()
+    """k-means centres, at most k and all different at first; deterministic. Empty clusters keep their centres."""
+    centres = np.unique(x, axis=0) if x.shape[1] else x[:1]
+    centres = centres[np.random.default_rng(7).permutation(len(centres))[:k]]
     for _ in range(rounds if x.shape[1] else 0):
         own = distances(x, centres).argmin(1)
         n = np.bincount(own, minlength=len(centres))
@@ -41,59 +44,100 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """The first n cells of the product grid in multi-sequence order, nearest first.
-
-    A pair of ranks (i, j) can only be among the first n if (i + 1) * (j + 1) <= n, as all pairs below it come before.
-    """
-    a, b = (distances(h, c) for h, c in zip(halves(x), books, strict=True))
-    oa, ob = np.argsort(a, 1, kind="stable"), np.argsort(b, 1, kind="stable")
-    n = min(n, a.shape[1] * b.shape[1])
-    i, j = np.array([(i, j) for i in range(min(n, a.shape[1])) for j in range(min(n // (i + 1), b.shape[1]))]).T
-    sums = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
-    first = np.argsort(sums, 1, kind="stable")[:, :n]
-    return oa[np.arange(len(x))[:, None], i[first]] * b.shape[1] + ob[np.arange(len(x))[:, None], j[first]]
-
-
-def fit(x: np.ndarray, labels: np.ndarray, k: int, threshold: float, target: float = TARGET_RECALL) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Codebooks of the two halves, and how many cells to visit for ``target`` recall among the sample's own links.
-
-    Where the sample has few links, made-up neighbours between the threshold and 1 stand in.
+def margins(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre, and the squared distance from the plane between it and each centre: 0 at the nearest one."""
+    d = distances(x, centres)
+    own = d.argmin(1)
+    apart = 2 * np.sqrt(distances(centres, centres))[own]
+    return own, (np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / np.maximum(apart, TINY)) ** 2
+
+
+def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cells, and (row, cell), in order, of all cells whose squared margins add up to ``reach`` at most, home among them."""
+    (own_a, a), (own_b, b) = (margins(h, c) for h, c in zip(halves(x), books, strict=True))
+    of, i = np.nonzero(a <= reach)
+    step, rows, cells = max(1, GRID // b.shape[1]), [of[:0]], [of[:0]]
+    for at in range(0, len(of), step):
+        near, side = of[at : at + step], i[at : at + step]
+        e, j = np.nonzero(a[near, side][:, None] + b[near] <= reach)
+        rows.append(near[e])
+        cells.append(side[e] * b.shape[1] + j)
+    return own_a * b.shape[1] + own_b, np.concatenate(rows), np.concatenate(cells)
+
+
+def needed(x: np.ndarray, y: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least ``reach`` with which each pair x-y meets."""
+    there, back = np.zeros(len(x)), np.zeros(len(x))
+    for h, other, c in zip(halves(x), halves(y), books, strict=True):
+        (own_x, to_x), (own_y, to_y) = margins(h, c), margins(other, c)
+        there += to_x[np.arange(len(x)), own_y]
+        back += to_y[np.arange(len(x)), own_x]
+    return np.minimum(there, back)
+
+
+def leads(x: np.ndarray, labels: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of which none links with another: each other row links with an earlier one, so a hot group has a lead or few."""
+    order = np.random.default_rng(13).permutation(len(x))
+    order = order[np.argsort(labels[order], kind="stable")]
+    out = []
+    for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+        held = own[:0]
+        for at in np.array_split(own, -(-len(own) // BLOCK)):
+            at = at[~(x[at] @ x[held].T >= threshold).any(1)]
+            held = np.append(held, at[~np.tril(x[at] @ x[at].T >= threshold, -1).any(1)])
+        out.append(held)
+    return np.concatenate(out)
+
+
+def partners(x: np.ndarray, labels: np.ndarray, chosen: np.ndarray, threshold: float, weight) -> tuple[np.ndarray, np.ndarray]:
+    """For each chosen row that has links, the one of least weight: one partner per query, however large its group."""
+    of, to = [], []
+    for at in np.array_split(chosen, -(-len(chosen) // BLOCK)):
+        cos = x[at] @ x.T
+        hit = (cos >= threshold) & (labels[at][:, None] == labels)
+        hit[np.arange(len(at)), at] = False
+        some = hit.any(1)
+        of.append(at[some])
+        to.append(np.where(hit, weight(cos), np.inf)[some].argmin(1))
+    return np.concatenate(of), np.concatenate(to)
+
+
+def made_up(q: np.ndarray, cos: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A neighbour of each query at the given cosine, in a random direction."""
+    noise = rng.normal(size=q.shape)
+    noise -= (noise * q).sum(1, keepdims=True) * q
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), TINY)
+    return cos[:, None] * q + np.sqrt(1 - cos[:, None] ** 2) * noise
+
+
+def fit(x: np.ndarray, labels: np.ndarray, k: int, threshold: float, target: float = TARGET_RECALL) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """Codebooks of the two halves, and how far vectors visit: each of four kinds of pairs has ``target`` recall by itself.
+
+    These are the leads' farthest links and made-up neighbours of theirs, at the threshold and from there to 1, in which a
+    hot group counts no more than any lead; and links of rows drawn evenly, for the hot groups themselves.
     """
-    books = tuple(codebook(h, k) for h in halves(x))
-    rng = np.random.default_rng(11)
-    chosen = rng.permutation(len(x))[:QUERIES]
-    q = x[chosen]
-    hit = (q @ x.T >= threshold) & (labels[chosen][:, None] == labels[None, :])
-    hit[np.arange(len(q)), chosen] = False
-    of, to = np.nonzero(hit)
-    if len(of) < 200:
-        noise = rng.normal(size=q.shape)
-        noise -= (noise * q).sum(1, keepdims=True) * q
-        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), TINY)
-        cos = rng.uniform(threshold, 1, (len(q), 1))
-        near = cos * q + np.sqrt(1 - cos**2) * noise
-        of, other = np.arange(len(q)), near
-    else:
-        pick = rng.permutation(len(of))[:20_000]
-        of, other = of[pick], x[to[pick]]
-    every = k * k
-    home_q, home_o = visits(q, books, 1)[:, 0][of], visits(other, books, 1)[:, 0]
-    n = 1
-    while n < every:
-        seen = (visits(q, books, n)[of] == home_o[:, None]).any(1) | (visits(other, books, n) == home_q[:, None]).any(1)
-        if seen.mean() >= target:
-            break
-        n *= 2
-    return books, min(n, every)
+    labels = np.unique(labels.astype(str), return_inverse=True)[1]
+    lead, rng = leads(x, labels, threshold), np.random.default_rng(11)
+    books = tuple(codebook(h, k) for h in halves(x[lead]))
+    q = x[np.resize(rng.permutation(lead)[:QUERIES], MADE * QUERIES)]
+    pairs = [(q, made_up(q, cos, rng)) for cos in (np.full(len(q), threshold), rng.uniform(threshold, 1, len(q)))]
+    for chosen, weight in ((rng.permutation(lead)[:QUERIES], lambda cos: cos), (rng.permutation(len(x))[:QUERIES], lambda cos: rng.random(cos.shape))):
+        of, to = partners(x, labels, chosen, threshold, weight)
+        pairs.append((x[of], x[to]))
+    reach = 0.0
+    for a, b in pairs:
+        need = np.sort(needed(a, b, books))
+        if len(need):
+            reach = max(reach, float(need[int(np.ceil(target * len(need))) - 1]))
+    return books, reach * (1 + 1e-9)
 
 
 def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal, non-null label whose cosine, in double precision, is at least ``threshold``.
 
     Independent codebooks on the halves of unit vectors, fitted on a bounded sample, form a product grid of cells. Every
-    vector is in its home cell and visits its nearest cells in multi-sequence order, as many as the target recall takes;
-    it meets those at home there. Each meeting is verified. A pair that meets in two cells counts in the lower one.
+    vector is in its home cell and visits the cells whose borders are near, as far as the target recall takes; it meets
+    those at home there. Each meeting is verified. A pair that meets in two cells counts in the lower one.
 
     Equal vectors of a label are one class with a count from the start. Cells with many members are dealt as pairs of
     chunks, so that no task holds more than two chunks; tasks return link counts and a spanning forest, never pairs.
@@ -109,7 +153,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     classes = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vector-classes")
     stats = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n")).collect()
     models = {s["dim"]: _model(classes, s, threshold) for s in stats}
-    posts = cut(classes.mapInArrow(_post(models), "label string, dim int, cell long, home long, node long, copies long, visited array<long>, unit binary"), "posts")
+    posts = cut(classes.mapInArrow(_post(models), "label string, dim int, cell long, home long, node long, copies long, visited array<int>, unit binary"), "posts")
     sizes = cut(posts.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", "cell", F.ceil(F.col("n") / F.lit(SIDE)).cast("int").alias("chunks")), "cells")
     dealt = posts.join(sizes, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -148,16 +192,16 @@ def _post(models):
                 for at in np.array_split(np.flatnonzero(sizes == dim), -(-int((sizes == dim).sum()) // 2_000)):
                     part = batch.take(pa.array(at))
                     x = _unit(part.column(1), dim)
-                    seen = visits(x, *models[dim])
-                    m, n = seen.shape
-                    rep = np.repeat(np.arange(m), n)
+                    home, rows, cells = visits(x, *models[dim])
                     unit = pa.array([r.tobytes() for r in x], pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m * n + 1, n), pa.int32()), pa.array(seen.ravel()))
-                    take = pa.array(rep)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), pa.array(np.full(m * n, dim, np.int32)), pa.array(seen.ravel()), pa.array(seen[rep, 0]), part.column(2).take(take), part.column(3).take(take), lists.take(take), unit.take(take)],
-                        names=["label", "dim", "cell", "home", "node", "copies", "visited", "unit"],
-                    )
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(x) + 1)), pa.int32()), pa.array(cells, pa.int32()))
+                    for i in range(0, len(rows), POSTS):
+                        of, cell = rows[i : i + POSTS], cells[i : i + POSTS]
+                        take = pa.array(of)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0).take(take), pa.array(np.full(len(of), dim, np.int32)), pa.array(cell), pa.array(home[of]), part.column(2).take(take), part.column(3).take(take), lists.take(take), unit.take(take)],
+                            names=["label", "dim", "cell", "home", "node", "copies", "visited", "unit"],
+                        )
 
     return run
 
@@ -168,7 +212,10 @@ def _meet(threshold: float):
         i, j, cell = table["i"][0].as_py(), table["j"][0].as_py(), table["cell"][0].as_py()
         x = np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(table.num_rows, -1)
         node, copies, home, own = (table[c].to_numpy() for c in ("node", "copies", "home", "own"))
-        visited = np.asarray(table["visited"].combine_chunks().flatten() if isinstance(table["visited"], pa.ChunkedArray) else table["visited"].flatten()).reshape(table.num_rows, -1)
+        lists = table["visited"].combine_chunks() if isinstance(table["visited"], pa.ChunkedArray) else table["visited"]
+        cells = np.asarray(lists.flatten()).astype(np.int64)
+        width = max(cells.max(), home.max()) + 1
+        visited = np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets))) * width + cells  # in order, as rows' cells are
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links, root = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(left), 256):
@@ -183,7 +230,8 @@ def _meet(threshold: float):
             one = np.flatnonzero(at_home == 1)
             here = home[a[one]] == cell
             host, guest = np.where(here, a[one], b[one]), np.where(here, b[one], a[one])
-            back = (visited[host] == home[guest][:, None]).any(1)
+            wanted = host * width + home[guest]
+            back = visited[np.minimum(np.searchsorted(visited, wanted), len(visited) - 1)] == wanted
             sure[one] = ~back | (cell < home[guest])
             a, b = a[sure], b[sure]
             exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold if len(a) * x.shape[1] <= 4_000_000 else np.concatenate([np.einsum("ij,ij->i", x[p], x[q]) for p, q in zip(np.array_split(a, 64), np.array_split(b, 64), strict=True)]) >= threshold

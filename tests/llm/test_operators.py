@@ -199,6 +199,20 @@ def test_near_vectors_by_brute_force(spark, monkeypatch):
     assert found[506].component_id == found[507].component_id
 
 
+def test_near_vectors_beside_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hot = unit(unit(rng.normal(size=(1, 64))) + 0.09 * unit(rng.normal(size=(1000, 64))))
+    cold = unit(rng.normal(size=(1000, 64)))
+    away = rng.normal(size=cold.shape)
+    away = unit(away - (away * cold).sum(1, keepdims=True) * cold)
+    cos = rng.uniform(0.931, 1, (len(cold), 1))
+    x = np.concatenate([hot, cold, cos * cold + np.sqrt(1 - cos**2) * away])
+    found = {r.vec_id: r.n_links for r in near_vectors.near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(found[i] for i in range(1000, 3000)) >= 0.998 * 2000
+    assert sum(found[i] for i in range(1000)) >= 0.998 * 1000 * 999
+
+
 def test_vectors_without_rows(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
