@@ -106,6 +106,15 @@ def test_tokens_and_packing_against_the_library(spark):
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 1024
 
 
+def test_tokens_whose_lower_case_leaves_the_table(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["plain text", "\u13a0\u13ef and \u13f0 isn't 12", "a" * 30 + " \u13a3\u13b3 <|endoftext|> \u13a9"]
+    library = Tokenizer.from_file(TOKENS["op9"])
+    found = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENS["op9"]).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_by_brute_force(spark, seed):
     rng = random.Random(seed)
