@@ -66,7 +66,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str =
     signatures belong to one family, and pairs that are in one family already are skipped. Within families, pairs are
     compared on full sets, those with most collisions first, and only while they aren't connected yet.
 
-    Documents with equal sets form one class from the start. Long lists and large families are dealt as pairs of chunks;
+    Documents with equal sets form one class from the start. Classes have numbers, as an id that is repeated with other
+    texts is in several; only links are by id. Long lists and large families are dealt as pairs of chunks;
     tasks return spanning forests. So neither copies nor large families are expanded into pairs. Signatures are fitted to
     ``percent`` 75: below, pairs near the threshold are lost more often.
 
@@ -74,11 +75,13 @@ def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str =
     links. A row without id has no links and a null component. Returns one row per input row: ``id_col``, n_shingles,
     component_id, kept (id = component_id; a row without id: true).
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(source.mapInArrow(_sign(width), "id long, n long, f1 long, f2 long, signature array<int>"), "signatures")
-    classes = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.max_by("signature", "id").alias("signature"), F.max("n").alias("n")), "classes")
-    same = signed.where("n > 0 and id is not null").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = _links(_families(_postings(classes), percent), source, width, percent)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = cut(source.mapInArrow(_sign(width), "id long, mark long, n long, f1 long, f2 long, signature array<int>"), "signatures")
+    sound = signed.where("n > 0 and id is not null")
+    first = sound.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark")).alias("first"), F.max_by("signature", "id").alias("signature"), F.max("n").alias("n"))
+    classes = cut(first.select("f1", "f2", F.monotonically_increasing_id().alias("node"), "first.id", "first.mark", "signature", "n"), "classes")
+    same = sound.select("f1", "f2", F.col("id").alias("a")).join(classes.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"]).select("a", "b").where("a <> b")
+    links = _links(_families(_postings(classes), percent), classes, source, width, percent)
     roots = cut(components(links.unionByName(same)), "components")
     root = F.coalesce("root", "id")
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
@@ -91,7 +94,7 @@ def _sign(width: int):
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
             sets = shingles(texts, width)
             prints = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists(signatures(sets))], names=["id", "n", "f1", "f2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists(signatures(sets))], names=["id", "mark", "n", "f1", "f2", "signature"])
 
     return run
 
@@ -101,14 +104,13 @@ def _lists(found: np.ndarray) -> pa.ListArray:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(list, node, n, signature): the prefix of every document's shared values, rarest first."""
+    """(list, node, n, signature): the prefix of every class's shared values, rarest first."""
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long"))
     tokens = classes.select("node", F.posexplode("signature").alias("pos", "value")).select("node", token.alias("list"))
     common = cut(tokens.groupBy("list").agg(F.count("*").alias("often")).where("often > 1"), "lists")
     own = tokens.join(common, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "list"))).alias("own")).where(F.size("own") >= SHARED)
     prefix = own.select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - F.lit(SHARED - 1))).alias("x")).select("node", "x.list")
-    held = classes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("signature", "n").alias("signature"))
-    return cut(prefix.join(held, "node").select("list", "node", "n", "signature"), "postings")
+    return cut(prefix.join(classes.select("node", "n", "signature"), "node").select("list", "node", "n", "signature"), "postings")
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -133,7 +135,7 @@ def _alike(signature: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.nda
 
 
 def _families(postings: DataFrame, percent: int) -> DataFrame:
-    """(node, root): documents that may be linked, directly or through others."""
+    """(node, root): classes that may be linked, directly or through others."""
 
     def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         node, n, own, i, j = (table[c].to_numpy() for c in ("node", "n", "own", "i", "j"))
@@ -156,19 +158,20 @@ def _families(postings: DataFrame, percent: int) -> DataFrame:
     return cut(components(pairs), "families")
 
 
-def _links(families: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """A spanning forest of the links within each family."""
+def _links(families: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """A spanning forest of the links within each family, by id."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
             sets = shingles(texts, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), _lists(signatures(sets))], names=["family", "node", "hashes", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary()), _lists(signatures(sets))], names=["family", "node", "id", "hashes", "signature"])
 
-    members = source.join(families, F.col("id") == F.col("node")).select(F.col("root").alias("family"), "node", "text")
-    sets = cut(members.mapInArrow(gather, "family long, node long, hashes binary, signature array<int>"), "sets")
+    named = cut(families.join(classes.select("node", "id", "mark"), "node").select(F.col("root").alias("family"), "node", "id", "mark"), "members")
+    members = source.join(named, ["id", "mark"]).select("family", "node", "id", "text")
+    sets = cut(members.mapInArrow(gather, "family long, node long, id long, hashes binary, signature array<int>"), "sets")
 
     def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        node, own, i, j = (table[c].to_numpy() for c in ("node", "own", "i", "j"))
+        id_, own, i, j = (table[c].to_numpy() for c in ("id", "own", "i", "j"))
         signature = _matrix(table["signature"], table.num_rows)
         hashes = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["hashes"]]
         n = np.array([len(h) for h in hashes], np.int64)
@@ -178,7 +181,7 @@ def _links(families: DataFrame, source: DataFrame, width: int, percent: int) ->
             x, y, hits = _alike(signature, n, at[own[at] == i[a]], at[own[at] == j[a]], i[a] == j[a], percent)
             root = _connect(x - a, y - a, hits, hashes[a:b], percent)
             moved = root != np.arange(b - a)
-            yield node[at[moved]], node[at[root[moved]]]
+            yield id_[at[moved]], id_[at[root[moved]]]
 
     dealt = deal(sets, "family", "node", FAMILY_SIDE)
     return by_group(dealt, ("family", "i", "j"), work, "a long, b long", ("a", "b"))

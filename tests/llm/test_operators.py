@@ -182,6 +182,13 @@ def test_near_text_by_brute_force(spark, monkeypatch):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), wanted[r.doc_id], wanted[r.doc_id] == r.doc_id)
 
 
+def test_near_text_of_an_id_with_two_texts(spark):
+    one, two = ([f"{c}{i}" for i in range(n)] for c, n in (("u", 60), ("v", 150)))
+    rows = [(5, one), (5, two), (5, two), (1, [*one, "end"]), (9, [*two, "end"]), (7, ["w", *one[:20]])]
+    found = near_text.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(1, 57, 1), (5, 56, 1), (5, 146, 1), (5, 146, 1), (7, 17, 7), (9, 147, 1)]
+
+
 def test_near_vectors_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "SIDE", 16)
     rng = np.random.default_rng(3)
