@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from . import segment
 from .common import cut, pieces
-from .components import by_group, components, deal, merge_roots
+from .components import by_group, components, deal, deal_rest, merge_roots, sizes
 
 #: Coordinates of a signature, and how many two documents must share to be compared on full sets. At a similarity of
 #: exactly 0.75 a pair shares 24 of 32 on average and fewer than 13 with a chance of 8 in a million.
 COORDINATES, SHARED = 32, 13
-#: Documents of a list or family that one task takes on each side.
+#: Documents of a list or family in one piece, about.
 LIST_SIDE, FAMILY_SIDE = 2_048, 512
+#: Shingles of a document up to which a piece is dealt by number; pieces of longer ones have fewer documents.
+HEAVY = 4_000
 CHUNK_CHARS = 500_000
 
 
@@ -60,20 +62,24 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
 def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links documents whose shingle sets have 100 * intersection >= ``percent`` * union, and finds what is connected.
 
-    Every document posts its signature under (coordinate, value); values that nobody else has can't collide and are not
+    A document posts its signature under (coordinate, value); values that nobody else has can't collide and are not
     posted. A document's postings are ordered from rare to common; as a pair must share at least 13 of its values, only the
-    first ones, all but 12, need lists (prefix). Along each list, documents with 13 collisions or more over whole
-    signatures belong to one family, and pairs that are in one family already are skipped. Within families, pairs are
-    compared on full sets, those with most collisions first, and only while they aren't connected yet.
-
-    Documents with equal sets form one class from the start. Classes have numbers, as an id that is repeated with other
-    texts is in several; only links are by id. Long lists and large families are dealt as pairs of chunks;
-    tasks return spanning forests. So neither copies nor large families are expanded into pairs. Signatures are fitted to
-    ``percent`` 75: below, pairs near the threshold are lost more often.
-
-    Null or wordless texts have no shingles and no links. Rows that repeat an id are one document that has all of their
-    links. A row without id has no links and a null component. Returns one row per input row: ``id_col``, n_shingles,
-    component_id, kept (id = component_id; a row without id: true).
+    first ones, all but 12, need lists (prefix). Along each list collisions are counted over whole signatures, for a few
+    documents with all others at a time; pairs that are in one family already are skipped, as are documents that are done.
+    Documents with 13 collisions or more are one family. Within families, pairs with as many collisions are compared on
+    full sets, those with most collisions first, and only while they aren't connected yet.
+
+    Documents with equal sets form one class from the start (by 128 bits of hash over the set). Classes have numbers, as
+    an id that is repeated with other texts is in several; only links are by id. Long lists and large families are dealt
+    in pieces: each member goes to one of them, a few to all, and pieces are connected apart. Then members that this leaves
+    in different components meet, the largest component with the others only. So what is sent is linear in a group of near
+    copies, and neither copies nor large families are expanded into pairs. Signatures are fitted to ``percent`` 75: below,
+    pairs near the threshold are lost more often.
+
+    Null or wordless texts have no shingles and no links. Very long texts are taken whole; pieces of them hold fewer. Rows
+    that repeat an id are one document that has all of their links. A row without id has no links and a null component. An
+    empty table gives an empty result. Other columns of ``docs`` are ignored, whatever their names. Returns one row per
+    input row: ``id_col``, n_shingles, component_id, kept (id = component_id; a row without id: true).
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     signed = cut(source.mapInArrow(_sign(width), "id long, mark long, n long, f1 long, f2 long, signature array<int>"), "signatures")
@@ -82,7 +88,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str =
     classes = cut(first.select("f1", "f2", F.monotonically_increasing_id().alias("node"), "first.id", "first.mark", "signature", "n"), "classes")
     same = sound.select("f1", "f2", F.col("id").alias("a")).join(classes.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"]).select("a", "b").where("a <> b")
     links = _links(_families(_postings(classes), percent), classes, source, width, percent)
-    roots = cut(components(links.unionByName(same)), "components")
+    roots = cut(components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same)), "components")
     root = F.coalesce("root", "id")
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept")
@@ -117,86 +123,103 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(rows, -1)
 
 
-def _alike(signature: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs with collisions enough and sizes that allow the similarity, and how many collisions."""
-    out = []
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
-        hits = np.zeros((len(rows), len(right)), np.int16)
-        for k in range(signature.shape[1]):
-            hits += signature[rows, k][:, None] == signature[right, k][None, :]
+def _linked(rows: DataFrame, group: str, key: str, side: int, heavy: int, columns: tuple[str, ...], find) -> DataFrame:
+    """(node, root) of what ``find`` connects within groups: in pieces first, then what large groups have left apart."""
+    sized = sizes(rows, group, side, "n", heavy)
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        own, label = table[key].to_numpy(), table["root"].to_numpy()
+        edges = np.append(bounds, table.num_rows) if bounds[-1] != table.num_rows else bounds
+        yield from find(table, own, label, edges)
+
+    first = cut(by_group(deal(rows, group, "node", sized).withColumn("root", F.col(key)).select(group, "piece", key, "root", *columns), (group, "piece"), work, "a long, b long", ("a", "b")), "pairs")
+    roots = components(first)
+    if sized.where("chunks > 1").isEmpty():
+        return roots
+    roots = cut(roots, "roots")
+    rest = deal_rest(rows, group, "node", sized, roots, key).select(group, "piece", key, "root", *columns)
+    more = cut(by_group(rest, (group, "piece"), work, "a long, b long", ("a", "b")), "pairs")
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _connect(signature: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int, hashes: list[np.ndarray] | None = None) -> np.ndarray:
+    """Roots after linking rows with collisions enough and sizes that allow the similarity; with ``hashes``, if the sets confirm it.
+
+    Collisions of a few rows, members of the smallest components, are counted with all others at a time. Pairs that are
+    connected already are skipped, and it ends when all that is left is connected: a group of near copies takes one step.
+    """
+    active, step = np.arange(len(root)), 1
+    while len(active) and (root[active] != root[active[0]]).any():
+        own = root[active]
+        order = np.lexsort((own, np.bincount(own, minlength=len(root))[own]))
+        pivots, active = active[order[:step]], active[np.sort(order[step:])]
+        every = np.concatenate((pivots, active))
+        hits = np.count_nonzero(signature[pivots][:, None, :] == signature[every][None, :, :], axis=2)
         a, b = np.nonzero(hits >= SHARED)
-        x, y = rows[a], right[b]
-        fit = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
-        if within:
-            fit &= x < y
-        out.append((x[fit], y[fit], hits[a[fit], b[fit]]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (left, left, left)
+        x, y, hits = pivots[a], every[b], hits[a, b]
+        fit = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y, hits = x[fit], y[fit], hits[fit]
+        root = merge_roots(root, x, y) if hashes is None else _confirm(x, y, hits, root, hashes, percent)
+        step = min(64, 4 * step)
+    return root
 
 
 def _families(postings: DataFrame, percent: int) -> DataFrame:
     """(node, root): classes that may be linked, directly or through others."""
 
-    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        node, n, own, i, j = (table[c].to_numpy() for c in ("node", "n", "own", "i", "j"))
-        signature = _matrix(table["signature"], table.num_rows)
-        edges = np.append(bounds, table.num_rows) if bounds[-1] != table.num_rows else bounds
-        size = np.diff(edges)
+    def find(table: pa.Table, node: np.ndarray, label: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        signature, n, size = _matrix(table["signature"], table.num_rows), table["n"].to_numpy(), np.diff(edges)
         two = edges[:-1][size == 2]
-        two = two[(own[two] != own[two + 1]) | (i[two] == j[two])]
         fit = ((signature[two] == signature[two + 1]).sum(1) >= SHARED) & (np.minimum(n[two], n[two + 1]) * 100 >= np.maximum(n[two], n[two + 1]) * percent)
         yield node[two[fit]], node[two[fit] + 1]
         for k in np.flatnonzero(size > 2):
-            at = np.arange(edges[k], edges[k + 1])
-            x, y, _ = _alike(signature, n, at[own[at] == i[at[0]]], at[own[at] == j[at[0]]], i[at[0]] == j[at[0]], percent)
-            root = merge_roots(np.arange(len(at)), x - at[0], y - at[0])
-            moved = root != np.arange(len(at))
-            yield node[at[moved]], node[at[root[moved]]]
+            at = slice(edges[k], edges[k + 1])
+            yield _joins(node[at], label[at], lambda start, at=at: _connect(signature[at], n[at], start, percent))
+
+    return cut(_linked(postings, "list", "node", LIST_SIDE, LIST_SIDE * HEAVY, ("n", "signature"), find), "families")
+
 
-    dealt = deal(postings, "list", "node", LIST_SIDE)
-    pairs = by_group(dealt, ("list", "i", "j"), work, "a long, b long", ("a", "b"))
-    return cut(components(pairs), "families")
+def _joins(key: np.ndarray, label: np.ndarray, connect) -> tuple[np.ndarray, np.ndarray]:
+    """The links that ``connect`` adds to rows of equal labels, as few as connect them."""
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    root = connect(first[inverse])
+    moved = first[root[first] != first]
+    return key[moved], key[root[moved]]
 
 
 def _links(families: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """A spanning forest of the links within each family, by id."""
+    """(node, root) of ids that links within families connect."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
             sets = shingles(texts, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary()), _lists(signatures(sets))], names=["family", "node", "id", "hashes", "signature"])
-
-    named = cut(families.join(classes.select("node", "id", "mark"), "node").select(F.col("root").alias("family"), "node", "id", "mark"), "members")
-    members = source.join(named, ["id", "mark"]).select("family", "node", "id", "text")
-    sets = cut(members.mapInArrow(gather, "family long, node long, id long, hashes binary, signature array<int>"), "sets")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), _lists(signatures(sets))], names=["family", "node", "id", "n", "hashes", "signature"])
 
-    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        id_, own, i, j = (table[c].to_numpy() for c in ("id", "own", "i", "j"))
-        signature = _matrix(table["signature"], table.num_rows)
-        hashes = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["hashes"]]
-        n = np.array([len(h) for h in hashes], np.int64)
-        edges = np.append(bounds, table.num_rows) if bounds[-1] != table.num_rows else bounds
+    def find(table: pa.Table, id_: np.ndarray, label: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        signature, n = _matrix(table["signature"], table.num_rows), table["n"].to_numpy()
+        bodies = table["hashes"].combine_chunks()
+        bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = np.arange(a, b)
-            x, y, hits = _alike(signature, n, at[own[at] == i[a]], at[own[at] == j[a]], i[a] == j[a], percent)
-            root = _connect(x - a, y - a, hits, hashes[a:b], percent)
-            moved = root != np.arange(b - a)
-            yield id_[at[moved]], id_[at[root[moved]]]
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in bodies.slice(a, b - a)]
+            yield _joins(id_[a:b], label[a:b], lambda start, a=a, b=b, hashes=hashes: _connect(signature[a:b], n[a:b], start, percent, hashes))
 
-    dealt = deal(sets, "family", "node", FAMILY_SIDE)
-    return by_group(dealt, ("family", "i", "j"), work, "a long, b long", ("a", "b"))
+    named = cut(families.join(classes.select("node", "id", "mark"), "node").select(F.col("root").alias("family"), "node", "id", "mark"), "members")
+    members = source.join(named, ["id", "mark"]).select("family", "node", "id", "text")
+    sets = cut(members.mapInArrow(gather, "family long, node long, id long, n long, hashes binary, signature array<int>"), "sets")
+    return _linked(sets, "family", "id", FAMILY_SIDE, FAMILY_SIDE * HEAVY, ("n", "hashes", "signature"), find)
 
 
-def _connect(x: np.ndarray, y: np.ndarray, hits: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
-    """Roots of the documents after comparing full sets of the pairs x-y, best first, as long as they aren't connected."""
-    root, turn = np.arange(len(hashes)), 1
+def _confirm(x: np.ndarray, y: np.ndarray, hits: np.ndarray, root: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
+    """Roots after comparing full sets of the pairs x-y, best first, as long as they aren't connected."""
+    turn = 1
     order = np.lexsort((y, x, -hits))
     x, y = x[order], y[order]
     while len(x):
         # the best pairs of every document that are left: one each, then twice as many each time
-        rank = _places(x)
-        now = (rank < turn) | (_places(y) < turn)
-        hit = [_similar(hashes[p], hashes[q], percent) for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True)]
+        now = (_places(x) < turn) | (_places(y) < turn)
+        hit = np.array([_similar(hashes[p], hashes[q], percent) for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True)], bool)
         root = merge_roots(root, x[now][hit], y[now][hit])
         rest = ~now
         rest[rest] = root[x[rest]] != root[y[rest]]

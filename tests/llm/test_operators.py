@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -162,9 +163,11 @@ def roots(n, linked):
     return root
 
 
-def test_near_text_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("shown", [0, 1, 8])
+def test_near_text_by_brute_force(spark, monkeypatch, shown):
     monkeypatch.setattr(near_text, "LIST_SIDE", 8)
     monkeypatch.setattr(near_text, "FAMILY_SIDE", 5)
+    monkeypatch.setattr(components, "SHOWN", shown)
     rng = random.Random(4)
     texts = []
     for _ in range(6):
@@ -182,6 +185,18 @@ def test_near_text_by_brute_force(spark, monkeypatch):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), wanted[r.doc_id], wanted[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("confirmed", [False, True])
+def test_a_large_family_takes_little_memory(confirmed):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate((np.arange(100), rng.integers(1000, 100_000, 8)))).astype(np.uint64) for _ in range(4096)]
+    signature, n = near_text.signatures(sets), np.array([len(s) for s in sets])
+    tracemalloc.start()
+    root = near_text._connect(signature, n, np.arange(len(sets)), 75, sets if confirmed else None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all() and peak < 32e6
+
+
 def test_near_text_of_an_id_with_two_texts(spark):
     one, two = ([f"{c}{i}" for i in range(n)] for c, n in (("u", 60), ("v", 150)))
     rows = [(5, one), (5, two), (5, two), (1, [*one, "end"]), (9, [*two, "end"]), (7, ["w", *one[:20]])]
@@ -233,10 +248,13 @@ def test_vectors_without_rows(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(5)
     linked = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(80, 120)]
     wanted = roots(121, linked)
+    monkeypatch.setattr(components, "HUB", 2)
+    linked += [(200, i) for i in range(201, 260)]
+    wanted += [*range(121, 200), *[200] * 60]
     found = components.components(spark.createDataFrame(linked, "a long, b long")).collect()
     assert all(r.root == wanted[r.node] for r in found) and len(found) == len({x for p in linked for x in p if p[0] != p[1]})
 
