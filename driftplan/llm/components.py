@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating stars. DataFrame operations only."""
+"""Connected components of a link table, by contraction and alternating stars, and how large groups are dealt to tasks."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from .common import cut, partitions
 
 #: Members of a large group that all its pieces hold, about.
 SHOWN = 8
+#: Links that one task contracts at a time.
+FEW = 250_000
 #: Neighbours of a hub that one task takes, at least; more with more links than so many a partition.
 HUB = 1_000
 
@@ -21,20 +23,39 @@ HUB = 1_000
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b long): root is the smallest node reachable.
 
-    Large stars and small stars alternate until nothing changes: every node hooks its larger, then its smaller neighbours
-    to the smallest one around. Each round is aggregates and joins on nodes; a hub's neighbours are dealt to several
-    tasks. No links or roots reach the driver, only their number and checksum.
+    Up to FEW links are one task's work. More are contracted in as many tasks as that takes; then large stars and small
+    stars alternate until nothing changes: every node hooks its larger, then its smaller neighbours to the smallest one
+    around. Each round is aggregates and joins on nodes; a hub's neighbours are dealt to several tasks. No links or roots
+    reach the driver, only their number and checksum.
     """
-    edges = cut(_clean(links.select("a", "b")), "links")
-    state = _state(edges)
-    while state[0]:
-        most = max(HUB, -(-state[0] // partitions(links.sparkSession)))
-        edges = cut(_small_star(_large_star(edges, most), most), "links")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    spark = links.sparkSession
+    edges = cut(links.select("a", "b").where("a <> b"), "links")
+    parts = -(-edges.count() // FEW)
+    if parts:
+        edges = edges.repartition(parts).mapInArrow(_contract, "a long, b long")
+    if parts > 1:
+        edges = cut(_clean(edges), "links")
+        state = _state(edges)
+        while True:
+            most = max(HUB, -(-state[0] // partitions(spark)))
+            edges = cut(_small_star(_large_star(edges, most), most), "links")
+            now = _state(edges)
+            if now == state:
+                break
+            state = now
+    ends = F.array(*[F.struct(F.col(c).alias("node"), F.col("b").alias("root")) for c in ("a", "b")])
+    return edges.select(F.explode(ends).alias("x")).select("x.*").distinct()
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task, as few as connect the same: each node with the smallest one that these links reach."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate((table["a"].to_numpy(), table["b"].to_numpy())), return_inverse=True)
+        root = merge_roots(np.arange(len(nodes)), at[: table.num_rows], at[table.num_rows :])
+        moved = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
 
 
 def _clean(pairs: DataFrame) -> DataFrame:

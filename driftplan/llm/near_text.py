@@ -18,7 +18,7 @@ from .components import by_group, components, deal, deal_rest, merge_roots, size
 #: exactly 0.75 a pair shares 24 of 32 on average and fewer than 13 with a chance of 8 in a million.
 COORDINATES, SHARED = 32, 13
 #: Documents of a list or family in one piece, about.
-LIST_SIDE, FAMILY_SIDE = 2_048, 512
+LIST_SIDE, FAMILY_SIDE = 512, 256
 #: Shingles of a document up to which a piece is dealt by number; pieces of longer ones have fewer documents.
 HEAVY = 4_000
 CHUNK_CHARS = 500_000
@@ -206,7 +206,8 @@ def _links(families: DataFrame, classes: DataFrame, source: DataFrame, width: in
             yield _joins(id_[a:b], label[a:b], lambda start, a=a, b=b, hashes=hashes: _connect(signature[a:b], n[a:b], start, percent, hashes))
 
     named = cut(families.join(classes.select("node", "id", "mark"), "node").select(F.col("root").alias("family"), "node", "id", "mark"), "members")
-    members = source.join(named, ["id", "mark"]).select("family", "node", "id", "text")
+    # texts meet their members by exchange at every size: members grow with the input
+    members = source.join(named.hint("merge"), ["id", "mark"]).select("family", "node", "id", "text")
     sets = cut(members.mapInArrow(gather, "family long, node long, id long, n long, hashes binary, signature array<int>"), "sets")
     return _linked(sets, "family", "id", FAMILY_SIDE, FAMILY_SIDE * HEAVY, ("n", "hashes", "signature"), find)
 

@@ -248,11 +248,13 @@ def test_vectors_without_rows(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components(spark, monkeypatch):
+@pytest.mark.parametrize("few", [20, 100_000])
+def test_components(spark, monkeypatch, few):
     rng = random.Random(5)
     linked = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(80, 120)]
     wanted = roots(121, linked)
     monkeypatch.setattr(components, "HUB", 2)
+    monkeypatch.setattr(components, "FEW", few)
     linked += [(200, i) for i in range(201, 260)]
     wanted += [*range(121, 200), *[200] * 60]
     found = components.components(spark.createDataFrame(linked, "a long, b long")).collect()
