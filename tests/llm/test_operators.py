@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import time
 import tracemalloc
 import zlib
 
@@ -271,6 +272,47 @@ def test_private_contexts(spark):
     assert found[22].base_sha256 == hashlib.sha256(found[22].spans.encode()).hexdigest()
 
 
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_by_pattern(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            doubled = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 12 <= len(digits) <= 19 and doubled % 10 == 0 or kind == "phone" and 9 <= len(digits) <= 15:
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)
+
+
+def test_private_base_by_brute_force(spark, small):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["1", "2", "25", "0", ".", ".", " ", "-", "+", "+1", "@", "a", "b.c", "(", ")", "é", "4111 1111 1111 1111"]) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    assert all(private.base_spans(t) == base_by_pattern(t) for t in texts)
+    found = queries.op10_private(spark, small).toPandas().set_index("doc_id")
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        spans = base_by_pattern(r.text or "")
+        said = [f"{list(BASE)[k]}:{a}:{b}" for a, k, b in spans]
+        assert found.loc[r.doc_id].base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [found.loc[r.doc_id][f"n_{k}"] for k in BASE] == [sum(x.startswith(k) for x in said) for k in BASE]
+        assert set(said) <= set(found.loc[r.doc_id].spans.split(",")) or not said
+
+
+def test_private_takes_linear_time():
+    began = time.process_time()
+    for text in ("\u4e00" * 1_000_000 + " 12345", "1" * 1_000_000 + "...1", "1.2.3.4@" * 100_000, "a@" * 300_000, "+1" + " " * 1_000_000, "a1b@c.d," * 100_000):
+        list(private.slots(text, private.base_spans(text)))
+    assert time.process_time() - began < 20
+
+
+def test_private_patterns_with_many_unseen(spark):
+    rows = [(i, f"please write to person{i}@example.com soon") for i in range(20)] + [(100 + i, f"please write to person{i}@intranet now") for i in range(10)]
+    rows += [(200 + i, f"the order number {i}{i}{i}12345 came") for i in range(30)]
+    found = {r.doc_id: r.spans for r in private.digest(private.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(found[100 + i] == "email:16:32" for i in range(10)) and not any(found[200 + i] for i in range(30))
+
+
 def test_quality_and_language_on_held_out_rows(spark, small):
     big = small.replace("0.001", "0.01")
     found = queries.op6_language(spark, big).where("held_out and not rejected").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
