@@ -33,8 +33,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     What a worker's open bins hold in the end is laid end to end and cut at the capacity; the very last rest is cut into
     sequences whose lengths are powers of two, which need no padding.
 
-    Null and empty texts have ``end_id`` alone. Repeated rows are packed each. A null id is carried. An empty table has
-    no pieces. Returns a row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    Null and empty texts have ``end_id`` alone. Very long texts are taken whole, in parts that no token spans. Repeated rows
+    are packed each. A null id is carried. An empty table has no pieces. Other columns of ``docs`` are ignored, whatever
+    their names. Returns a row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in names])
@@ -125,7 +126,7 @@ class _Ids:
         back = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in self.specials}
         self.encode = tiktoken.Encoding("bytes", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other, each with ``end_id`` behind it; where each ends."""
@@ -156,12 +157,13 @@ class _Ids:
 
     def _ids(self, points, starts, offsets, text) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(points))
-        distinct, first, inverse = np.unique(segment.span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        first, inverse = segment.distinct_spans(points, starts, ends)
         known, found = self.known, []
-        for h, a, b in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            ids = known.get(h)
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            word = text[a:b]
+            ids = known.get(word)
             if ids is None:
-                ids = known[h] = self.encode(text[a:b].encode("utf-8", "surrogatepass"))
+                ids = known[word] = self.encode(word.encode("utf-8", "surrogatepass"))
             found.append(ids)
         if len(known) > REMEMBERED:
             known.clear()

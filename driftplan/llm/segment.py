@@ -55,6 +55,22 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def distinct_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans: the first of each distinct content, and each one's place among these. Hashes sort them, symbols prove them; where hashes clash, contents decide."""
+    _, first, inverse = np.unique(span_hashes(symbols, starts, ends), return_index=True, return_inverse=True)
+    size, there = ends - starts, starts[first][inverse]
+    sound = bool((size == size[first][inverse]).all())
+    for at in range(0, len(starts) if sound else 0, STEP >> 2):
+        n, a, b = (x[at : at + (STEP >> 2)] for x in (size, starts, there))
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        sound &= bool((symbols[np.repeat(a, n) + step] == symbols[np.repeat(b, n) + step]).all())
+    if not sound:
+        places: dict[bytes, int] = {}
+        inverse = np.array([places.setdefault(symbols[a:b].tobytes(), len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(inverse, return_index=True)[1]
+    return first, inverse
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' code points, and where each text starts (with the end)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -129,5 +145,3 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
     bounds = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64) + 1)))
     return hashes, np.searchsorted(starts, bounds)
-
-

@@ -331,3 +331,16 @@ def test_words():
     hashes, bounds = segment.words(texts)
     assert np.diff(bounds).tolist() == [0, 3, 1, 0]
     assert hashes[0] == segment.words(["a ONE"])[0][1]
+
+
+def test_distinct_spans(monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.integers(97, 99, 4000).astype(np.uint32)
+    edges = np.unique(np.concatenate(([0, 4000], rng.integers(0, 4000, 1500))))
+    starts, ends = edges[:-1], edges[1:]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(segment, "span_hashes", lambda symbols, a, b: (b - a).astype(np.uint64) // np.uint64(2))
+        first, inverse = segment.distinct_spans(points, starts, ends)
+        own = [points[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        assert len(first) == len(set(own)) and all(own[first[i]] == x for i, x in zip(inverse, own, strict=True))
