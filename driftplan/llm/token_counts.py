@@ -16,68 +16,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import cut, partitions, pieces, safe_parts
+from .common import cut, pieces, safe_parts
 
 #: Characters of text in a block, and in one array while a block is built.
 BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 500_000
 #: Strings that the library's file lists as special tokens: each counts as one token wherever it stands.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
-TABLE = "block long, bucket int, body binary"
+#: Pre-tokens whose pieces the library counts at a time.
+BATCH = 2_000
+#: Rows that a block sends at a time.
+ROWS = 10_000
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """How many tokens each whole text has under the lower-case word BPE in ``tokenizer_path``.
 
-    Documents are taken in blocks. A block keeps its documents' pre-token frequencies and sends its distinct pre-tokens,
-    by hash, to the buckets of a dictionary. A bucket counts the pieces of every distinct pre-token once, by the library
-    itself, and answers each block; the block then sums frequency times pieces per document. No ids are made, and no
-    frequency list crosses the network by word, so frequent words weigh no more than rare ones.
+    Documents are taken in blocks. A block keeps its documents' pre-token frequencies and sends a row for each of its
+    distinct pre-tokens. The pieces of every distinct pre-token of the whole table are counted once, by the library itself;
+    a join brings them to the blocks, which sum frequency times pieces per document. No ids are made. A frequent word is a
+    row per block, not per document; joins are Spark's, by the word, so nothing is held but a block.
 
-    Pre-tokens are told apart by 64-bit hashes. Null and empty texts have 0 tokens. Repeated rows are counted each; a null
-    id is carried. Returns ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
+    Null and empty texts have 0 tokens. Very long texts are taken whole, in parts that no pre-token spans. Repeated rows are
+    counted each; a null id is carried. An empty table gives an empty result. Other columns of ``docs`` are ignored,
+    whatever their names. Returns ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
     """
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        block = _Block(tokenizer_path)
+        block, held = TaskContext.get().partitionId() << 32, _Block(tokenizer_path)
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
-            block.add(batch.column(0).to_pylist(), texts)
-            if block.chars >= BLOCK_CHARS:
-                yield block.rows((part << 32) + seq, buckets)
-                block, seq = _Block(tokenizer_path), seq + 1
-        if block.ids:
-            yield block.rows((part << 32) + seq, buckets)
-
-    def answer(table: pa.Table) -> pa.Table:
-        lists = [_unpack(b)[0].decode("utf-8", "surrogatepass").split("\n") for b in table["body"].to_pylist()]
-        hashes = [segment.span_hashes(points, at[:-1], at[1:]) for points, at in map(segment.code_points, lists)]
-        distinct, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        words = np.array([w for own in lists for w in own], object)[first]
-        tokenizer, n = _library(tokenizer_path), np.zeros(len(distinct), np.uint32)
-        for i in range(0, len(words), 2_000):
-            n[i : i + 2_000] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + 2_000].tolist(), add_special_tokens=False)]
-        found = np.split(n[inverse], np.cumsum([len(h) for h in hashes])[:-1])
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array([_pack(x.tobytes()) for x in found], pa.binary())})
+            held.add(batch.column(0).to_pylist(), texts)
+            if held.chars >= BLOCK_CHARS:
+                yield from held.rows(block)
+                block, held = block + 1, _Block(tokenizer_path)
+        if held.ids:
+            yield from held.rows(block)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _library(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                words = batch.column(0).slice(at, BATCH)
+                found = tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([words, pa.array([len(e.ids) for e in found], pa.int32())], names=["word", "pieces"])
 
     result = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), strict=True))
-        own = _unpack(rows[0][1])
-        n = np.concatenate([np.frombuffer(_unpack(b)[0], np.uint32) for _, b in rows[1:]] or [np.zeros(0, np.uint32)])
-        sizes, base, per, steps, often = (np.frombuffer(x, kind) for x, kind in zip(own[1:], (np.int64, np.int64, np.int64, np.int32, np.uint32), strict=True))
+        places = table["place"].to_numpy()
+        own = _unpack(table["body"][int(places.argmin())].as_py())
+        n = np.zeros(len(places) - 1, np.int64)
+        n[places[places >= 0]] = table["pieces"].to_numpy()[places >= 0]
+        sizes, base, per, at, often = (np.frombuffer(x, kind) for x, kind in zip(own[1:], (np.int64, np.int64, np.int64, np.int32, np.uint32), strict=True))
         doc = np.repeat(np.arange(len(per)), per)
-        at = np.cumsum(steps)
-        at -= np.repeat(np.concatenate(([0], at))[np.cumsum(per) - per], per) if len(at) else 0
         tokens = base + np.bincount(doc, n[at].astype(np.float64) * often, len(per)).astype(np.int64) if len(at) else base
         return pa.table({id_col: pa.ipc.open_stream(own[0]).read_all().column(0), "n_bytes": sizes, "n_tokens": tokens})
 
-    blocks = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, TABLE), "token-blocks")
-    answers = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, TABLE)
-    counted = blocks.where("bucket < 0").unionByName(answers).groupBy("block").applyInArrow(total, result)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, "block long, place int, word string, body binary"), "token-blocks")
+    words = rows.where("place >= 0").select("block", "place", "word")
+    counted = words.select("word").distinct().mapInArrow(count, "word string, pieces int")
+    answers = words.join(counted, "word").select("block", "place", "pieces", F.lit(None).cast("binary").alias("body"))
+    bodies = rows.where("place < 0").select("block", "place", F.lit(0).alias("pieces"), "body")
+    return bodies.unionByName(answers).groupBy("block").applyInArrow(total, result).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 @lru_cache(1)
@@ -111,8 +111,8 @@ class _Block:
 
     def __init__(self, tokenizer_path: str):
         self.path, self.library, self.chars, self.ids, self.sizes, self.base = tokenizer_path, None, 0, [], [], []
-        self.words: dict[int, str] = {}
-        self.docs, self.hashes, self.often = [], [], []
+        self.places: dict[str, int] = {}
+        self.docs, self.at, self.often = [], [], []
 
     def add(self, ids: list, texts: list[str]) -> None:
         fast, odd = [], []
@@ -147,40 +147,28 @@ class _Block:
                 self._count(np.full(len(spans), doc), segment.code_points([text])[0], spans[:, 0], spans[:, 1], text)
 
     def _count(self, of: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> None:
-        hashes = segment.span_hashes(points, starts, ends)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        words = self.words
-        for h, a, b in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            if h not in words:
-                words[h] = text[a:b]
-        low, n = int(of[0]), len(distinct)
+        first, inverse = segment.distinct_spans(points, starts, ends)
+        places = self.places
+        place = np.array([places.setdefault(text[a:b], len(places)) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)
+        low, n = int(of[0]), len(first)
         pair, often = np.unique((of - low) * n + inverse, return_counts=True)
         self.docs.append(pair // n + low)
-        self.hashes.append(distinct[pair % n])
+        self.at.append(place[pair % n].astype(np.int32))
         self.often.append(often.astype(np.uint32))
 
-    def rows(self, block: int, buckets: int) -> pa.RecordBatch:
-        every = np.fromiter(self.words, np.uint64, len(self.words))
-        bucket = (every % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((every, bucket))
-        every, bucket, place = every[order], bucket[order], np.empty(len(order), np.int32)
-        doc, hashes, often = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.docs, self.hashes, self.often))
-        by_hash = np.argsort(every)
-        place = by_hash[np.searchsorted(every[by_hash], hashes)] if len(hashes) else np.zeros(0, np.int64)
-        order = np.lexsort((place, doc))
-        doc, place, often = doc[order], place[order], often[order].astype(np.uint32)
-        # the same pre-token of one document may have come from several parts: equal places stay apart, and add up later
-        fresh = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-        steps = np.diff(place, prepend=0)
-        steps[fresh] = place[fresh]
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """The distinct pre-tokens, and a row of place -1 with the documents' ids, sizes, tokens so far and frequencies."""
+        doc, at, often = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.docs, self.at, self.often))
+        # the same pre-token of one document may have come from several parts: these add up later
+        order = np.lexsort((at, doc))
+        at, often = at[order].astype(np.int32), often[order].astype(np.uint32)
         sink = pa.BufferOutputStream()
         ids = pa.table({"id": pa.array(self.ids)})
         with pa.ipc.new_stream(sink, ids.schema) as writer:
             writer.write_table(ids)
-        own = _pack(sink.getvalue().to_pybytes(), np.array(self.sizes, np.int64).tobytes(), np.array(self.base, np.int64).tobytes(), np.bincount(doc, minlength=len(self.ids)).astype(np.int64).tobytes(), steps.astype(np.int32).tobytes(), often.tobytes())
-        out, edges = [(block, -1, own)], np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            held = every[edges[b] : edges[b + 1]]
-            out.append((block, int(b), _pack("\n".join(map(self.words.__getitem__, held.tolist())).encode("utf-8", "surrogatepass"))))
-        blocks, of, bodies = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(of, pa.int32()), pa.array(bodies, pa.binary())], names=["block", "bucket", "body"])
+        body = _pack(sink.getvalue().to_pybytes(), np.array(self.sizes, np.int64).tobytes(), np.array(self.base, np.int64).tobytes(), np.bincount(doc.astype(np.int64), minlength=len(self.ids)).astype(np.int64).tobytes(), at.tobytes(), often.tobytes())
+        words = list(self.places)
+        for i in range(-1, len(words), ROWS):
+            part = [None, *words[:ROWS - 1]] if i < 0 else words[i : i + ROWS]
+            places = np.arange(i, i + len(part), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(places), pa.array(part, pa.string()), pa.array([body if p < 0 else None for p in places.tolist()], pa.binary())], names=["block", "place", "word", "body"])
