@@ -1,39 +1,34 @@
-"""Shared plumbing: the cluster's shared folder, lineage cuts, small Arrow helpers."""
+"""Shared plumbing: lineage cuts, running sums, small Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from ..storage import cut, shared_dir
 
+__all__ = ["cut", "no_surrogates", "partitions", "pieces", "running", "safe_parts", "shared_dir", "text_or_empty"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one in local mode; an error on a cluster."""
-    path = spark.conf.get(SETTING, None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="driftplan-")
-        spark.conf.set(SETTING, path)
-    return path.rstrip("/")
-
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a DataFrame that reads it: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftplan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """``df`` with running sums, the row's own value included, in a total ``order`` (that starts with ``group``, not null, if given).
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    Rows are dealt to ``parts`` ranges of ``order``, which Spark measures; each range sums up its rows, and what lies before
+    it is added: no window holds more than a range's rows, or a row per range.
+    """
+    named = df.select("*", *[v.alias(f"_of_{k}") for k, v in sums.items()])
+    placed = cut(named.repartitionByRange(parts or partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    held = placed.groupBy(*group, "_part").agg(*[F.sum(f"_of_{k}").alias(f"_of_{k}") for k in sums])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut(held.select(*group, "_part", *[F.coalesce(F.sum(f"_of_{k}").over(before), F.lit(0)).alias(f"_ahead_{k}") for k in sums]), "range-sums")
+    own = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(ahead, [*group, "_part"]).select(*df.columns, *[(F.col(f"_ahead_{k}") + F.sum(f"_of_{k}").over(own)).alias(k) for k in sums])
 
 
 def text_or_empty(col: str):

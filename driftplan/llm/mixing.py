@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, running
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a source that one task sums up, about.
-ROWS_PER_BUCKET = 5_000
+#: Sources that one task puts in order, about.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -36,10 +36,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     as many complete epochs as its target holds. For the rest, documents get Efraimidis-Spirakis keys -ln(u)/quality and are
     taken whole in the order of keys, by prefix sums, as long as that brings the sum nearer to the target.
 
-    A source's rows are spread over key ranges whose sums are added up first, so a source that holds most rows is not one
-    task's work. Null and empty texts have size 0 and are never taken; a source of size 0 has target 0. Ties in the key go
-    by id and size; rows that repeat an id count each. u depends on id and seed alone: reruns agree. Returns ``id_col``,
-    source, size, source_size, target, taken, copies (taken / size), and ``mark``, a column of ``docs`` to carry along, if given.
+    Rows are dealt to ranges of source and key, as measured, whose sums are added up first: neither a source that holds
+    most rows nor keys that crowd are one task's work. Null and empty texts have size 0 and are never taken; a source of
+    size 0 has target 0. Very long texts count whole. Ties in the key go by id and size; rows that repeat an id count each.
+    u depends on id and seed alone: reruns agree. An empty table gives an empty result. Other columns are ignored, whatever
+    their names. Returns ``id_col``, source, size, source_size, target, taken, copies (taken / size), and ``mark``, a column
+    of ``docs`` to carry along, if given.
     """
     value = symbol_quality(F.col(text_col)) if quality is None else quality
     sized = cut(
@@ -50,16 +52,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     targets = cut(_targets(sized, weights, max_epochs, share), "mix-targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["of"]))
     carried = [] if mark is None else ["mark"]
-    placed = rows.select("id", "source", "size", "key", "source_size", "target", "place", *carried, F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")), F.col("n_buckets") - 1).alias("bucket"))
-    own = Window.partitionBy("place", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = cut(placed.groupBy("place", "bucket").agg(F.sum("size").alias("held")), "mix-sums")
-    ahead = sums.withColumn("ahead", F.sum("held").over(Window.partitionBy("place").orderBy("bucket")) - F.col("held")).select("place", "bucket", "ahead")
-    before = F.col("ahead") + F.sum("size").over(own) - F.col("size")
+    placed = rows.select("id", "source", "size", "key", "source_size", "target", "place", *carried)
+    order = [F.col(c) for c in ("place", "key", "id", "size")]
+    summed = running(placed, order, {"upto": F.col("size")}, ("place",))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     return (
-        placed.join(ahead, ["place", "bucket"])
-        .withColumn("before", before)
+        summed.withColumn("before", F.col("upto") - F.col("size"))
         .withColumn("epochs", epochs)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + (2 * (left - F.col("before")) > F.col("size")).cast("long")).otherwise(F.lit(0)).cast("long"))
         .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carried)
@@ -67,17 +66,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
 
 
 def _targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int, share: float) -> DataFrame:
-    """One row per source; the table of sources is small beside the documents, and its windows run over it as one."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    turn = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
+    """One row per source."""
+    sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    n, total = sources.agg(F.count("*"), F.sum("source_size")).first()
+    parts = max(1, -(-n // SOURCES))
+    turn = running(sources, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}, parts=parts)
     table = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sources.withColumn("place", turn).withColumn("weight", F.get(table, F.col("place") % len(weights))).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
+    ranked = turn.withColumn("place", F.col("turn") - 1).withColumn("weight", F.get(table, F.col("place") % len(weights))).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
     # sources that reach their caps first, in order of cap per weight: what is left for the others is shared by weight
-    order = every.orderBy(F.col("cap") / F.col("weight"), "place")
-    left = F.lit(share) * F.sum("source_size").over(every) - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap"))
-    others = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = ranked.withColumn("level", left / others).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    final = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level")))).over(every)
-    target = F.when(F.col("full"), F.col("cap")).otherwise(final["level"] * F.col("weight"))
-    return level.withColumn("target", target).select(F.col("source").alias("of"), "place", "source_size", F.round("target", 6).alias("target"), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(ROWS_PER_BUCKET))).alias("n_buckets"))
+    full = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
+    upto = running(full, [F.col("ratio"), F.col("place")], {"caps": F.col("cap"), "weighed": F.col("weight")}, parts=parts)
+    every = upto.agg(F.sum("weight")).first()[0]
+    left = F.lit(share * float(total or 0)) - (F.col("caps") - F.col("cap"))
+    others = F.lit(float(every or 0)) - (F.col("weighed") - F.col("weight"))
+    level = cut(upto.withColumn("level", left / others).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight")), "mix-levels")
+    final = level.where("NOT full").agg(F.min(F.struct("ratio", "place", "level"))).first()[0]
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.lit(float(final["level"]) if final else 0.0) * F.col("weight"))
+    return level.select(F.col("source").alias("of"), "place", "source_size", F.round(target, 6).alias("target"))

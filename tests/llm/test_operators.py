@@ -10,12 +10,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same
 
 from driftplan.llm import components, dedup_exact, language, mixing, near_text, near_vectors, packing, private, quality, queries, repeats, segment, token_counts
-from driftplan.llm.common import safe_parts
+from driftplan.llm.common import running, safe_parts
 
 TOKENS = {"op3": queries.tokenizer("byte_bpe_50k.json"), "op9": queries.tokenizer("word_bpe_49k.json")}
 #: Columns whose names operators use inside.
@@ -344,3 +345,29 @@ def test_distinct_spans(monkeypatch):
         first, inverse = segment.distinct_spans(points, starts, ends)
         own = [points[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         assert len(first) == len(set(own)) and all(own[first[i]] == x for i, x in zip(inverse, own, strict=True))
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = sorted((rng.choice("abc"), rng.randint(0, 50), i) for i in range(500))
+    frame = spark.createDataFrame(rows, "g string, k int, v long")
+    for group in ((), ("g",)):
+        wanted, sums = {}, {}
+        for g, _, v in rows:
+            key = g if group else ""
+            sums[key] = wanted[v] = sums.get(key, 0) + v
+        found = running(frame.repartition(5), [F.col(c) for c in ("g", "k", "v")], {"s": F.col("v")}, group, parts=7)
+        assert {r.v: r.s for r in found.collect()} == wanted
+
+
+def test_mix_deals_crowded_keys_evenly(spark, monkeypatch):
+    """A source whose documents are all of quality 0.05 is spread over ranges like any other."""
+    from driftplan.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "cut", lambda df, name="cut": seen.append((name, df)) or df)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '{}();[]' ELSE 'plain words here' END AS text", "CASE WHEN id % 3 = 0 THEN 'code' ELSE 'web' END AS source")
+    mixing.mix(docs)
+    ranges = [df for name, df in seen if name == "ranges"][-1]
+    held = [r["count"] for r in ranges.groupBy("_part").count().collect()]
+    assert len(held) >= 3 and max(held) <= 3 * sorted(held)[len(held) // 2]
