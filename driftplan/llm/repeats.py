@@ -16,6 +16,8 @@ from . import segment
 from .common import cut, partitions
 from .token_counts import _pack, _unpack
 
+#: Bytes of text for each bucket, at most about: more buckets than shuffle partitions where that takes more.
+BUCKET_BYTES = 64_000_000
 #: Length of grams whose minimum anchors a window; bytes in a block, and positions in one array.
 GRAM, BLOCK_BYTES, CHUNK = 32, 8_000_000, 1_000_000
 #: Copies to leave out are broadcast up to so many rows (16 bytes and a hash each), joined by exchange beyond.
@@ -34,12 +36,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     merged common prefixes tell which right contexts agree, for every length; together with the bytes to the left of the
     anchor that decides each window. Removed spans return to the blocks, which cut them out of the texts.
 
+    Windows are equal if their bytes are: grams pick what is compared by hash, then contexts to the right and to the left
+    are both sorted and get classes by their bytes. Of windows that a block holds twice it removes the later ones itself,
+    and suffixes all of whose windows are such don't travel: a passage in most documents is sent once a block.
+
     A text that is a copy of one with a smaller id goes as a whole (if it has ``length`` bytes at all) and isn't sorted.
     Null texts count as empty. A null id comes before all others; rows that repeat an id are ordered by their place in
-    the table. Left contexts are compared by 64-bit hashes, only among windows with equal grams. Returns one row per input row:
-    ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes), kept_sha256.
+    the table. Very long texts are blocks of their own. An empty table gives an empty result. Other columns of ``docs`` are
+    ignored, whatever their names. Returns one row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed
+    runs), kept (remaining bytes), kept_sha256.
     """
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("bytes")).withColumn("sha", F.sha2("bytes", 256))
     order = F.coalesce("id", F.lit(-(1 << 63)))
     texts = source.select("id", "sha", F.length("bytes").cast("long").alias("n"))
@@ -48,6 +54,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     skip = copies.select("id", "sha").distinct()
     few = skip.count() <= FEW
     blocks = cut(source.join(F.broadcast(skip) if few else skip, ["id", "sha"], "left_anti").select("id", "bytes").mapInArrow(_block_up, TABLE), "blocks")
+    buckets = max(partitions(docs.sparkSession), -(-blocks.count() * BLOCK_BYTES // BUCKET_BYTES))
     answers = blocks.mapInArrow(_grams(length, buckets), TABLE).groupBy("bucket").applyInArrow(_repeated, TABLE)
     runs = blocks.unionByName(answers).groupBy("block").applyInArrow(_runs(length, buckets), TABLE)
     covers = runs.groupBy("bucket").applyInArrow(_merge(length), TABLE)
@@ -176,12 +183,21 @@ def _runs(length: int, buckets: int):
             differ = suffix[1:] != suffix[:-1]
             same = np.where(differ.any(1), differ.argmax(1), length)
             lcp = np.concatenate(([0], np.minimum(same, np.minimum(right[1:], right[:-1]))))
-            at = np.arange(length)
-            tails = suffix[(at >= lcp[:, None]) & (at < right[:, None])]
-            before = padded[length + a[:, None] - 1 - np.arange(length - GRAM)][np.arange(length - GRAM) < left[:, None]]
+            reach = padded[length + a[:, None] - 1 - np.arange(length - GRAM)]
+            reach[np.arange(length - GRAM) >= left[:, None]] = 0
             text = np.searchsorted(bounds, a, "right") - 1
             # the place in the order of documents: null ids first
-            columns = (lcp.astype(np.uint8), right.astype(np.uint8), left.astype(np.uint8), (a - high[part]).astype(np.uint8), tails, before, (1 - null[text]).astype(np.uint8), ids[text], text.astype(np.int32), a - bounds[text])
+            known, low_, here = (1 - null[text]).astype(np.uint8), a - high[part], np.full(len(a), block)
+            spans, first = _windows(np.arange(len(a)), lcp, left, low_, reach, known, ids[text], here, text, a - bounds[text], length)
+            # common prefixes with the last suffix that stays
+            stay = np.flatnonzero(first)
+            lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.append(0, stay[:-1] + 1))
+            lcp[0] = 0
+            right, left, suffix, text, a = right[stay], left[stay], suffix[stay], text[stay], a[stay]
+            at = np.arange(length)
+            tails = suffix[(at >= lcp[:, None]) & (at < right[:, None])]
+            before = reach[stay][np.arange(length - GRAM) < left[:, None]]
+            columns = (lcp.astype(np.uint8), right.astype(np.uint8), left.astype(np.uint8), low_[stay].astype(np.uint8), tails, before, known[stay], ids[text], text.astype(np.int32), a - bounds[text], spans[1].astype(np.int32), spans[2], spans[3])
             out.append((block, int(gram[part[0]] % np.uint64(buckets)), _pack(*(c.tobytes() for c in columns))))
         return _table(out)
 
@@ -254,8 +270,8 @@ def _merge(length: int):
     """Removed spans of the windows that a bucket's merged suffixes show to be repeats, by block."""
 
     def work(table: pa.Table) -> pa.Table:
-        runs, heads, blocks = [], [], table["block"].to_pylist()
-        for block, body in zip(blocks, table["body"].to_pylist(), strict=True):
+        runs, heads, spans = [], [], []
+        for block, body in zip(table["block"].to_pylist(), table["body"].to_pylist(), strict=True):
             c = _unpack(body)
             lcp, right, left, low = (np.frombuffer(x, np.uint8) for x in c[:4])
             strings, tails, before, at = [], c[4], b"", 0
@@ -268,27 +284,24 @@ def _merge(length: int):
             reach = np.zeros((n, length - GRAM), np.uint8)
             reach[np.arange(length - GRAM) < left[:, None].astype(np.int64)] = np.frombuffer(c[5], np.uint8)
             heads.append((np.full(n, block, np.int64), left.astype(np.int64), low.astype(np.int64), reach, np.frombuffer(c[6], np.uint8), *(np.frombuffer(x, k) for x, k in zip(c[7:10], (np.int64, np.int32, np.int64), strict=True))))
+            own = [np.frombuffer(x, k) for x, k in zip(c[10:], (np.int32, np.int64, np.int64), strict=True)]
+            spans.append((np.full(len(own[0]), block, np.int64), *own))
         order, prefixes = merge_runs(runs)
         first = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])))
         place = np.array([first[r] + i for r, i in order], np.int64)
         block, left, low, reach, known, ids, text, anchor = (np.concatenate(c)[place] for c in zip(*heads, strict=True))
         lcp = np.array(prefixes, np.int64)
-        # classes of equal right contexts, for every length from GRAM up
-        group = np.cumsum(lcp < GRAM)
-        spans = []
-        edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        # groups of equal grams, in batches
+        edges = np.flatnonzero(np.concatenate(([True], lcp[1:] < GRAM, [True])))
         many = np.diff(edges) > 1
-        start = 0
-        bounds = edges[1:]
+        start, bounds = 0, edges[1:]
         while start < len(lcp):
             end = int(bounds[min(np.searchsorted(bounds, start + 20_000), len(bounds) - 1)])
             rows = np.arange(start, end)
             rows = rows[many[np.searchsorted(edges, rows, "right") - 1]]
             if len(rows):
-                spans.append(_windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length))
+                spans.append(_windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length)[0])
             start = end
-        if not spans:
-            return _table([])
         block, text, begin, end = (np.concatenate(c) for c in zip(*spans, strict=True))
         order = np.argsort(block, kind="stable")
         out = []
@@ -300,28 +313,41 @@ def _merge(length: int):
     return work
 
 
-def _windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length) -> tuple[np.ndarray, ...]:
-    """Spans covered by windows that stand earlier as well, among suffixes ``rows`` of whole gram groups."""
+def _prefix_classes(lcp: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """[row, i]: rows in order agree in their first lengths[i] bytes exactly if their classes are equal; lcp: common prefix with the row before."""
+    return np.cumsum(lcp[:, None] < lengths, axis=0, dtype=np.int64)
+
+
+def _windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Spans covered by windows that stand earlier as well, among suffixes ``rows`` of whole gram groups; which suffixes have a first window.
+
+    A window of a suffix reaches o bytes to the left of the anchor and length - o to the right; two are equal if both agree.
+    """
     offsets = np.arange(length - GRAM + 1)
-    # classes[r, o]: suffixes agree with the one before in length - o bytes at least exactly if the class is the same
-    classes = np.cumsum(lcp[rows][:, None] < length - offsets, axis=0)
-    factors = segment.mix(offsets[:-1].astype(np.uint64) + np.uint64(77)) | np.uint64(1)
-    sums = np.zeros((len(rows), len(offsets)), np.uint64)
-    np.cumsum(segment.mix(reach[rows].astype(np.uint64) + factors), axis=1, out=sums[:, 1:])
+    right = _prefix_classes(lcp[rows], length - offsets)
+    context = np.ascontiguousarray(reach[rows])
+    by_left = np.argsort(context.view(f"V{length - GRAM}").ravel().view(f"S{length - GRAM}"), kind="stable")
+    differ = context[by_left[1:]] != context[by_left[:-1]]
+    agree = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), length - GRAM)))
+    before = np.empty((len(rows), len(offsets)), np.int64)
+    before[by_left] = _prefix_classes(agree, offsets)
     order = np.lexsort((anchor[rows], text[rows], block[rows], ids[rows], known[rows]))
     n = left[rows][order] - low[rows][order] + 1
     own = np.repeat(order, n)
     o = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[rows][order], n)
-    key = segment.mix(sums[own, o] ^ segment.mix(classes[own, o].astype(np.uint64) * np.uint64(128) + o.astype(np.uint64)))
+    # classes and offsets are under the number of rows and 128: numbers up to 2**63 tell all apart for 2**28 suffixes
+    key = (right[own, o] * (len(rows) + 1) + before[own, o]) * 128 + o
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    again = np.flatnonzero(first[inverse] != np.arange(len(key)))
-    own, start = own[again], (anchor[rows][own] - o)[again]
+    fresh = first[inverse] == np.arange(len(key))
+    new = np.zeros(len(rows), bool)
+    new[own[fresh]] = True
+    own, start = own[~fresh], (anchor[rows][own] - o)[~fresh]
     of, at = block[rows][own], text[rows][own]
     order = np.lexsort((start, at, of))
     of, at, start = of[order], at[order], start[order]
-    fresh = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + length)))) if len(of) else np.zeros(0, np.int64)
-    last = np.append(fresh[1:], len(of)) - 1 if len(of) else fresh
-    return of[fresh], at[fresh], start[fresh], start[last] + length
+    edge = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + length)))) if len(of) else np.zeros(0, np.int64)
+    last = np.append(edge[1:], len(of)) - 1 if len(of) else edge
+    return (of[edge], at[edge], start[edge], start[last] + length), new
 
 
 def _cut_out(table: pa.Table) -> pa.Table:

@@ -118,13 +118,17 @@ def test_tokens_whose_lower_case_leaves_the_table(spark):
     assert {r.doc_id: r.n_tokens for r in found} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_by_brute_force(spark, seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_by_brute_force(spark, monkeypatch, seed):
+    if seed % 2:
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", 1_000_000)
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     passages = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(4)]
     texts = [" ".join(rng.choice([rng.choice(words), rng.choice(words), rng.choice(passages) if rng.random() < 0.2 else "é"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
     texts += [texts[3], texts[7] + "!", "z" * 500, "z" * 350]
+    if seed > 3:  # one passage in most documents, behind different words
+        texts = [f"{rng.choice(words)} {passages[0]} {t}" if rng.random() < 0.7 else t for t in texts] + ["\0" * 300, "a" + "\0" * 250]
     found = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     seen = set()
     for i, text in enumerate(texts):
