@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["cut", "no_surrogates", "partitions", "pieces", "running", "safe_parts", "shared_dir", "text_or_empty"]
+__all__ = ["cut", "no_surrogates", "partitions", "pieces", "running", "safe_parts", "shared_dir", "spread", "text_or_empty"]
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -31,6 +31,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group:
     return placed.join(ahead, [*group, "_part"]).select(*df.columns, *[(F.col(f"_ahead_{k}") + F.sum(f"_of_{k}").over(own)).alias(k) for k in sums])
 
 
+def spread(text: Column, chars: int, n: int) -> Column:
+    """A text of up to ``chars`` characters whole; of a longer one ``n`` pieces, ``chars`` together, from its beginning to its end."""
+    size = chars // n
+    step = (F.length(text) - size) / (n - 1)
+    parts = F.transform(F.array(*[F.lit(i) for i in range(n)]), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, " "))
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

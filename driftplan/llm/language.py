@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text in each language's dictionary, from pieces of so many characters of each sampled document.
-DICTIONARY_BYTES, SAMPLE_CHARS = 112_640, 2_000
+from .common import spread
+
+#: Bytes of text in each language's dictionary; of each sampled document pieces, spread over the whole text, of so many characters together.
+DICTIONARY_BYTES, SAMPLE_CHARS, PIECES = 112_640, 2_000, 4
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long text.
 PIECE_BYTES = 4_096
 ZSTD_LEVEL = 5
@@ -28,11 +30,12 @@ def folded(text: str) -> bytes:
 def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: str = "doc_id", size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """One raw-content dictionary per value of ``lang_col``: text of a bounded sample, at most ``size`` bytes each.
 
-    Documents are drawn evenly over the whole table, in an order made from a hash of ``order_by``. Languages are few;
-    their counts and samples are all that the driver sees. Rows without text or language teach nothing.
+    Documents are drawn evenly over the whole table, in an order made from a hash of ``order_by``. The languages are the
+    model: their counts and samples, ``size`` bytes for each, are all that the driver sees. Rows without text or language
+    teach nothing. Of long texts pieces from all over are taken. An empty table gives no dictionaries.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
-        F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("head"), F.abs(F.xxhash64(F.col(order_by).cast("string"))).alias("at")
+        F.col(lang_col).alias("lang"), spread(F.col(text_col), SAMPLE_CHARS, PIECES).alias("head"), F.abs(F.xxhash64(F.col(order_by).cast("string"))).alias("at")
     )
     counted = {r["lang"]: (r["n"], max(1.0, r["mean"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("head")).alias("mean")).collect()}
     if not counted:
@@ -53,9 +56,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     A text is compressed, piece by piece, with each language's dictionary; the smallest total wins. The margin is the
     share of bytes by which the second is larger. ``score`` (0 to 1) rises with the margin; ``rejected`` marks texts with
     a margin under ``min_margin`` and those without any letter, whose language is ``und``. Null texts, empty ones and all
-    texts, if there is no dictionary, are ``und`` with score 0. Ties go to the
-    language with more training documents. Rows are taken one by one:
-    repeated ones give equal results. ``keep`` names columns of ``docs`` to carry along.
+    texts, if there is no dictionary, are ``und`` with score 0. Very long texts are read whole. Ties go to the language with
+    more training documents. Rows are taken one by one: repeated ones give equal results; a null id is carried. An empty
+    table gives an empty result. ``keep`` names columns of ``docs`` to carry along; others are ignored, whatever their names.
 
     Returns: ``id_col``, lang_pred, score, margin, rejected, and ``keep``.
     """
