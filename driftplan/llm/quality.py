@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import pieces
+from .common import cut, pieces, spread
 
-#: Labelled rows that the model is fitted on, at most, and the characters that it reads of each of these.
-SAMPLE, SAMPLE_CHARS = 6_000, 8_000
+#: Labelled rows that the model is fitted on, at most. Word vectors come from pieces of these, spread over the whole text,
+#: of so many characters together; the network sees whole texts.
+SAMPLE, SAMPLE_CHARS, PIECES = 6_000, 8_000, 8
 #: Words are told apart by hash up to WORDS; SHAPES are kinds of tokens, and TOTAL what has a vector.
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 15, 1 << 9, 32, 4, 2
 TOTAL = WORDS + SHAPES
 HIDDEN, EPOCHS, BATCH = 32, 60, 64
-CHUNK_CHARS = 500_000
+#: Characters in one array, and tokens whose vectors are in memory at once.
+CHUNK_CHARS, STEP = 500_000, 100_000
 
 
 def index_vectors() -> np.ndarray:
@@ -37,9 +39,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points, offsets = segment.code_points(texts)
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    points = np.minimum(points, segment.TABLE - 1)
+    # beyond the class table every sign is a token: what it is counts, its bounds are those of digits
+    symbols, points = points, np.where(points < segment.TABLE, points, ord("0"))
     starts, ends = segment.word_bpe_spans(points, offsets)
-    hashes = segment.span_hashes(points, starts, ends)
+    hashes = segment.span_hashes(symbols, starts, ends)
     bounds = np.searchsorted(starts, offsets)
     size = np.minimum(ends - starts, 15)
     kind = segment.classes()[points[starts]].astype(np.int64)
@@ -81,12 +84,16 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     words, shapes, bounds = tokens(texts)
     out = np.zeros((len(texts), 2 * DIM + 3), np.float32)
     n = np.diff(bounds)
-    full = np.flatnonzero(n)
-    if len(full):
+    for at in range(0, len(words), STEP):
+        doc = np.searchsorted(bounds, np.arange(at, min(at + STEP, len(words))), "right") - 1
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         for k, ids in enumerate((words, shapes)):
-            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[ids], bounds[:-1][full]) / n[full, None]
-            out[full, 2 * DIM + k] = np.linalg.norm(out[full, k * DIM : (k + 1) * DIM], axis=1)
-        out[full, -1] = np.log1p(n[full]) / 10
+            out[doc[first], k * DIM : (k + 1) * DIM] += np.add.reduceat(vectors[ids[at : at + STEP]], first)
+    full = n > 0
+    for k in range(2):
+        out[full, k * DIM : (k + 1) * DIM] /= n[full, None]
+        out[full, 2 * DIM + k] = np.linalg.norm(out[full, k * DIM : (k + 1) * DIM], axis=1)
+    out[full, -1] = np.log1p(n[full]) / 10
     return out
 
 
@@ -129,24 +136,37 @@ class Network:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE):
-    """Word vectors and network from at most ``sample`` labelled rows, drawn evenly by a hash of the id. Without labels of both kinds: None."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.col(label_col).cast("int").alias("label"))
-    n = rows.count()
-    share = min(1.0, 1.1 * sample / max(n, 1))
-    drawn = rows.withColumn("at", F.abs(F.xxhash64(F.col("id").cast("string"), F.lit("quality")))).where(F.col("at") < share * float(1 << 63)).orderBy("at", "text", "label").limit(sample).toArrow()
-    texts, y = drawn["text"].to_pylist(), np.array(drawn["label"].to_pylist(), np.int64)
-    if len(set(y.tolist())) < 2:
+    """Word vectors and network from at most ``sample`` labelled rows, drawn evenly by a hash of the id. Without labels of both kinds: None.
+
+    Word vectors are sums over pieces of the drawn texts; then the tasks pool these texts whole, as ``score`` does, and the
+    network is fitted on what they found. So the driver holds a bounded number of rows and characters, however long texts
+    are. Null texts count as empty, rows without label don't count; ties in the order are broken by text and label.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), F.col(label_col).cast("int").alias("label"))
+    share = min(1.0, 1.1 * sample / max(rows.count(), 1))
+    at = F.abs(F.xxhash64(F.col("id").cast("string"), F.lit("quality")))
+    drawn = cut(rows.withColumn("at", at).where(F.col("at") < share * float(1 << 63)).withColumn("mark", F.xxhash64("text")).orderBy("at", "mark", "label").limit(sample), "labelled")
+    texts = [r["piece"] for r in drawn.orderBy("at", "mark", "label").select(spread(F.col("text"), SAMPLE_CHARS, PIECES).alias("piece")).toLocalIterator()]
+    if not 0 < drawn.where("label = 1").count() < len(texts):
         return None
-    vectors = word_vectors(texts, index_vectors())
-    x = np.concatenate([pooled(texts[i : i + 200], vectors) for i in range(0, len(texts), 200)])
-    return vectors.astype(np.float32), Network(x, y)
+    vectors = word_vectors(texts, index_vectors()).astype(np.float32)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in pieces(batches, "text", CHUNK_CHARS):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(pooled(some, vectors)), pa.list_(pa.float32()))], names=["at", "mark", "label", "x"])
+
+    found = drawn.select("at", "mark", "label", "text").mapInArrow(pool, "at long, mark long, label int, x array<float>").toPandas().sort_values(["at", "mark", "label"], kind="stable")
+    return vectors, Network(np.stack(found["x"].to_list()).astype(np.float32), found["label"].to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Probability that a whole text is of quality 1.
 
     Null and empty texts get the score of a text without words. Without a model (no labels of both kinds) every score is
-    0.5. Rows are scored one by one, repeated ones too. Returns ``id_col``, score, predicted (1 if score >= ``threshold``).
+    0.5. Very long texts are read whole. A score equal to the threshold is predicted as 1. Rows are scored one by one,
+    repeated ones too; a null id is carried. An empty table gives an empty result. Other columns are ignored, whatever
+    their names. Returns ``id_col``, score, predicted (1 if score >= ``threshold``).
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     of = None if model is None else partial(pooled, vectors=model[0])
