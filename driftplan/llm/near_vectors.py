@@ -18,8 +18,12 @@ SAMPLE, QUERIES, MADE = 20_000, 1_000, 4
 PER_CELL, SIDE = 24, 4_096
 TARGET_RECALL = 0.9995
 TINY = 1e-12
+#: Vectors of one length up to which they are one cell, without a model.
+PLAIN = 2_000
 #: Rows, entries of a grid and postings that are in memory at once.
 BLOCK, GRID, POSTS = 250, 4_000_000, 20_000
+#: Members whose cosines with a chunk are in memory at once, and pairs that are verified at once.
+SLAB, PAIRS = 64, 20_000
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,39 +141,46 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     Independent codebooks on the halves of unit vectors, fitted on a bounded sample, form a product grid of cells. Every
     vector is in its home cell and visits the cells whose borders are near, as far as the target recall takes; it meets
-    those at home there. Each meeting is verified. A pair that meets in two cells counts in the lower one.
+    those at home there. Each meeting is verified. A pair that meets in both homes counts in the lower one; who visits whose
+    home is worked out from the codebooks, so a visit carries no list.
 
-    Equal vectors of a label are one class with a count from the start. Cells with many members are dealt as pairs of
-    chunks, so that no task holds more than two chunks; tasks return link counts and a spanning forest, never pairs.
+    Equal vectors of a label are one class with a count from the start, known by 128 bits of hash beyond that step. Vectors
+    travel as they are given and are normalised where they meet. Cells with many members are dealt as pairs of chunks, so
+    that no task holds more than two chunks; tasks return link counts and a spanning forest, never pairs.
 
     Vectors that are null, zero, of length 0 or hold null or non-finite components link with nothing, as do those without
-    label or id; vectors of different lengths aren't compared. Rows that repeat an id count each. Returns one row per
-    input row: ``id_col``, n_links (other rows linked directly), component_id (smallest id reachable), kept.
+    label or id; vectors of different lengths aren't compared. Rows that repeat an id count each. An empty table gives an
+    empty result. Other columns are ignored, whatever their names. Returns one row per input row: ``id_col``, n_links (other
+    rows linked directly), component_id (smallest id reachable), kept.
     """
-    spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = table.schema[vector_col].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform("v", lambda c: c + F.lit(0.0))))
-    classes = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vector-classes")
-    stats = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n")).collect()
+    rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform("v", lambda c: c + F.lit(0.0).cast(kind))))
+    rows = rows.select("id", "label", "v", *[F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v")).alias(h) for seed, h in ((1, "h1"), (2, "h2"))])
+    grouped = rows.where("v is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+    stats = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).where(F.col("n") > PLAIN).orderBy(F.desc("n")).collect()
     models = {s["dim"]: _model(classes, s, threshold) for s in stats}
-    posts = cut(classes.mapInArrow(_post(models), "label string, dim int, cell long, home long, node long, copies long, visited array<int>, unit binary"), "posts")
-    sizes = cut(posts.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", "cell", F.ceil(F.col("n") / F.lit(SIDE)).cast("int").alias("chunks")), "cells")
-    dealt = posts.join(sizes, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    met = cut(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_meet(threshold), "node long, links long, root long"), "met")
-    counts = met.groupBy("node").agg(F.sum("links").alias("links"))
-    alone = classes.select("label", "v", "node", "copies").join(counts, "node", "left")
-    same = rows.where("v is not null").join(classes.select("label", "v", "node"), ["label", "v"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = cut(components(met.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same)), "vector-components")
-    known = cut(alone.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-links")
-    found = rows.join(known, ["label", "v"], "left").join(roots, F.col("id") == F.col("node"), "left")
+    posts = cut(classes.mapInArrow(_post(models), f"label string, dim int, cell long, home long, class long, node long, copies long, v array<{kind}>"), "posts")
+    sizes = cut(posts.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where(F.col("n") > SIDE).select("label", "dim", "cell", F.ceil(F.col("n") / F.lit(SIDE)).cast("int").alias("chunks")), "large-cells")
+    dealt = posts.join(sizes, ["label", "dim", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("chunks", "other")
+    met = cut(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_meet(models, threshold), "class long, links long, node long, root long"), "met")
+    counts = met.groupBy("class").agg(F.sum("links").alias("links"))
+    named = cut(rows.drop("v").join(classes.drop("v"), ["label", "h1", "h2"], "left").select("id", "class", "node", "copies"), "vector-names")
+    same = named.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    roots = cut(components(met.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same)), "vector-components").withColumnRenamed("node", "of")
+    found = named.join(counts, "class", "left").join(roots, F.col("id") == F.col("of"), "left")
+    links = F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long")
     root = F.coalesce("root", "id")
-    return found.select(F.col("id").cast(table.schema[id_col].dataType).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    return found.select(F.col("id").cast(table.schema[id_col].dataType).alias(id_col), links.alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
 def _unit(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
-    x = np.asarray(batch.flatten() if isinstance(batch, pa.ListArray) else batch, np.float64).reshape(-1, dim)
+    x = np.asarray(batch.flatten() if isinstance(batch, pa.ListArray) else batch).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
@@ -184,62 +195,73 @@ def _model(classes: DataFrame, s, threshold: float):
     return fit(x, np.array(drawn["label"].to_pylist(), object), k, threshold)
 
 
+def _of(models, dim: int):
+    """The model for a length; few vectors are one cell with its centre at zero."""
+    return models.get(dim) or ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0)
+
+
 def _post(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["label", "class", "node", "copies", "v"]
         for batch in batches:
-            sizes = np.diff(np.asarray(batch.column(1).offsets)) if batch.num_rows else np.zeros(0, int)
+            label, class_, node, copies, v = (batch.column(batch.schema.get_field_index(n)) for n in names)
+            sizes = np.diff(np.asarray(v.offsets)) if batch.num_rows else np.zeros(0, int)
             for dim in np.unique(sizes).tolist():
                 for at in np.array_split(np.flatnonzero(sizes == dim), -(-int((sizes == dim).sum()) // 2_000)):
-                    part = batch.take(pa.array(at))
-                    x = _unit(part.column(1), dim)
-                    home, rows, cells = visits(x, *models[dim])
-                    unit = pa.array([r.tobytes() for r in x], pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(x) + 1)), pa.int32()), pa.array(cells, pa.int32()))
+                    home, rows, cells = visits(_unit(v.take(pa.array(at)), dim), *_of(models, dim))
                     for i in range(0, len(rows), POSTS):
                         of, cell = rows[i : i + POSTS], cells[i : i + POSTS]
-                        take = pa.array(of)
+                        take = pa.array(at[of])
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(take), pa.array(np.full(len(of), dim, np.int32)), pa.array(cell), pa.array(home[of]), part.column(2).take(take), part.column(3).take(take), lists.take(take), unit.take(take)],
-                            names=["label", "dim", "cell", "home", "node", "copies", "visited", "unit"],
+                            [label.take(take), pa.array(np.full(len(of), dim, np.int32)), pa.array(cell), pa.array(home[of]), class_.take(take), node.take(take), copies.take(take), v.take(take)],
+                            names=["label", "dim", "cell", "home", "class", "node", "copies", "v"],
                         )
 
     return run
 
 
-def _meet(threshold: float):
+def _visits(x: np.ndarray, rows: np.ndarray, cells: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float) -> np.ndarray:
+    """Whether each of ``rows`` visits the cell beside it."""
+    own, at = np.unique(rows, return_inverse=True)
+    out = np.zeros(len(rows), bool)
+    for i in range(0, len(own), BLOCK):
+        (_, a), (_, b) = (margins(h, c) for h, c in zip(halves(x[own[i : i + BLOCK]]), books, strict=True))
+        here = np.flatnonzero((at >= i) & (at < i + BLOCK))
+        out[here] = a[at[here] - i, cells[here] // len(books[1])] + b[at[here] - i, cells[here] % len(books[1])] <= reach
+    return out
+
+
+def _meet(models, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        i, j, cell = table["i"][0].as_py(), table["j"][0].as_py(), table["cell"][0].as_py()
-        x = np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(table.num_rows, -1)
-        node, copies, home, own = (table[c].to_numpy() for c in ("node", "copies", "home", "own"))
-        lists = table["visited"].combine_chunks() if isinstance(table["visited"], pa.ChunkedArray) else table["visited"]
-        cells = np.asarray(lists.flatten()).astype(np.int64)
-        width = max(cells.max(), home.max()) + 1
-        visited = np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets))) * width + cells  # in order, as rows' cells are
+        i, j, cell, dim = (table[c][0].as_py() for c in ("i", "j", "cell", "dim"))
+        if table.num_rows < 2:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("class", "links", "node", "root")})
+        model = _of(models, dim)
+        v = table["v"].combine_chunks()
+        x = _unit(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, dim)
+        class_, node, copies, home, own = (table[c].to_numpy() for c in ("class", "node", "copies", "home", "own"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links, root = np.zeros(len(x), np.int64), np.arange(len(x))
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
+        for at in range(0, len(left), SLAB):
+            rows = left[at : at + SLAB]
             a, b = np.nonzero(x[rows] @ x[right].T >= threshold - 1e-9)
             a, b = rows[a], right[b]
             if i == j:
                 a, b = a[a < b], b[a < b]
             at_home = (home[a] == cell).astype(np.int8) + (home[b] == cell)
             sure = at_home == 2
-            # one of the two is at home here: the other cell counts if it is lower and both are met there as well
+            # one of the two is at home here: the other's home counts if it is lower and visited by the first
             one = np.flatnonzero(at_home == 1)
             here = home[a[one]] == cell
             host, guest = np.where(here, a[one], b[one]), np.where(here, b[one], a[one])
-            wanted = host * width + home[guest]
-            back = visited[np.minimum(np.searchsorted(visited, wanted), len(visited) - 1)] == wanted
-            sure[one] = ~back | (cell < home[guest])
+            sure[one] = (cell < home[guest]) | ~_visits(x, host, home[guest], *model)
             a, b = a[sure], b[sure]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold if len(a) * x.shape[1] <= 4_000_000 else np.concatenate([np.einsum("ij,ij->i", x[p], x[q]) for p, q in zip(np.array_split(a, 64), np.array_split(b, 64), strict=True)]) >= threshold
+            exact = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + PAIRS]], x[b[k : k + PAIRS]]) >= threshold for k in range(0, len(a), PAIRS)] or [np.zeros(0, bool)])
             a, b = a[exact], b[exact]
             links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
             root = merge_roots(root, a, b)
         keep = (links > 0) | (root != np.arange(len(x)))
-        return pa.table({"node": node[keep], "links": links[keep], "root": node[root[keep]]})
+        return pa.table({"class": class_[keep], "links": links[keep], "node": node[keep], "root": node[root[keep]]})
 
     return run
-
