@@ -16,68 +16,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import cut, pieces, safe_parts
+from .common import cut, partitions, pieces, safe_parts
 
 #: Characters of text in a block, and in one array while a block is built.
 BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 500_000
 #: Strings that the library's file lists as special tokens: each counts as one token wherever it stands.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+#: Characters of the whole table for each bucket of its dictionary, at most about: more buckets than shuffle partitions where that takes more.
+BUCKET_CHARS = 32_000_000
 #: Pre-tokens whose pieces the library counts at a time.
 BATCH = 2_000
-#: Rows that a block sends at a time.
-ROWS = 10_000
+TABLE = "block long, bucket int, body binary"
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """How many tokens each whole text has under the lower-case word BPE in ``tokenizer_path``.
 
-    Documents are taken in blocks. A block keeps its documents' pre-token frequencies and sends a row for each of its
-    distinct pre-tokens. The pieces of every distinct pre-token of the whole table are counted once, by the library itself;
-    a join brings them to the blocks, which sum frequency times pieces per document. No ids are made. A frequent word is a
-    row per block, not per document; joins are Spark's, by the word, so nothing is held but a block.
+    Documents are taken in blocks. A block keeps its documents' pre-token frequencies and sends its distinct pre-tokens,
+    by hash, to the buckets of a dictionary. A bucket counts the pieces of every distinct pre-token once, by the library
+    itself, and answers each block; the block then sums frequency times pieces per document. No ids are made, and no
+    frequency list crosses the network by word, so frequent words weigh no more than rare ones: one a block.
 
-    Null and empty texts have 0 tokens. Very long texts are taken whole, in parts that no pre-token spans. Repeated rows are
-    counted each; a null id is carried. An empty table gives an empty result. Other columns of ``docs`` are ignored,
-    whatever their names. Returns ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
+    There are as many buckets as the table's size takes for each to fit a worker. A block sends at most one message per
+    distinct pre-token, however many buckets there are. Hashes deal pre-tokens to buckets; what tells them apart is their
+    content. Null and empty texts have 0 tokens. Very long texts are taken whole, in parts that no pre-token spans. Repeated
+    rows are counted each; a null id is carried. An empty table gives an empty result. Other columns of ``docs`` are
+    ignored, whatever their names. Returns ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
     """
     kind = docs.schema[id_col].dataType
+    chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-chars // BUCKET_CHARS))
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, _Block(tokenizer_path)
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
+            held.kind = batch.schema.field(0).type
             held.add(batch.column(0).to_pylist(), texts)
             if held.chars >= BLOCK_CHARS:
-                yield from held.rows(block)
+                yield held.rows(block, buckets)
                 block, held = block + 1, _Block(tokenizer_path)
         if held.ids:
-            yield from held.rows(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _library(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                words = batch.column(0).slice(at, BATCH)
-                found = tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([words, pa.array([len(e.ids) for e in found], pa.int32())], names=["word", "pieces"])
+            yield held.rows(block, buckets)
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [_unpack(b)[0].decode("utf-8").split("\n") for b in table["body"].to_pylist()]
+        places: dict[str, int] = {}
+        found = [np.array([places.setdefault(w, len(places)) for w in own], np.int64) for own in lists]
+        del lists
+        words, tokenizer, n = list(places), _library(tokenizer_path), np.zeros(len(places), np.uint32)
+        for i in range(0, len(words), BATCH):
+            n[i : i + BATCH] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array([_pack(n[x].tobytes()) for x in found], pa.binary())})
 
     result = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(table: pa.Table) -> pa.Table:
-        places = table["place"].to_numpy()
-        own = _unpack(table["body"][int(places.argmin())].as_py())
-        n = np.zeros(len(places) - 1, np.int64)
-        n[places[places >= 0]] = table["pieces"].to_numpy()[places >= 0]
-        sizes, base, per, at, often = (np.frombuffer(x, kind) for x, kind in zip(own[1:], (np.int64, np.int64, np.int64, np.int32, np.uint32), strict=True))
+        rows = sorted(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), strict=True))
+        own = _unpack(rows[0][1])
+        n = np.concatenate([np.frombuffer(_unpack(b)[0], np.uint32) for _, b in rows[1:]] or [np.zeros(0, np.uint32)])
+        sizes, base, per, steps, often = (np.frombuffer(x, kind) for x, kind in zip(own[1:], (np.int64, np.int64, np.int64, np.int32, np.uint32), strict=True))
         doc = np.repeat(np.arange(len(per)), per)
+        at = np.cumsum(steps)
+        at -= np.repeat(np.concatenate(([0], at))[np.cumsum(per) - per], per) if len(at) else 0
         tokens = base + np.bincount(doc, n[at].astype(np.float64) * often, len(per)).astype(np.int64) if len(at) else base
         return pa.table({id_col: pa.ipc.open_stream(own[0]).read_all().column(0), "n_bytes": sizes, "n_tokens": tokens})
 
-    rows = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, "block long, place int, word string, body binary"), "token-blocks")
-    words = rows.where("place >= 0").select("block", "place", "word")
-    counted = words.select("word").distinct().mapInArrow(count, "word string, pieces int")
-    answers = words.join(counted, "word").select("block", "place", "pieces", F.lit(None).cast("binary").alias("body"))
-    bodies = rows.where("place < 0").select("block", "place", F.lit(0).alias("pieces"), "body")
-    return bodies.unionByName(answers).groupBy("block").applyInArrow(total, result).withColumn("over_limit", F.col("n_tokens") > limit)
+    blocks = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, TABLE), "token-blocks")
+    answers = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, TABLE)
+    counted = blocks.where("bucket < 0").unionByName(answers).groupBy("block").applyInArrow(total, result)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 @lru_cache(1)
@@ -110,6 +117,7 @@ class _Block:
     """Documents with their pre-token frequencies."""
 
     def __init__(self, tokenizer_path: str):
+        self.kind: pa.DataType | None = None
         self.path, self.library, self.chars, self.ids, self.sizes, self.base = tokenizer_path, None, 0, [], [], []
         self.places: dict[str, int] = {}
         self.docs, self.at, self.often = [], [], []
@@ -156,19 +164,31 @@ class _Block:
         self.at.append(place[pair % n].astype(np.int32))
         self.often.append(often.astype(np.uint32))
 
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        """The distinct pre-tokens, and a row of place -1 with the documents' ids, sizes, tokens so far and frequencies."""
+    def rows(self, block: int, buckets: int) -> pa.RecordBatch:
+        """A row with the documents' ids, sizes, tokens so far and frequencies (bucket -1), and the distinct pre-tokens of each bucket."""
+        words = list(self.places)
+        points, edges = segment.code_points(words)
+        hashes = segment.span_hashes(points, edges[:-1], edges[1:])
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         doc, at, often = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.docs, self.at, self.often))
-        # the same pre-token of one document may have come from several parts: these add up later
-        order = np.lexsort((at, doc))
-        at, often = at[order].astype(np.int32), often[order].astype(np.uint32)
+        at = place[at] if len(at) else at
+        # the same pre-token of one document may have come from several parts: equal places stay apart, and add up later
+        by_doc = np.lexsort((at, doc))
+        doc, at, often = doc[by_doc], at[by_doc], often[by_doc].astype(np.uint32)
+        steps = np.diff(at, prepend=0)
+        fresh = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+        steps[fresh] = at[fresh]
         sink = pa.BufferOutputStream()
-        ids = pa.table({"id": pa.array(self.ids)})
+        ids = pa.table({"id": pa.array(self.ids, self.kind)})
         with pa.ipc.new_stream(sink, ids.schema) as writer:
             writer.write_table(ids)
-        body = _pack(sink.getvalue().to_pybytes(), np.array(self.sizes, np.int64).tobytes(), np.array(self.base, np.int64).tobytes(), np.bincount(doc.astype(np.int64), minlength=len(self.ids)).astype(np.int64).tobytes(), at.tobytes(), often.tobytes())
-        words = list(self.places)
-        for i in range(-1, len(words), ROWS):
-            part = [None, *words[:ROWS - 1]] if i < 0 else words[i : i + ROWS]
-            places = np.arange(i, i + len(part), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(places), pa.array(part, pa.string()), pa.array([body if p < 0 else None for p in places.tolist()], pa.binary())], names=["block", "place", "word", "body"])
+        own = _pack(sink.getvalue().to_pybytes(), np.array(self.sizes, np.int64).tobytes(), np.array(self.base, np.int64).tobytes(), np.bincount(doc.astype(np.int64), minlength=len(self.ids)).astype(np.int64).tobytes(), steps.astype(np.int32).tobytes(), often.tobytes())
+        out, bucket = [(block, -1, own)], bucket[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else bucket
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):
+            out.append((block, int(bucket[a]), _pack("\n".join([words[i] for i in order[a:b].tolist()]).encode("utf-8"))))
+        blocks, of, bodies = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(of, pa.int32()), pa.array(bodies, pa.binary())], names=["block", "bucket", "body"])

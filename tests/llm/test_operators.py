@@ -109,6 +109,17 @@ def test_tokens_and_packing_against_the_library(spark):
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 1024
 
 
+def test_tokens_in_many_buckets(spark, small, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "BUCKET_CHARS", 5_000)
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 50_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    library, texts = Tokenizer.from_file(TOKENS["op9"]), {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in token_counts.count_tokens(docs, TOKENS["op9"]).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_tokens_whose_lower_case_leaves_the_table(spark):
     from tokenizers import Tokenizer
 
