@@ -35,7 +35,7 @@ def digest_files(files: DataFrame, root: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_digest(os.path.join(root, p)) for p in batch.column(0).to_pylist()]
+            rows = [digest_path(os.path.join(root, p)) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["path", "size", "fuzzy_hash", "error"])
 
     return files.select("path").mapInArrow(run, "path string, size long, fuzzy_hash string, error string")
@@ -49,7 +49,8 @@ def tolerated(digests: DataFrame, most: int = TOLERATED) -> DataFrame:
     return digests
 
 
-def _digest(path: str) -> tuple[int | None, str | None, str | None]:
+def digest_path(path: str) -> tuple[int | None, str | None, str | None]:
+    """(size, hash, error) of a file on this machine."""
     try:
         with open(path, "rb") as f:
             size = os.fstat(f.fileno()).st_size

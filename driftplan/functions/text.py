@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,30 +14,33 @@ KEY_SEPARATOR = "\u0001"
 SHELL_SPECIAL = ("\\", '"', "!", "`", "$")
 
 
-def _formatter(base: int, units: tuple[str, ...]):
-    @F.pandas_udf("string")
-    def run(sizes: pd.Series) -> pd.Series:
-        def one(n) -> str | None:
-            if pd.isna(n):
-                return None
-            n = int(n)
-            if n < base:
-                return f"{n} {units[0]}" if n >= 0 else ""
-            k = next((k for k in range(1, 6) if n < base ** (k + 1)), 6)
-            return f"{float(n) / float(base**k):.2f} {units[k]}"
+def _sized(size: Column, base: int, units: tuple[str, ...]) -> Column:
+    """Two digits of the double size / base**k, rounded as its exact binary value rounds (half to even), by integer arithmetic.
 
-        return sizes.map(one)
-
-    return run
+    A double between 1 and 1024 times 2**52 is a whole number, so nothing is lost on the way.
+    """
+    n = size.cast("long")
+    shown = F.when(n < 0, F.lit("")).when(n < base, F.concat(n.cast("string"), F.lit(f" {units[0]}")))
+    for k in range(1, 7):
+        exact = (n.cast("double") / F.lit(float(base**k)) * F.lit(float(1 << 52))).cast("long")
+        hundredths = exact.bitwiseAND((1 << 52) - 1) * 100
+        rest = hundredths.bitwiseAND((1 << 52) - 1)
+        low = F.shiftright(exact, 52) * 100 + F.shiftright(hundredths, 52)
+        up = (rest > 1 << 51) | ((rest == 1 << 51) & (low % 2 == 1))
+        near = low + up.cast("long")
+        text = F.concat(F.floor(near / 100).cast("string"), F.lit("."), F.lpad((near % 100).cast("string"), 2, "0"), F.lit(f" {units[k]}"))
+        shown = shown.when(n < base ** (k + 1), text) if k < 6 else shown.when(n.isNotNull(), text)
+    return shown
 
 
 def binary_size(size: Column) -> Column:
-    """Bytes for people, by 1024; two digits, rounded as the exact binary value rounds. That rounding is why this is an Arrow function."""
-    return _formatter(1024, BINARY_UNITS)(size.cast("long"))
+    """Bytes for people, by 1024."""
+    return _sized(size, 1024, BINARY_UNITS)
 
 
 def decimal_size(size: Column) -> Column:
-    return _formatter(1000, DECIMAL_UNITS)(size.cast("long"))
+    """Bytes for people, by 1000."""
+    return _sized(size, 1000, DECIMAL_UNITS)
 
 
 def sanitized(path: Column) -> Column:
@@ -106,3 +108,33 @@ def parallelism(cpus: Column) -> Column:
     """How a scan of two sides was shared among CPUs: half each, one less on the first side for an even number."""
     half = F.floor(cpus / 2)
     return F.when(cpus > 3, F.struct(F.when(cpus % 2 == 0, half - 1).otherwise(half).cast("long").alias("source"), half.cast("long").alias("destination"))).otherwise(F.struct(F.lit(1).cast("long").alias("source"), F.lit(1).cast("long").alias("destination")))
+
+
+def meta_shown(size: Column, mtime: Column) -> Column:
+    """A file's size and time in words, in the session's time zone."""
+    at = F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd HH:mm:ss Z z")
+    return F.concat(F.lit("{size: "), size.cast("string"), F.lit(", modified: "), at, F.lit("}"))
+
+
+def digest_shown(ext: Column, size: Column, hash_: Column) -> Column:
+    return F.concat_ws("/", ext, size.cast("string"), hash_)
+
+
+def key_shown(ext: Column, size: Column) -> Column:
+    return F.concat_ws("/", ext, size.cast("string"))
+
+
+def shard_bounds(n: Column, parts: Column) -> Column:
+    """The half-open ranges that ``n`` items are cut into for ``parts`` workers: array of (part, start, end)."""
+    at = lambda i: F.floor(i * n / parts).cast("long")
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: F.struct(i.alias("part"), at(i).alias("start"), at(i + 1).alias("end")))
+
+
+def progress(done: Column, expected: Column) -> Column:
+    """Whole percent, rounded half to even."""
+    return F.concat(F.bround(done * F.lit(100.0) / expected).cast("long").cast("string"), F.lit("%"))
+
+
+def errors_joined(message: Column, errors: Column) -> Column:
+    """A message and all errors behind it; every error is followed by a comma and a blank."""
+    return F.concat(message, F.lit(": "), F.array_join(F.transform(errors, lambda e: F.concat(e, F.lit(", "))), ""))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import shutil
+import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def apply(plan, destination_root: str, dry_run: bool = True) -> Iterator[tuple[int, bool, str | None]]:
+def apply(plan, destination_root: str, dry_run: bool = True, reflink: bool = False) -> Iterator[tuple[int, bool, str | None]]:
     """Performs a plan's actions in execution order, touches before the moves of the same file, and tells (exec_seq, success, error) for each.
 
     It goes on after failures. Copies whose source was moved in this pass read the new place. A dry run does nothing and
@@ -20,7 +22,7 @@ def apply(plan, destination_root: str, dry_run: bool = True) -> Iterator[tuple[i
         error = None
         if not dry_run:
             try:
-                _perform(row, destination_root, moved)
+                _perform(row, destination_root, moved, reflink)
             except OSError as e:
                 error = str(e)
         yield row["exec_seq"], error is None, error
@@ -31,7 +33,7 @@ def _passes(executed: DataFrame) -> Iterator:
         yield from executed.where(some).orderBy("exec_seq").toLocalIterator()
 
 
-def _perform(row, root: str, moved: dict[str, str]) -> None:
+def _perform(row, root: str, moved: dict[str, str], reflink: bool) -> None:
     target = os.path.join(root, row["to_path"])
     if row["kind"] == "touch":
         os.utime(target, (row["mtime"], row["mtime"]))
@@ -46,8 +48,9 @@ def _perform(row, root: str, moved: dict[str, str]) -> None:
         source = os.path.join(root, moved.get(row["from_path"], row["from_path"]))
         part = f"{target}.tmp"
         try:
-            shutil.copyfile(source, part)
-            shutil.copymode(source, part)
+            if not (reflink and _cloned(source, part)):
+                shutil.copyfile(source, part)
+                shutil.copymode(source, part)
             os.utime(part, (row["mtime"], row["mtime"]))
             os.replace(part, target)
         except OSError:
@@ -56,6 +59,26 @@ def _perform(row, root: str, moved: dict[str, str]) -> None:
             raise
 
 
+def _cloned(source: str, target: str) -> bool:
+    """A copy that shares blocks where the file system can, by the system's copy command; False where there is no such command."""
+    try:
+        return subprocess.run(["cp", "--reflink=auto", "-p", source, target], capture_output=True).returncode == 0
+    except FileNotFoundError:
+        return False
+
+
+def dry_results(plan) -> DataFrame:
+    """What a dry run tells of each action (exec_seq, success, error), without the driver."""
+    return plan.executed().select("exec_seq", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+
+
+def write_lines(rows: DataFrame, path: str, column: str = "path") -> None:
+    """A column's values in byte order, one per line, without a line end behind the last: lists of orphans or candidates for people."""
+    with open(path, "w", encoding="utf-8") as f:
+        for i, row in enumerate(rows.select(column).orderBy(column).toLocalIterator()):
+            f.write(("\n" if i else "") + row[0])
+
+
 def write_script(lines: DataFrame, path: str) -> None:
     """Commands (seq, command) in order as an executable script."""
     with open(path, "w", encoding="utf-8") as f:
@@ -64,6 +87,12 @@ def write_script(lines: DataFrame, path: str) -> None:
     os.chmod(path, 0o700)
 
 
+def csv_lines(files: DataFrame) -> DataFrame:
+    """path,size,mtime (column line), quoted as RFC 4180 has it: where a path holds a quote, a comma or a line end."""
+    quoted = F.when(F.col("path").rlike('[",\r\n]|^[ \t]'), F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("path"))
+    return files.select(F.concat_ws(",", quoted, "size", "mtime").alias("line"))
+
+
 def list_csv(files: DataFrame, path: str) -> None:
-    """path,size,mtime without a header, quoted as RFC 4180 has it."""
-    files.select("path", "size", "mtime").write.option("header", False).option("escape", '"').csv(path)
+    """``csv_lines`` as text files."""
+    csv_lines(files).write.text(path)

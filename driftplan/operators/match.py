@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..storage import cut
 
 LOCAL, AGENT = "local", "agent"
 
@@ -22,16 +23,18 @@ def pairs(orphaned: DataFrame, candidate: DataFrame, source: DataFrame) -> DataF
 def pick_best(orphaned: DataFrame, candidate: DataFrame, source: DataFrame) -> DataFrame:
     """One candidate per orphan: first with the orphan's name and not at the source (0), then not at the source (1), then any (2); ties by path.
 
-    Of the candidates of a digest only the first not at the source by name, the first not at the source and the first of
-    all can ever be picked. Only these are joined, so many equal files cost no more than their different names. first
+    Only minima are joined: the first candidate not at the source per digest and name, and per digest the first such and
+    the first of all. So equal files cost a row each, whatever their number, and no group of them is one task's work. first
     tells whether the orphan is the smallest that picked the candidate.
     """
-    known = _known(candidate, source)
-    digest = ["ext", "size", "hash"]
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*digest, *by).orderBy("candidate"))
-    few = known.withColumn("name", paths.basename(F.col("candidate"))).withColumn("a", rank("in_src", "name")).withColumn("b", rank("in_src")).withColumn("c", rank())
-    few = few.where((~F.col("in_src") & ((F.col("a") == 1) | (F.col("b") == 1))) | (F.col("c") == 1)).drop("name", "a", "b", "c")
-    best = _joined(orphaned, few).groupBy("orphan").agg(F.min_by(F.struct("candidate", "in_src", "synced", "cls", "size", "mtime", "cand_mtime"), F.struct("cls", "candidate")).alias("p")).select("orphan", "p.*")
+    digest, held = ["ext", "size", "hash"], F.struct("candidate", "in_src", "synced", "cand_mtime")
+    named = cut(_known(candidate, source).groupBy(*digest, "in_src", paths.basename(F.col("candidate")).alias("name")).agg(F.min(held).alias("held")), "named")
+    same = named.where("NOT in_src").select(*digest, "name", F.col("held").alias("same_name"))
+    some = named.groupBy(*digest).agg(F.min(F.when(~F.col("in_src"), F.col("held"))).alias("free"), F.min("held").alias("any"))
+    own = orphaned.where("hash is not null").select(F.col("path").alias("orphan"), *digest, "mtime", paths.basename(F.col("path")).alias("name"))
+    met = own.join(some, digest).join(same, [*digest, "name"], "left")
+    cls = F.when(F.col("same_name").isNotNull(), 0).when(F.col("free").isNotNull(), 1).otherwise(2)
+    best = met.select("orphan", F.coalesce("same_name", "free", "any").alias("p"), cls.alias("cls"), "size", "mtime").select("orphan", "p.candidate", "p.in_src", "p.synced", "cls", "size", "mtime", "p.cand_mtime")
     first = best.groupBy("candidate").agg(F.min("orphan").alias("first_orphan"))
     return best.join(first, "candidate").withColumn("first", F.col("orphan") == F.col("first_orphan")).drop("first_orphan")
 

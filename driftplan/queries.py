@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digest, paths, text
-from .operators import diff, match
+from .operators import apply, diff, match
 from .plans import fixtures, reconcile
 from .sources import tables, wire
+from .storage import numbered
 
 SRC, DST = "/src", "/dst"
 QUERIES: dict = {}
@@ -21,7 +22,7 @@ dst0 AS (
   SELECT CASE k WHEN 4 THEN concat('old/', lang, '/doc_', doc_id, '.', lang) WHEN 5 THEN concat(CASE WHEN doc_id % 20 = 5 THEN 'zz' ELSE source END, '/renamed_', doc_id, '.', lang) ELSE p END AS path,
     (CASE WHEN k IN (5, 6) THEN t + 3600 ELSE t END)::BIGINT AS mtime, CASE k WHEN 8 THEN text || 'x' ELSE text END AS content
   FROM base WHERE k <> 7),
-arc0 AS (SELECT concat('/archive/', lang, '/', regexp_extract(p, '[^/]*$')) AS path, t::BIGINT AS mtime, text AS content FROM base WHERE k = 7 AND doc_id % 20 = 7),
+arc0 AS (SELECT archive_ord, path, mtime::BIGINT AS mtime, text AS content FROM ({fixtures.ARCHIVED.format(name="regexp_extract(p, '[^/]*$')", base="base")})),
 src AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM src0),
 dst AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM dst0),
 arc AS (SELECT *, strlen(content)::BIGINT AS size, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM arc0),
@@ -61,10 +62,10 @@ made AS (
   SELECT {parent("orphan")} AS path, min(orphan) AS orphan FROM wanted GROUP BY 1
   {"HAVING path <> '.' AND path NOT IN (SELECT path FROM dirs)" if local else ""}),
 unmatched AS (SELECT * FROM ho WHERE path NOT IN (SELECT orphan FROM moved UNION ALL SELECT orphan FROM copied)),
-ha AS (SELECT path, size, ext, {SAMPLED} AS hash FROM arc),
+ha AS (SELECT archive_ord, path, size, ext, {SAMPLED} AS hash FROM arc),
 hit AS (
   SELECT u.path AS orphan, u.size, u.mtime, a.path AS archive_path FROM unmatched u JOIN ha a ON u.ext = a.ext AND u.size = a.size AND u.hash = a.hash
-  QUALIFY row_number() OVER (PARTITION BY u.path ORDER BY a.path) = 1),
+  QUALIFY row_number() OVER (PARTITION BY u.path ORDER BY a.archive_ord, a.path) = 1),
 fresh AS (SELECT {parent("orphan")} AS path, min(orphan) AS orphan FROM hit GROUP BY 1 HAVING path <> '.' AND path NOT IN (SELECT path FROM dirs) AND path NOT IN (SELECT path FROM made)),
 sdirs AS (SELECT array_to_string(parts[1:n], '/') AS path, max(mtime) AS mtime FROM (SELECT string_split(path, '/') AS parts, mtime, unnest(range(1, len(string_split(path, '/')))) AS n FROM src) GROUP BY 1),
 ddirs AS (SELECT array_to_string(parts[1:n], '/') AS path, max(mtime) AS mtime FROM (SELECT string_split(path, '/') AS parts, mtime, unnest(range(1, len(string_split(path, '/')))) AS n FROM dst) GROUP BY 1),
@@ -173,7 +174,7 @@ def archive_actions(spark, sf_dir):
     return _full(spark, sf_dir).actions.where("phase = 'archive'").select("kind", "from_path", "to_path", "mtime")
 
 
-@query(f"{BASE} SELECT 0 AS archive_ord, path, size, mtime FROM arc")
+@query(f"{BASE} SELECT archive_ord, path, size, mtime FROM arc")
 def archive_scan(spark, sf_dir):
     return fixtures.archive(spark, sf_dir).select("archive_ord", "path", "size", "mtime")
 
@@ -203,16 +204,30 @@ def inventory_summary(spark, sf_dir):
     return diff.summary(_src(spark, sf_dir).withColumn("side", F.lit("source")).unionByName(_dst(spark, sf_dir).withColumn("side", F.lit("destination"))))
 
 
-@query(f"{MATCH} SELECT ext, size, count(*) AS files, string_agg(path, '|' ORDER BY path) AS paths FROM hc GROUP BY ext, size, hash")
+def _members(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """A row per member with its group's size: a group is never one row, whatever its size."""
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias(count)), keys)
+
+
+@query(f"{MATCH} SELECT ext, size, path, count(*) OVER (PARTITION BY ext, size, hash) AS files FROM hc")
 def duplicate_groups(spark, sf_dir):
-    groups = _plan(spark, sf_dir).candidates.groupBy("ext", "size", "hash").agg(F.sort_array(F.collect_list("path")).alias("all"))
-    return groups.select("ext", "size", F.size("all").cast("long").alias("files"), F.array_join("all", "|").alias("paths"))
+    return _members(_plan(spark, sf_dir).candidates, ["ext", "size", "hash"], "files").select("ext", "size", "path", "files")
 
 
-@query(f"{BASE} SELECT ext, size, count(*) AS orphans, min(path) AS first FROM orph GROUP BY ext, size")
+@query(f"{BASE} SELECT ext, size, path, count(*) OVER (PARTITION BY ext, size) AS orphans FROM orph")
 def orphans_by_key(spark, sf_dir):
     lost = diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content"))
-    return lost.groupBy(paths.extension(F.col("path")).alias("ext"), "size").agg(F.count("*").alias("orphans"), F.min("path").alias("first"))
+    return _members(lost.withColumn("ext", paths.extension(F.col("path"))), ["ext", "size"], "orphans").select("ext", "size", "path", "orphans")
+
+
+@query(f"{BASE} SELECT path, row_number() OVER (ORDER BY path) AS place FROM orph")
+def sorted_orphans(spark, sf_dir):
+    return numbered(diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content")).select("path"), ["path"], "place")
+
+
+@query("SELECT name FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(tables.DEFAULT_EXCLUSIONS)[:3]) + ") AS t(name)")
+def first_examples(spark, sf_dir):
+    return tables.first_few(spark.createDataFrame([(n,) for n in tables.DEFAULT_EXCLUSIONS], "name string"))
 
 
 CRC = f"""{BASE}, tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
@@ -237,17 +252,22 @@ def digest_sampled(spark, sf_dir):
 
 @query(f"{BASE} SELECT path, size, mtime FROM src")
 def scan_files(spark, sf_dir):
-    return _src(spark, sf_dir).select("path", "size", "mtime")
+    return _inventory(spark, sf_dir).where("NOT is_dir").select("path", "size", "mtime")
+
+
+@query(f"{BASE} SELECT count(*) AS files, sum(size)::BIGINT AS total_size FROM src")
+def scan_total(spark, sf_dir):
+    return _inventory(spark, sf_dir).where("NOT is_dir").agg(F.count("*").alias("files"), F.sum("size").alias("total_size"))
 
 
 @query(f"{FULL} SELECT path, mtime FROM sdirs")
 def scan_dirs(spark, sf_dir):
-    return diff.directories(_src(spark, sf_dir))
+    return _inventory(spark, sf_dir).where("is_dir").select("path", "mtime")
 
 
-@query(f"{BASE} SELECT path || ',' || size || ',' || mtime AS line FROM src")
+@query(f"{BASE}, named AS (SELECT CASE WHEN size % 3 = 0 THEN path || ',\"x\"' ELSE path END AS path, size, mtime FROM src) SELECT CASE WHEN path LIKE '%,%' THEN '\"' || replace(path, '\"', '\"\"') || '\"' ELSE path END || ',' || size || ',' || mtime AS line FROM named")
 def list_csv(spark, sf_dir):
-    return _src(spark, sf_dir).select(F.concat_ws(",", F.when(F.col("path").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("path")), "size", "mtime").alias("line"))
+    return apply.csv_lines(_src(spark, sf_dir).withColumn("path", F.when(F.col("size") % 3 == 0, F.concat("path", F.lit(',"x"'))).otherwise(F.col("path"))))
 
 
 COMMAND = f"""{COPY}, said AS (SELECT emit_seq AS seq, CASE kind
@@ -285,13 +305,51 @@ def action_keys(spark, sf_dir):
 
 @query(f"{COPY} SELECT count(*) AS actions, count(*) AS successes, sum(bytes_saved)::BIGINT AS bytes_saved FROM actions")
 def dry_run_summary(spark, sf_dir):
-    return _plan(spark, sf_dir, copy_duplicates=True).actions.agg(F.count("*").alias("actions"), F.count("*").alias("successes"), F.sum("bytes_saved").alias("bytes_saved"))
+    plan = _plan(spark, sf_dir, copy_duplicates=True)
+    told = apply.dry_results(plan).join(plan.executed().select("exec_seq", "bytes_saved"), "exec_seq")
+    return told.agg(F.count("*").alias("actions"), F.sum(F.col("success").cast("long")).alias("successes"), F.sum("bytes_saved").alias("bytes_saved"))
 
 
-@query(f"""{COPY} SELECT emit_seq, '{{"type":"' || CASE kind WHEN 'touch' THEN 'propagate_timestamp' WHEN 'mkdir' THEN 'make_directory' WHEN 'move' THEN 'move_file' ELSE 'copy_file' END || '"'
-  || coalesce(',"source_path":"' || from_path || '"', '') || ',"dest_path":"' || to_path || '"' || coalesce(',"mod_timestamp":' || mtime, '') || '}}' AS spec FROM ordered""")
+#: The agent's plan as its requests, written from the message definitions: fields that are empty are left out.
+AGENT = plan_sql(match.AGENT, True)
+SPEC = f"""CASE kind
+  WHEN 'move' THEN '{{"type":"move","base_path":"{DST}","from_rel_path":"' || from_path || '","to_rel_path":"' || to_path || '"}}'
+  WHEN 'touch' THEN '{{"type":"timestamp","dest_base_path":"{DST}","dest_rel_path":"' || to_path || '","mod_timestamp":' || mtime || '}}'
+  WHEN 'mkdir' THEN '{{"type":"mkdir","dir_path":"{DST}' || CASE to_path WHEN '.' THEN '' ELSE '/' || to_path END || '"}}'
+  ELSE '{{"type":"copy","mod_timestamp":' || mtime || ',"from_abs_path":"{DST}/' || from_path || '","to_abs_path":"{DST}/' || to_path || '"}}' END"""
+
+
+def _agent(spark, sf_dir) -> reconcile.Plan:
+    return _plan(spark, sf_dir, mode=match.AGENT, copy_duplicates=True)
+
+
+@query(f"{AGENT} SELECT emit_seq, {SPEC} AS spec FROM ordered")
 def action_specs(spark, sf_dir):
-    return wire.action_specs(_plan(spark, sf_dir, copy_duplicates=True).ordered()).select("emit_seq", "spec")
+    return wire.action_specs(_agent(spark, sf_dir).ordered(), DST).select("emit_seq", "spec")
+
+
+@query(f"""{AGENT} SELECT (emit_seq - 1) // 100 AS part, '{{"actions":[' || string_agg({SPEC}, ',' ORDER BY emit_seq) || '],"dry_run":true}}' AS payload FROM ordered GROUP BY 1""")
+def perform_request(spark, sf_dir):
+    sent = wire.perform_requests(wire.action_specs(_agent(spark, sf_dir).ordered(), DST), True, 100)
+    return sent.select("part", F.unbase64(F.get_json_object("value", "$.payload")).cast("string").alias("payload"))
+
+
+@query("SELECT doc_id % 50 AS index, doc_id % 3 <> 0 AS success, CASE WHEN doc_id % 3 = 0 THEN 'no \"' || lang || '\"' END AS error FROM documents")
+def perform_response_decode(spark, sf_dir):
+    one = F.struct((F.col("doc_id") % 50).alias("index"), (F.col("doc_id") % 3 != 0).alias("success"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('no "'), "lang", F.lit('"'))).alias("error"))
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(wire.envelope("perform_response", F.to_json(F.struct(F.array(one).alias("results")))).alias("value"))
+    return wire.perform_rows(lines)
+
+
+@query("""SELECT 'walk' AS kind, doc_id AS done, NULL::BIGINT AS total, NULL AS message FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT 'digest', doc_id, doc_id + 5, NULL FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT 'error', NULL, NULL, 'bad ' || source FROM documents WHERE doc_id % 4 = 2""")
+def agent_messages(spark, sf_dir):
+    n = F.col("doc_id")
+    found, hashed, bad = (F.to_json(F.struct(*x)) for x in ([n.alias("files_found")], [n.alias("files_hashed"), (n + 5).alias("total")], [F.concat(F.lit("bad "), "source").alias("message")]))
+    value = F.when(n % 4 == 0, wire.envelope("walk_progress", found)).when(n % 4 == 1, wire.envelope("digest_progress", hashed)).when(n % 4 == 2, wire.envelope("error", bad)).otherwise(wire.request("quit"))
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(value.alias("value"))
+    errors = wire.error_rows(lines).select(F.lit("error").alias("kind"), F.lit(None).cast("long").alias("done"), F.lit(None).cast("long").alias("total"), "message")
+    return wire.progress_rows(lines).withColumn("message", F.lit(None).cast("string")).unionByName(errors)
 
 
 def _inventory(spark, sf_dir) -> DataFrame:
@@ -310,11 +368,11 @@ def agent_walk_encode(spark, sf_dir):
     return sent.agg(F.sum(F.size("files")).cast("long").alias("files"), F.sum(F.size("dirs")).cast("long").alias("dirs"), F.sum("total_size").alias("total_size"))
 
 
-@query(f"{BASE} SELECT path, ext, size FROM orph")
+@query(f"{CRC} WHERE path IN (SELECT path FROM orph)")
 def agent_digest_decode(spark, sf_dir):
     entry = F.struct(F.col("ext").alias("file_extension"), F.col("size").alias("file_size"), F.col("hash").alias("file_fuzzy_hash"))
     lines = _plan(spark, sf_dir).orphans.select(wire.envelope("digest_response", F.to_json(F.struct(F.create_map("path", entry).alias("digests")))).alias("value"))
-    return wire.digest_rows(lines).select("path", "ext", "size")
+    return wire.digest_rows(lines)
 
 
 @query(f"{BASE} SELECT path FROM src WHERE NOT list_has_any(string_split(path, '/'), ['src3', 'fr', 'doc_1.en'])")
@@ -433,10 +491,41 @@ def mount_lookup(spark, sf_dir):
     return tables.mount_of(rows, every)
 
 
-@query()
+@query("SELECT doc_id, source || '/' || lang || '/' || doc_id AS value FROM documents")
+def fn_join(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", paths.joined(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("value"))
+
+
+@query("""SELECT doc_id, '{size: ' || n_chars || ', modified: ' || strftime(make_timestamp((1700000000 + doc_id * 60) * 1000000), '%Y-%m-%d %H:%M:%S') || ' +0000 UTC}' AS meta,
+  '.' || lang || '/' || n_chars || '/f' || lang AS digest, '.' || lang || '/' || n_chars AS key FROM documents""")
+def entity_strings(spark, sf_dir):
+    docs, ext = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.concat(F.lit("."), "lang")
+    return docs.select("doc_id", text.meta_shown(F.col("n_chars"), F.lit(1700000000) + F.col("doc_id") * 60).alias("meta"), text.digest_shown(ext, F.col("n_chars"), F.concat(F.lit("f"), "lang")).alias("digest"), text.key_shown(ext, F.col("n_chars")).alias("key"))
+
+
+@query("SELECT doc_id, i AS part, i * n_chars // (doc_id % 7 + 1) AS start, (i + 1) * n_chars // (doc_id % 7 + 1) AS \"end\" FROM documents, unnest(range(doc_id % 7 + 1)) AS u(i)")
+def shard_bounds(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.explode(text.shard_bounds(F.col("n_chars"), F.col("doc_id") % 7 + 1)).alias("s")).select("doc_id", "s.*")
+
+
+@query("SELECT doc_id, printf('%.0f%%', 100.0::DOUBLE * (doc_id % 8) / 8) AS value FROM documents")
+def fn_progress(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.progress(F.col("doc_id") % 8, F.lit(8)).alias("value"))
+
+
+@query("SELECT doc_id, 'failed: ' || lang || ', ' || source || ', ' AS value FROM documents")
+def fn_errors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.errors_joined(F.lit("failed"), F.array("lang", "source")).alias("value"))
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("SELECT path, false AS is_dir FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(path)")
 def scan_inventory(spark, sf_dir):
-    """The tables' own folder as a file tree; mtimes depend on the machine, so there is no SQL for it."""
+    """The tables' own folder as a file tree; sizes and mtimes depend on the machine."""
     from .sources.filetree import FileTree
 
     spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").option("root", sf_dir).load().select("path", "size", "is_dir")
+    return spark.read.format("filetree").option("root", sf_dir).load().select("path", "is_dir")

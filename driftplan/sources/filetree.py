@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -11,15 +13,61 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .tables import DEFAULT_EXCLUSIONS
 
 SCHEMA = "path string, size long, mtime long, is_dir boolean"
+#: Directories that the driver opens to find work for tasks, at most, and names that one task gets of a large directory.
+OPENED, NAMES = 512, 10_000
+LOG = logging.getLogger("driftplan")
+
+
+def walk(root: str, excluded: frozenset[str], one: bool = False, start: tuple[str, ...] | None = None, below: bool = True) -> Iterator[tuple]:
+    """(path, size, mtime, is_dir, error) of regular files and directories; entries that can't be read have an error alone.
+
+    From the root's entries on, or from the paths ``start``; without ``below`` directories aren't entered. No recursion: a
+    tree may be as deep as it likes.
+    """
+    root = os.path.normpath(root)
+    device = os.lstat(root).st_dev if one else None
+    if start is None:
+        if os.path.basename(root) in excluded:
+            return
+        start = tuple(sorted(os.listdir(root)))
+    left = deque(start)
+    while left:
+        rel = left.popleft()
+        name = os.path.basename(rel)
+        if name in excluded:
+            continue
+        shown, full = not name.startswith("._"), os.path.join(root, rel)
+        try:
+            info = os.lstat(full)
+        except OSError as e:
+            yield _skipped(rel, full, e)
+            continue
+        if stat.S_ISREG(info.st_mode):
+            if shown:
+                yield rel, info.st_size, int(info.st_mtime // 1), False, None
+        elif stat.S_ISDIR(info.st_mode) and (not one or info.st_dev == device):
+            if shown:
+                yield rel, 0, int(info.st_mtime // 1), True, None
+            if below:
+                try:
+                    left.extendleft(f"{rel}/{child}" for child in sorted(os.listdir(full), reverse=True))
+                except OSError as e:
+                    yield _skipped(rel, full, e)
+
+
+def _skipped(rel: str, full: str, error: OSError) -> tuple:
+    LOG.warning("skipped %s: %s", full, error)
+    return rel, None, None, None, str(error)
 
 
 class FileTree(DataSource):
     """``spark.read.format("filetree").option("root", ...)``: regular files and directories below a root.
 
-    Options: root (needed), exclusions (names, one per line; default: the usual litter), one_file_system (true/false).
-    Excluded directories aren't entered. Names that start with ._ are left out, what is below them is not. Links and
-    devices are left out; what can't be read is skipped. mtime is in whole seconds; directories have size 0. One task per
-    entry of the root, so the root must be visible where tasks run.
+    Options: root (needed), exclusions (names, one per line; default: the usual litter), one_file_system (true/false),
+    errors (true/false). Excluded directories aren't entered. Names that start with ._ are left out, what is below them is
+    not. Links and devices are left out. What can't be read is logged and skipped; with errors=true it is a row with a text
+    in a further column, error. mtime is in whole seconds; directories have size 0. The driver opens a few hundred
+    directories to deal their entries to tasks, large ones in pieces; the root must be visible where tasks run.
     """
 
     @classmethod
@@ -27,15 +75,17 @@ class FileTree(DataSource):
         return "filetree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", error string" if self.options.get("errors", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
 class _Part(InputPartition):
-    def __init__(self, value: str):
-        super().__init__(value)
+    """Entries, and whether what is below them belongs to the part as well."""
+
+    def __init__(self, names: tuple[str, ...], below: bool):
+        super().__init__((names, below))
 
 
 class _Reader(DataSourceReader):
@@ -49,40 +99,49 @@ class _Reader(DataSourceReader):
         self.root = os.path.normpath(root)
         self.excluded = frozenset(DEFAULT_EXCLUSIONS if names is None else (x.strip() for x in names.splitlines() if x.strip()))
         self.one = options.get("one_file_system", "false").lower() == "true"
-        info = os.lstat(self.root)
-        if not stat.S_ISDIR(info.st_mode):
+        self.errors = options.get("errors", "false").lower() == "true"
+        if not stat.S_ISDIR(os.lstat(self.root).st_mode):
             raise NotADirectoryError(self.root)
-        self.device = info.st_dev
 
     def partitions(self) -> list[InputPartition]:
         if os.path.basename(self.root) in self.excluded:
             return []
-        return [_Part(name) for name in sorted(os.listdir(self.root))]
+        device = os.lstat(self.root).st_dev
+        seen, failed, todo, opened = [], [], deque([""]), 0
+        while todo and opened < OPENED:
+            rel, opened = todo.popleft(), opened + 1
+            try:
+                with os.scandir(os.path.join(self.root, rel)) as entries:
+                    found = sorted((f"{rel}/{e.name}" if rel else e.name, e.is_dir(follow_symlinks=False)) for e in entries)
+                    dirs = [p for p, is_dir in found if is_dir and os.path.basename(p) not in self.excluded and not (self.one and os.lstat(os.path.join(self.root, p)).st_dev != device)]
+            except OSError:
+                if not rel:
+                    raise
+                failed.append(rel)  # a task of its own says why
+                continue
+            # a directory's own entries are one part or more; its directories are opened in turn or become parts
+            seen.append([p for p, _ in found])
+            todo.extend(dirs)
+        parts = [_Part(tuple(names[i : i + NAMES]), False) for names in seen for i in range(0, len(names), NAMES)]
+        return parts + [_Part((rel,), True) for rel in (*todo, *failed)]
 
     def read(self, partition: InputPartition | None) -> Iterator[tuple]:
         if partition is None:  # what Spark asks for where there are no partitions
             return
-        yield from self._entry(partition.value)
-
-    def _entry(self, rel: str) -> Iterator[tuple]:
-        name = os.path.basename(rel)
-        if name in self.excluded:
-            return
+        names, below = partition.value
+        rows = self._below(names[0]) if below else walk(self.root, self.excluded, self.one, names, False)
+        for row in rows:
+            if self.errors:
+                yield row
+            elif row[4] is None:
+                yield row[:4]
+
+    def _below(self, rel: str) -> Iterator[tuple]:
+        """What is below a directory; its own row is in its parent's part."""
         full = os.path.join(self.root, rel)
         try:
-            info = os.lstat(full)
-        except OSError:
+            names = sorted(os.listdir(full))
+        except OSError as e:
+            yield _skipped(rel, full, e)
             return
-        shown = not name.startswith("._")
-        if stat.S_ISREG(info.st_mode):
-            if shown:
-                yield rel, info.st_size, int(info.st_mtime // 1), False
-        elif stat.S_ISDIR(info.st_mode) and not (self.one and info.st_dev != self.device):
-            if shown:
-                yield rel, 0, int(info.st_mtime // 1), True
-            try:
-                below = sorted(os.listdir(full))
-            except OSError:
-                return
-            for child in below:
-                yield from self._entry(f"{rel}/{child}")
+        yield from walk(self.root, self.excluded, self.one, tuple(f"{rel}/{x}" for x in names))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WALK = "files map<string,struct<size:bigint,modified_timestamp:bigint>>, dirs map<string,bigint>, total_size bigint"
+RESULTS = "results array<struct<index:bigint,success:boolean,error:string>>"
+#: The agent's names for actions.
+SPEC_TYPES = {"touch": "timestamp", "mkdir": "mkdir", "move": "move", "copy": "copy"}
 DIGESTS = "digests map<string,struct<file_extension:string,file_size:bigint,file_fuzzy_hash:string>>"
 
 
@@ -41,8 +44,65 @@ def walk_lines(inventory: DataFrame, per_message: int = 10_000) -> DataFrame:
     return grouped.select(envelope("walk_response", F.to_json(F.struct("files", "dirs", "total_size"))).alias("value"))
 
 
-def action_specs(actions: DataFrame) -> DataFrame:
-    """Actions as JSON without empty fields: a time of 0 is left out like a missing one."""
-    kinds = F.create_map(*[F.lit(x) for kv in {"touch": "propagate_timestamp", "mkdir": "make_directory", "move": "move_file", "copy": "copy_file"}.items() for x in kv])
-    spec = F.to_json(F.struct(kinds[F.col("kind")].alias("type"), F.col("from_path").alias("source_path"), F.col("to_path").alias("dest_path"), F.nullif(F.col("mtime"), F.lit(0)).alias("mod_timestamp")))
-    return actions.withColumn("spec", spec)
+def perform_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(index, success, error) from perform responses; an error that was left out is null."""
+    rows = _payload(lines, "perform_response", RESULTS, column).select(F.explode("results").alias("r"))
+    return rows.select("r.index", "r.success", "r.error")
+
+
+def progress_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(kind, done, total) from the progress messages of scans and digests; a scan has no total."""
+    walks = _payload(lines, "walk_progress", "files_found bigint", column).select(F.lit("walk").alias("kind"), F.col("files_found").alias("done"), F.lit(None).cast("long").alias("total"))
+    return walks.unionByName(_payload(lines, "digest_progress", "files_hashed bigint, total bigint", column).select(F.lit("digest").alias("kind"), F.col("files_hashed").alias("done"), "total"))
+
+
+def error_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    return _payload(lines, "error", "message string", column)
+
+
+def _given(value: Column) -> Column:
+    """Null for what messages leave out: empty strings, zeros, false."""
+    return F.when(~value.cast("string").isin("", "0", "false"), value)
+
+
+def action_specs(actions: DataFrame, root: str, reflink: bool = False) -> DataFrame:
+    """Actions with a column spec, what an agent is asked to perform below ``root``. Paths of copies and directories are absolute."""
+    is_ = lambda kind, value: F.when(F.col("kind") == kind, value)
+    at = lambda c: F.when(F.startswith(c, F.lit("/")), c).when(c == ".", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), c))
+    old, new, base = F.col("from_path"), F.col("to_path"), F.lit(root)
+    types = F.create_map(*[F.lit(x) for pair in SPEC_TYPES.items() for x in pair])
+    fields = {
+        "type": types[F.col("kind")],
+        "base_path": is_("move", base),
+        "from_rel_path": is_("move", old),
+        "to_rel_path": is_("move", new),
+        "dest_base_path": is_("touch", base),
+        "dest_rel_path": is_("touch", new),
+        "mod_timestamp": F.when(F.col("kind").isin("touch", "copy"), F.col("mtime")),
+        "dir_path": is_("mkdir", at(new)),
+        "from_abs_path": is_("copy", at(old)),
+        "to_abs_path": is_("copy", at(new)),
+        "use_reflink": is_("copy", F.lit(reflink)),
+    }
+    return actions.withColumn("spec", F.to_json(F.struct(*[_given(v).alias(k) for k, v in fields.items()])))
+
+
+def perform_requests(specs: DataFrame, dry_run: bool, per_message: int = 10_000) -> DataFrame:
+    """Perform requests of at most ``per_message`` actions each (part, value), in order; specs: emit_seq, spec."""
+    part = F.floor((F.col("emit_seq") - 1) / per_message)
+    held = specs.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("emit_seq", "spec"))).alias("held"))
+    payload = F.concat(F.lit('{"actions":['), F.array_join(F.transform("held", lambda h: h["spec"]), ","), F.lit(f'],"dry_run":{str(dry_run).lower()}}}'))
+    return held.select("part", envelope("perform_request", payload).alias("value"))
+
+
+def request(kind: str, payload: Column | None = None) -> Column:
+    """A request line; quit has no payload."""
+    return F.to_json(F.struct(F.lit(kind).alias("type"))) if payload is None else envelope(kind, payload)
+
+
+def walk_request(root: Column, excluded: Column, one_file_system: bool = False, progress_ms: int = 0) -> Column:
+    return request("walk_request", F.to_json(F.struct(root.alias("dir_path"), excluded.alias("excluded_names"), _given(F.lit(progress_ms)).alias("progress_interval_ms"), _given(F.lit(one_file_system)).alias("one_file_system"))))
+
+
+def digest_request(root: Column, files: Column) -> Column:
+    return request("digest_request", F.to_json(F.struct(root.alias("base_path"), files.alias("files"))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -22,21 +23,50 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/driftplan/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what ``cut`` has written for this application; DataFrames that read it are of no use afterwards."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(_home(spark))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_swept: set[str] = set()
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a DataFrame that reads it: lineage ends there and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/driftplan/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and returns a DataFrame that reads it: lineage ends there and lost executors lose nothing.
+
+    The files are deleted by ``sweep``, at the latest when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    home = _home(spark)
+    if home not in _swept:
+        _swept.add(home)
+        atexit.register(_sweep_at_exit, spark)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _sweep_at_exit(spark: SparkSession) -> None:
+    try:
+        sweep(spark)
+    except Exception:  # the session may be gone: then the files stay until the folder is cleared
+        pass
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its place (from 1) in a total ``order``, without a window over all rows: range-partitioned, sorted, and counted part by part."""
     low = (1 << 33) - 1
     placed = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    other = sizes.select(F.col("_part").alias("_before"), F.col("_n").alias("_m"))
-    # one row per partition on either side: as small as the number of tasks
-    ahead = sizes.join(other, F.col("_before") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_ahead"))
+    # one row per partition: as small as the number of tasks
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     kept = [c for c in df.columns if c != name]
     return placed.withColumn("_part", part).join(F.broadcast(ahead), "_part").select(*kept, (F.col("_ahead") + F.col("_id").bitwiseAND(low) + 1).cast("long").alias(name))

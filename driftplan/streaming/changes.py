@@ -4,30 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import diff
-from ..storage import cut
 
 
 def latest(changes: DataFrame) -> DataFrame:
     """The last state per side and path of a change log (seq, side, path, size, mtime, deleted), deletions dropped."""
-    last = Window.partitionBy("side", "path").orderBy(F.desc("seq"))
-    return changes.withColumn("rn", F.row_number().over(last)).where("rn = 1 AND NOT deleted").drop("rn", "deleted", "seq")
+    return _last(changes).where("NOT deleted").drop("deleted", "seq")
+
+
+#: Epochs after which the changes since are folded into one inventory again.
+COMPACT = 20
 
 
 def watch(changes: DataFrame, on_orphans: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Folds each micro-batch of ``changes`` into the inventories and hands over the orphans as they then are."""
-    held: list[DataFrame] = []
+    """Folds each micro-batch of ``changes`` into the inventories and hands over the orphans as they then are.
+
+    The inventories are beside the stream's own checkpoint, a folder per epoch: an epoch adds its last changes alone, and
+    every twentieth holds the whole state. A stream that starts again reads what the epochs before its own have left; an
+    epoch that is done again writes the same folder. So ``on_orphans`` may see an epoch twice, but never a wrong state.
+    """
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        rows = batch if not held else batch.unionByName(held[0])
-        last = Window.partitionBy("side", "path").orderBy(F.desc("seq"))
-        state = cut(rows.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn"), "inventory")
-        held[:] = [state]
-        now = state.where("NOT deleted")
+        spark, home = batch.sparkSession, f"{checkpoint.rstrip('/')}/inventory"
+        done = [(n, whole) for n, whole in _epochs(spark, home) if n < epoch]
+        since = max((n for n, whole in done if whole), default=-1)
+        rows = _last(batch)
+        whole = epoch % COMPACT == COMPACT - 1
+        state = rows
+        for n, kind in done:
+            if n >= since:
+                state = state.unionByName(spark.read.schema(rows.schema).parquet(f"{home}/{_folder(n, kind)}"))
+        (_last(state) if whole else rows).write.mode("overwrite").parquet(f"{home}/{_folder(epoch, whole)}")
+        now = _last(state).where("NOT deleted")
         on_orphans(diff.orphans(now.where("side = 'source'"), now.where("side = 'destination'")), epoch)
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).start()
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """The last state per side and path; aggregated before it is exchanged."""
+    other = [c for c in rows.columns if c not in ("side", "path")]
+    last = rows.groupBy("side", "path").agg(F.max_by(F.struct(*other), "seq").alias("last"))
+    return last.select("side", "path", "last.*").select(*rows.columns)
+
+
+def _folder(epoch: int, whole: bool) -> str:
+    return f"{'state' if whole else 'changes'}-{epoch:012d}"
+
+
+def _epochs(spark: SparkSession, home: str) -> list[tuple[int, bool]]:
+    """(epoch, whether it holds the whole state) of the folders that are complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    full = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{n}/_SUCCESS"))]
+    return sorted((int(n.split("-")[1]), n.startswith("state")) for n in full)

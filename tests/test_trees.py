@@ -182,3 +182,78 @@ def test_changes(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen[-1] == ["a"]
+
+
+def test_scan_deals_large_directories_and_tells_of_errors(spark, tmp_path, monkeypatch):
+    from driftplan.sources import filetree
+
+    deep = tmp_path
+    for i in range(60):
+        (deep / f"f{i}").write_bytes(b"x")
+        deep = deep / "d"
+        deep.mkdir()
+    for i in range(250):
+        (tmp_path / f"many{i:03d}").write_bytes(b"xy")
+    wanted = {os.path.relpath(os.path.join(d, n), tmp_path) for d, dirs, files in os.walk(tmp_path) for n in (*dirs, *files)}
+    for opened, names in ((512, 10_000), (3, 20), (1, 7)):
+        monkeypatch.setattr(filetree, "OPENED", opened)
+        monkeypatch.setattr(filetree, "NAMES", names)
+        reader = filetree._Reader({"root": str(tmp_path)})
+        parts = reader.partitions()
+        found = [r[0] for p in parts for r in reader.read(p)]
+        assert sorted(found) == sorted(wanted) and (names > 20 or len(parts) > 10)
+    monkeypatch.setattr(filetree.os, "listdir", lambda p, real=os.listdir: (_ for _ in ()).throw(PermissionError(13, "no", p)) if str(p).endswith("/d") else real(p))
+    rows = list(filetree.walk(str(tmp_path), frozenset()))
+    assert ("d", True, None) in {(r[0], r[3], r[4]) for r in rows} and sum(r[4] is not None for r in rows) == 1
+    assert "error" in scan(spark, tmp_path, errors="true").columns
+
+
+def test_equal_files_stay_linear(spark):
+    n = 10_000
+    src = spark.range(n).selectExpr("concat('src/a', id) AS path", "0L AS size", "1L AS mtime", "'' AS hash", "'' AS ext")
+    dst = spark.range(n).selectExpr("concat('dst/b', id) AS path", "0L AS size", "1L AS mtime", "'' AS hash", "'' AS ext")
+    best = match.pick_best(src, dst, src.select("path", "size", "mtime"))
+    assert best.agg(F.count("*"), F.count_distinct("candidate"), F.sum(F.col("first").cast("int"))).first() == (n, 1, 1)
+    assert "Window" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sizes_as_printf(spark):
+    from driftplan.functions import text
+
+    rng = random.Random(7)
+    sizes = [rng.randint(0, 10 ** rng.randint(1, 18)) for _ in range(3000)] + [1024**k * m // 1000 for k in range(1, 6) for m in range(1000, 1100)] + [1000**k * m // 1000 for k in range(1, 6) for m in range(1000, 1100, 5)]
+    sizes += [1024 + 128 * i // 25 for i in range(200)] + [-1, 0, 1023, 1024, 2140, 2828382, 2341234123412341234, (1 << 63) - 1]
+
+    def said(n, base, units):
+        if n < base:
+            return f"{n} B" if n >= 0 else ""
+        k = next((k for k in range(1, 6) if n < base ** (k + 1)), 6)
+        return f"{float(n) / float(base**k):.2f} {units[k]}"
+
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.binary_size(F.col("n")).alias("b"), text.decimal_size(F.col("n")).alias("d")).collect()
+    assert all(r.b == said(r.n, 1024, text.BINARY_UNITS) and r.d == said(r.n, 1000, text.DECIMAL_UNITS) for r in rows)
+
+
+def test_changes_survive_a_restart(spark, tmp_path, monkeypatch):
+    from driftplan.streaming import changes
+
+    monkeypatch.setattr(changes, "COMPACT", 2)
+    schema = "seq long, side string, path string, size long, mtime long, deleted boolean"
+    steps = [[(1, "source", "a", 1, 1, False), (2, "source", "b", 1, 1, False)], [(3, "destination", "a", 1, 1, False)], [(4, "destination", "b", 1, 1, False)], [(5, "source", "c", 1, 1, False)], [(6, "destination", "a", 1, 1, True)]]
+    wanted = [["a", "b"], ["b"], [], ["c"], ["a", "c"]]
+    for rows, found in zip(steps, wanted, strict=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        seen = []
+        query = watch(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), lambda df, _, seen=seen: seen.append(sorted(r.path for r in df.collect())), str(tmp_path / "state"))
+        query.processAllAvailable()
+        query.stop()
+        assert seen[-1] == found
+
+
+def test_sweep(spark, tmp_path):
+    from driftplan import storage
+
+    rows = storage.cut(spark.range(3))
+    assert rows.count() == 3 and os.path.isdir(storage._home(spark).removeprefix("file:"))
+    storage.sweep(spark)
+    assert not os.path.exists(storage._home(spark).removeprefix("file:"))
