@@ -50,9 +50,11 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, second = upper[points[starts]], upper[points[np.minimum(starts + 1, ends - 1)]]
     same = np.zeros(len(starts), np.int64)
     same[1:] = hashes[1:] == hashes[:-1]
-    same[bounds[:-1][bounds[:-1] < len(same)]] = 0
     glued = np.zeros(len(starts), np.int64)
     glued[1:] = starts[1:] == ends[:-1]
+    # a text's first token knows nothing of the text before it
+    first_ones = bounds[:-1][bounds[:-1] < len(starts)]
+    same[first_ones] = glued[first_ones] = 0
     shape = (((same * 2 + glued) * 2 + first) * 2 + second) * 32 + (kind == segment.LETTER) * 16 + size
     return (hashes % np.uint64(WORDS)).astype(np.int64), WORDS + shape % SHAPES, bounds
 
