@@ -35,9 +35,9 @@ def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     teach nothing. Of long texts pieces from all over are taken. An empty table gives no dictionaries.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
-        F.col(lang_col).alias("lang"), spread(F.col(text_col), SAMPLE_CHARS, PIECES).alias("head"), F.abs(F.xxhash64(F.col(order_by).cast("string"))).alias("at")
+        F.col(lang_col).alias("lang"), F.least(F.length(text_col), F.lit(SAMPLE_CHARS)).alias("chars"), spread(F.col(text_col), SAMPLE_CHARS, PIECES).alias("head"), F.abs(F.xxhash64(F.col(order_by).cast("string"))).alias("at")
     )
-    counted = {r["lang"]: (r["n"], max(1.0, r["mean"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("head")).alias("mean")).collect()}
+    counted = {r["lang"]: (r["n"], max(1.0, r["mean"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("chars").alias("mean")).collect()}
     if not counted:
         return {}
     share = F.create_map(*[F.lit(x) for lang, (n, mean) in counted.items() for x in (lang, min(1.0, 2.0 * size / mean / n))])
