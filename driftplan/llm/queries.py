@@ -95,4 +95,41 @@ FROM keyed""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op4_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+starts AS (SELECT doc_id, pos, md5_number(h[pos + 1 : pos + 100]) AS gram FROM (SELECT doc_id, h, unnest(range(greatest(octet_length(h) - 99, 0))) AS pos FROM d)),
+firsts AS (SELECT gram, min((doc_id, pos)) AS first FROM starts GROUP BY gram HAVING count(*) > 1),
+again AS (SELECT doc_id, pos FROM starts JOIN firsts USING (gram) WHERE (doc_id, pos) <> first),
+edges AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM edges),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS behind FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, octet_length(h) + 1, NULL FROM d)),
+left_over AS (SELECT doc_id, string_agg(hex(h[behind + 1 : least(a, octet_length(h))]), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (octet_length(h))::BIGINT AS n_bytes, coalesce(s.removed, 0)::BIGINT AS n_removed, coalesce(s.n, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN left_over USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id""",
+    "op7_near_text": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + 5], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * met.n >= 75 * (p.n + q.n - met.n)),
+ends AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM ends UNION SELECT r.node, e.b FROM reach r JOIN ends e ON e.a = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = d.doc_id""",
+    "op8_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ends AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM ends UNION SELECT r.node, e.b FROM reach r JOIN ends e ON e.a = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+counts AS (SELECT a AS node, count(*) AS n FROM ends GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN roots ON roots.node = vec_id LEFT JOIN counts ON counts.node = vec_id""",
 }

@@ -386,3 +386,99 @@ def test_mix_deals_crowded_keys_evenly(spark, monkeypatch):
     ranges = [df for name, df in seen if name == "ranges"][-1]
     held = [r["count"] for r in ranges.groupBy("_part").count().collect()]
     assert len(held) >= 3 and max(held) <= 3 * sorted(held)[len(held) // 2]
+
+
+SQL_OF = {"mix": "op1_mixing", "exact": "op2_exact_dedup", "repeats": "op4_repeats", "near": "op7_near_text"}
+
+
+@pytest.mark.parametrize("name", SQL_OF)
+def test_odd_rows_as_sql_has_them(spark, name):
+    """Null, empty, very long, equal and odd texts, null sources, and columns with clashing names: values, not numbers of rows."""
+    import duckdb
+    from oracle import rows
+
+    odd = [(i, (r[1] or "")[:30_000] if r[1] else r[1], *r[2:]) for i, r in enumerate(ODD)] + [(20, LONG[:5000], "es", "a"), (21, LONG[:30_000], None, None), (22, ODD[8][1] + " and more of it", "es", "c")]
+    found = OPERATORS[name](frame(spark, odd).repartition(3)).toPandas()
+    con = duckdb.connect()
+    documents = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").toPandas()
+    con.register("documents", documents)
+    wanted = con.sql(queries.ORACLES[SQL_OF[name]]).df()
+    assert rows(found, sorted(wanted.columns)) == rows(wanted, sorted(wanted.columns))
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    docs = frame(spark, ODD).repartition(2)
+    found = mixing.mix(docs).toPandas()
+    assert sorted(found[found.doc_id == 2]["size"]) == [7, 7] and found[found.doc_id.isna()]["size"].tolist() == [6] and found[found.doc_id == 3].taken.tolist() == [0]
+    found = dedup_exact.exact_dedup(docs).toPandas()
+    assert found[found.doc_id == 2].kept.sum() == 1 and not found[found.doc_id == 1].kept.any() and (found[found.doc_id.isin([1, 2])].group_size == 3).all() and found[found.doc_id.isna()].kept.all()
+    found = near_text.near_dedup(docs).toPandas()
+    assert (found[found.doc_id.isin([1, 2])].component_id == 1).all() and found[found.doc_id == 2].kept.sum() == 0
+    alone = found[found.doc_id.isna()]
+    assert alone.kept.all() and alone.component_id.isna().all() and alone.n_shingles.tolist() == [2]
+    text = "z" * 130 + "".join(map(chr, range(48, 100)))
+    found = repeats.remove_repeats(spark.createDataFrame([(5, text), (5, text), (None, text + "!"), (7, None)], "doc_id long, text string")).toPandas()
+    assert sorted(found[found.doc_id == 5].n_removed) == [182, 182] and found[found.doc_id.isna()].n_removed.tolist() == [129]
+    found = token_counts.count_tokens(docs, TOKENS["op9"]).toPandas()
+    assert found[found.doc_id == 2].n_tokens.nunique() == 1 and len(found[found.doc_id.isna()]) == 1 and found[found.doc_id.isin([3, 4])].n_tokens.tolist() == [0, 0]
+    found = packing.pack(docs, TOKENS["op3"]).toPandas()
+    assert found[found.doc_id.isin([3, 4])].doc_tokens.tolist() == [1, 1] and found[found.doc_id == 2].length.sum() == 2 * found[found.doc_id == 2].doc_tokens.max()
+    found = private.digest(private.find_private(docs)).toPandas()
+    assert found[["n_email", "n_ip", "n_card", "n_phone"]].sum().sum() == 0 and (found.spans == "").all()
+
+
+def test_language_and_quality_of_odd_rows(spark):
+    found = language.identify(frame(spark, ODD), language.fit_dictionaries(frame(spark, ODD))).toPandas()
+    by = lambda i: found[found.doc_id == i]
+    assert (by(3).lang_pred == "und").all() and (by(4).lang_pred == "und").all() and (by(5).lang_pred == "und").all() and by(5).score.tolist() == [0.0]
+    assert by(2).score.nunique() == 1 and by(1).score.tolist() == by(2).score.unique().tolist() and found[found.doc_id.isna()].score.between(0, 1).all()
+    labelled = frame(spark, ODD).selectExpr("*", "CASE WHEN length(text) > 30 THEN 1 ELSE 0 END AS quality")
+    model = quality.fit(labelled)
+    found = quality.score(frame(spark, ODD), model).toPandas()
+    assert by(3).score.tolist() == by(4).score.tolist() and by(2).score.nunique() == 1 and (found.predicted == (found.score >= 0.3)).all()
+    again = quality.score(frame(spark, ODD).repartition(5), quality.fit(labelled.repartition(4))).toPandas()
+    assert np.allclose(sorted(found.score), sorted(again.score))
+
+
+def test_language_by_brute_force(spark, small):
+    import zstandard
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    books = language.fit_dictionaries(docs)
+    found = {r.doc_id: r for r in language.identify(docs, books).collect()}
+    for r in docs.collect():
+        if r.text and re.search(r"[^\W\d_]", r.text):
+            data, sizes = language.folded(r.text), {}
+            for k, body in books.items():
+                packer = zstandard.ZstdCompressor(level=language.ZSTD_LEVEL, dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+                sizes[k] = sum(len(packer.compress(data[i : i + language.PIECE_BYTES])) for i in range(0, len(data), language.PIECE_BYTES))
+            first, second = sorted(sizes.values())[:2]
+            assert sizes[found[r.doc_id].lang_pred] == first and math.isclose(found[r.doc_id].margin, (second - first) / second)
+            assert found[r.doc_id].rejected == ((second - first) / second < 0.001)
+
+
+def test_quality_pools_by_brute_force():
+    rng = random.Random(8)
+    texts = ["", "one", "日本 語x", *(" ".join(rng.choice(["alpha", "beta", "GAMMA", "12", "!!", "é"]) for _ in range(rng.randint(1, 300))) for _ in range(20))]
+    vectors = quality.word_vectors(texts, quality.index_vectors())
+    words, shapes, bounds = quality.tokens(texts)
+    for step in (7, 100_000):
+        quality.STEP, held = step, quality.STEP
+        found = quality.pooled(texts, vectors)
+        quality.STEP = held
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            mean = lambda ids: vectors[ids[a:b]].mean(0) if b > a else np.zeros(quality.DIM)  # noqa: B023, E731
+            w, s = mean(words), mean(shapes)
+            assert np.allclose(found[i], np.concatenate((w, s, [np.linalg.norm(w), np.linalg.norm(s), np.log1p(b - a) / 10])), atol=1e-4)
+    # texts beyond the class table differ by their content
+    assert len({tuple(x) for x in quality.pooled(["日本語", "中国話", "日日日"], quality.index_vectors())}) == 3
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS])
+def test_long_texts_without_blanks(spark, name):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    docs = frame(spark, [(1, text, "en", "a"), (2, text, "en", "b"), (3, text[::-1], "es", "a"), (4, "a few words", "es", None)])
+    began = time.time()
+    found = OPERATORS[name](docs).toPandas()
+    assert found.doc_id.nunique() == 4 and time.time() - began < 60
