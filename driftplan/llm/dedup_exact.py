@@ -20,7 +20,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crosses the network once, pre-aggregated, and never as a group: later steps move integers.
 
     Returns one row per input row: ``id_col``, keep_id, group_size, kept, text_sha256, n_bytes. A null text counts as
-    empty. Rows that repeat an id and a text are one group of which a single row is kept; a null id sorts below all
+    empty; very long texts are more blocks and more levels. Rows that repeat an id and a text are one group of which a single row is kept; a null id sorts below all
     others. An empty table gives an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("bytes"))

@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents that stay, with the columns of documents."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents that stay, with the columns of documents.
+
+Empty tables pass through every stage as empty tables. Very long texts are taken whole. Further columns are carried along,
+whatever their names; packing returns its own.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language shows stay: those without letters, and those that two languages fit alike, go."""
+    """Documents whose language shows stay: those without letters (null and empty texts too), and those that two languages fit alike, go. Repeated rows fare alike; rows without id are judged by their text."""
     own = docs.toDF(*[f"own_{c}" for c in docs.columns])
     found = language.identify(own, language.fit_dictionaries(docs), "own_doc_id", "own_text", keep=tuple(own.columns))
     return found.where(~F.col("rejected")).select(*own.columns).toDF(*docs.columns)
@@ -32,7 +36,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows that repeat an id are one document. Rows without id stay."""
+    """One document of each group stays; rows that repeat an id are one document. Rows without id stay, as do null and empty texts."""
     ids = near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
@@ -46,6 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; null and empty texts are an end token, rows that repeat an id are packed each."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
