@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,23 @@ from ..functions import paths, text
 from ..operators import diff, match
 from ..storage import cut, numbered
 
+#: Shell commands by kind. {at_source}, {old} and {new} are quoted paths, {stamp} a quoted time.
+COMMANDS = {
+    "touch": "touch -r {at_source} {new}",
+    "mkdir": "mkdir -p -v {new}",
+    "move": "mv -v -n {old} {new}",
+    "copy": "cp -pv {old} {new} && touch -m -a -t {stamp} {new}",
+    "reflink": 'if [ "$(uname)" = "Darwin" ]; then cp -pv -c {old} {new}; else cp -pv --reflink=auto {old} {new}; fi && touch -m -a -t {stamp} {new}',
+}
+#: Actions in words, and what a dry run says of them.
+WORDS = {
+    "touch": "propagate timestamp of {old} to {new}",
+    "mkdir": "create directory {new}",
+    "move": "rename/move file from {old} to {new}",
+    "copy": "copy file {old} to {new}",
+}
+DRY_RUN = "skipping (dry run)"
+
 #: Order of kinds within one orphan, and of phases by mode.
 KIND_RANK = {"touch": 0, "mkdir": 1, "move": 2, "copy": 2}
 PHASES = {match.LOCAL: {"match": 1, "archive": 2, "dirs": 3}, match.AGENT: {"match": 1, "dirs": 2, "archive": 3}}
@@ -104,23 +122,29 @@ def plan_summary(plan: Plan) -> DataFrame:
     return plan.actions.groupBy("kind").agg(F.count("*").alias("actions"), F.sum("bytes_saved").alias("bytes_saved"))
 
 
+def _filled(template: str, **values: Column) -> Column:
+    """A template with columns for its {names}."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
+def _by_kind(templates: dict[str, str], **values: Column) -> Column:
+    said = [_filled(templates[k], **values) for k in ("touch", "mkdir", "move", "copy")]
+    kind = F.col("kind")
+    return F.when(kind == "touch", said[0]).when(kind == "mkdir", said[1]).when(kind == "move", said[2]).otherwise(said[3])
+
+
 def commands(actions: DataFrame, source_root: str, destination_root: str, reflink: bool = False) -> DataFrame:
     """A shell command per action (column command). Times are written in the session's time zone."""
-    at = lambda root, c: text.shell_escaped(F.when(F.startswith(c, F.lit("/")), c).when(c == ".", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), c)))
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    src, dst = at(destination_root, F.col("from_path")), at(destination_root, F.col("to_path"))
-    stamp = F.date_format(F.timestamp_seconds(F.col("mtime")), "yyyyMMddHHmm.ss")
-    pair = F.concat(q(src), F.lit(" "), q(dst))
-    copy = F.concat(F.lit("cp -pv "), pair)
-    if reflink:
-        copy = F.concat(F.lit('if [ "$(uname)" = "Darwin" ]; then cp -pv -c '), pair, F.lit("; else cp -pv --reflink=auto "), pair, F.lit("; fi"))
-    command = (
-        F.when(F.col("kind") == "touch", F.concat(F.lit("touch -r "), q(at(source_root, F.col("from_path"))), F.lit(" "), q(dst)))
-        .when(F.col("kind") == "mkdir", F.concat(F.lit("mkdir -p -v "), q(dst)))
-        .when(F.col("kind") == "move", F.concat(F.lit("mv -v -n "), q(src), F.lit(" "), q(dst)))
-        .otherwise(F.concat(copy, F.lit(" && touch -m -a -t "), q(stamp), F.lit(" "), q(dst)))
-    )
-    return actions.withColumn("command", command)
+
+    def at(root: str, path: Column) -> Column:
+        full = F.when(F.startswith(path, F.lit("/")), path).when(path == ".", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), path))
+        return F.concat(F.lit('"'), text.shell_escaped(full), F.lit('"'))
+
+    old, new = F.col("from_path"), F.col("to_path")
+    stamp = F.concat(F.lit('"'), F.date_format(F.timestamp_seconds(F.col("mtime")), "yyyyMMddHHmm.ss"), F.lit('"'))
+    templates = COMMANDS | ({"copy": COMMANDS["reflink"]} if reflink else {})
+    return actions.withColumn("command", _by_kind(templates, at_source=at(source_root, old), old=at(destination_root, old), new=at(destination_root, new), stamp=stamp))
 
 
 def over_ssh(command: Column, spec: str) -> Column:
@@ -136,13 +160,8 @@ def uniqueness(actions: DataFrame) -> Column:
 def shown(actions: DataFrame) -> Column:
     """An action in words."""
     old, new = (F.concat(F.lit('"'), text.sanitized(F.col(c)), F.lit('"')) for c in ("from_path", "to_path"))
-    return (
-        F.when(F.col("kind") == "touch", F.concat(F.lit("propagate timestamp of "), old, F.lit(" to "), new))
-        .when(F.col("kind") == "mkdir", F.concat(F.lit("create directory "), new))
-        .when(F.col("kind") == "move", F.concat(F.lit("rename/move file from "), old, F.lit(" to "), new))
-        .otherwise(F.concat(F.lit("copy file "), old, F.lit(" to "), new))
-    )
+    return _by_kind(WORDS, old=old, new=new)
 
 
-def log_lines(ordered: DataFrame, total: Column, word: str = "skipping (dry run)") -> Column:
+def log_lines(ordered: DataFrame, total: Column, word: str = DRY_RUN) -> Column:
     return F.concat(F.format_string("%4d/%d ", F.col("exec_seq"), total), shown(ordered), F.lit(f": {word}"))
