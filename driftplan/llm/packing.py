@@ -18,7 +18,7 @@ from . import segment
 from .common import pieces, safe_parts
 
 #: Characters in one array, and pre-tokens whose ids a worker remembers.
-CHUNK_CHARS, REMEMBERED = 1_000_000, 400_000
+CHUNK_CHARS, REMEMBERED = 1_000_000, 200_000
 #: What is left of a document under so many tokens isn't cut further.
 SHORTEST_CUT = 64
 WORKER_BITS = 40

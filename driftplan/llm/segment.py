@@ -60,8 +60,8 @@ def distinct_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     _, first, inverse = np.unique(span_hashes(symbols, starts, ends), return_index=True, return_inverse=True)
     size, there = ends - starts, starts[first][inverse]
     sound = bool((size == size[first][inverse]).all())
-    for at in range(0, len(starts) if sound else 0, STEP >> 2):
-        n, a, b = (x[at : at + (STEP >> 2)] for x in (size, starts, there))
+    for at in range(0, len(starts) if sound else 0, STEP >> 5):
+        n, a, b = (x[at : at + (STEP >> 5)] for x in (size, starts, there))
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         sound &= bool((symbols[np.repeat(a, n) + step] == symbols[np.repeat(b, n) + step]).all())
     if not sound:
