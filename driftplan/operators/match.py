@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..storage import cut
 
 LOCAL, AGENT = "local", "agent"
 
@@ -28,13 +27,16 @@ def pick_best(orphaned: DataFrame, candidate: DataFrame, source: DataFrame) -> D
     tells whether the orphan is the smallest that picked the candidate.
     """
     digest, held = ["ext", "size", "hash"], F.struct("candidate", "in_src", "synced", "cand_mtime")
-    named = cut(_known(candidate, source).groupBy(*digest, "in_src", paths.basename(F.col("candidate")).alias("name")).agg(F.min(held).alias("held")), "named")
-    same = named.where("NOT in_src").select(*digest, "name", F.col("held").alias("same_name"))
-    some = named.groupBy(*digest).agg(F.min(F.when(~F.col("in_src"), F.col("held"))).alias("free"), F.min("held").alias("any"))
+    free = F.min(F.when(~F.col("in_src"), held))
+    held_by = _known(candidate, source).withColumn("name", paths.basename(F.col("candidate"))).where("ext is not null and size is not null and name is not null")
+    named = held_by.groupBy(*digest, "name").agg(free.alias("free"), F.min(held).alias("any"))
+    some = named.groupBy(*digest).agg(F.min("free").alias("free"), F.min("any").alias("any"))
+    # equal columns, and the filters that either join would add, on both sides: so they share one exchange
+    same = named.select(*digest, "name", F.col("free").alias("same_name"), F.col("any").alias("same_any"))
     own = orphaned.where("hash is not null").select(F.col("path").alias("orphan"), *digest, "mtime", paths.basename(F.col("path")).alias("name"))
     met = own.join(some, digest).join(same, [*digest, "name"], "left")
     cls = F.when(F.col("same_name").isNotNull(), 0).when(F.col("free").isNotNull(), 1).otherwise(2)
-    best = met.select("orphan", F.coalesce("same_name", "free", "any").alias("p"), cls.alias("cls"), "size", "mtime").select("orphan", "p.candidate", "p.in_src", "p.synced", "cls", "size", "mtime", "p.cand_mtime")
+    best = met.select("orphan", F.coalesce("same_name", "free", "any", "same_any").alias("p"), cls.alias("cls"), "size", "mtime").select("orphan", "p.candidate", "p.in_src", "p.synced", "cls", "size", "mtime", "p.cand_mtime")
     first = best.groupBy("candidate").agg(F.min("orphan").alias("first_orphan"))
     return best.join(first, "candidate").withColumn("first", F.col("orphan") == F.col("first_orphan")).drop("first_orphan")
 

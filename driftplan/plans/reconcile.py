@@ -77,12 +77,10 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
     """
     copy_duplicates = copy_duplicates or archives is not None
     digest = digest or (lambda files, side: match.digested(files, hashes))
-    lost = diff.orphans(source, destination.select("path", "size", "mtime"))
-    known = diff.candidates(destination, lost)
     columns = ["path", "size", "mtime", "ext", "hash"]
-    lost, known = digest(lost, "source").select(*columns), digest(known, "destination").select(*columns)
-    if archives is not None or hashes is None:  # digests are needed more than once, or are dear: files are read for them
-        lost, known = cut(lost, "orphans"), cut(known, "candidates")
+    # used several times: without the cut each use would scan the inventories and hash again
+    lost = cut(digest(diff.orphans(source, destination.select("path", "size", "mtime")), "source").select(*columns), "orphans")
+    known = cut(digest(diff.candidates(destination, lost), "destination").select(*columns), "candidates")
     picked = cut(match.pick_best(lost, known, source.select("path", "size", "mtime")), "picked")
     moved, touched = match.moves(picked), match.touches(picked, mode)
     copied = match.copies(picked, mode) if copy_duplicates else picked.limit(0)
@@ -102,7 +100,7 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
     if archives is not None:
         few = archives.withColumn("ext", paths.extension(F.col("path"))).join(unmatched.select("ext", "size").distinct(), ["ext", "size"], "left_semi")
         few = match.digested(few, hashes) if hashes is not None else digest(few.drop("ext"), "archive")
-        hit = match.archive_matches(unmatched, few)
+        hit = cut(match.archive_matches(unmatched, few), "archived")
         fresh = match.new_directories(hit.select("orphan"), existing).join(made.select("path"), "path", "left_anti")
         rows += [_rows(fresh, "archive", "mkdir", F.lit(None), F.col("path")), _rows(hit, "archive", "copy", F.col("archive_path"), F.col("orphan"), F.col("mtime"))]
     if directory_times is not None:
