@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_exact, language, mixing, near_text, near_vectors, packing, private, quality, repeats, token_counts
+from . import alignment, dedup_exact, fingerprints, language, merkle, mixing, near_text, near_vectors, packing, private, quality, repeats, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,63 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(private.find_private(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_packing, op4_repeats, op5_quality, op6_language, op7_near_text, op8_near_vectors, op9_token_counts, op10_private)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(_documents(spark, sf_dir))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's leaf is folded again as it reads without line ends, for every row whose id has an even checksum."""
+    columns = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    read = columns | {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    proven = merkle.manifest(_documents(spark, sf_dir), tuple(columns), carried={"read": merkle.leaf(read)}).withColumn("folded_root", merkle.folded(F.col("read"), F.col("path")))
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_packing, op4_repeats, op5_quality, op6_language, op7_near_text, op8_near_vectors, op9_token_counts, op10_private, op11_fingerprints, op12_manifest, op13_alignment)}
+
+
+def _manifest_sql(levels: int = 16, group_levels: int = 8) -> str:
+    """Level by level for up to 3 ** ``levels`` leaves a source and 3 ** ``group_levels`` sources. s: what each leaf folds to so far."""
+    value = lambda e: f"coalesce(strlen({e}) || ':' || {e}, '-')"
+    row = lambda t: f"sha256({value('doc_id::VARCHAR')} || {value('source')} || {value('lang')} || {value('n_chars::VARCHAR')} || {value(t)})"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
+    steps = [
+        f"""leaves AS MATERIALIZED (
+  SELECT doc_id, source, {row('text')} AS leaf, {row(f"CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS read FROM documents),
+placed AS MATERIALIZED (
+  SELECT doc_id, leaf, read, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+t0 AS MATERIALIZED (SELECT tree, pos, n, leaf AS h FROM placed),
+s0 AS MATERIALIZED (SELECT doc_id, leaf, tree, pos, read AS folded, '' AS proof FROM placed)"""
+    ]
+
+    def climb(t: str, s: str, k: int, others: str, key: str) -> None:
+        """From level k to k + 1 of the trees ``t`` and the leaves' state ``s``."""
+        run, whole = "PARTITION BY tree, pos // 3 ORDER BY pos", f"(n + {3**k - 1}) // {3**k}"
+        steps.append(f"""{t}{k}x AS MATERIALIZED (
+  SELECT *, {whole} > 1 AS up, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {t}{k}),
+{t}{k + 1} AS MATERIALIZED (SELECT tree, pos // 3 AS pos, any_value(n) AS n, CASE WHEN any_value(up) THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {t}{k}x GROUP BY tree, pos // 3),
+{s}{k + 1} AS MATERIALIZED (
+  SELECT s.doc_id, s.leaf, {others} s.pos // 3 AS pos, CASE WHEN up THEN sha256(a || folded || b) ELSE folded END AS folded, CASE WHEN up THEN proof || a || b ELSE proof END AS proof
+  FROM {s}{k} s JOIN {t}{k}x x ON {key} x.pos = s.pos)""")
+
+    for k in range(levels):
+        climb("t", "s", k, "s.tree,", "x.tree = s.tree AND")
+    steps.append(f"""g0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM t{levels}),
+r0 AS MATERIALIZED (SELECT doc_id, leaf, t.h AS subroot, s.tree AS pos, folded, proof FROM s{levels} s JOIN t{levels} t ON t.tree = s.tree)""")
+    for k in range(group_levels):
+        climb("g", "r", k, "s.subroot,", "")
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM r{group_levels} JOIN g{group_levels} ON true"""
+
 
 ORACLES = {
+    "op12_manifest": _manifest_sql(),
     "op1_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
