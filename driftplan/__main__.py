@@ -61,20 +61,20 @@ def _seconds(text: str) -> float:
 def checked(options: argparse.Namespace) -> None:
     """Raises Refused where options don't fit."""
     if len(options.places) != 2:
-        raise Refused(ARGUMENTS, "two arguments expected: source directory path and destination directory path")
+        raise Refused(ARGUMENTS, "give a source directory and a destination directory")
     remote = []
     for code, which, place in ((SOURCE, "source", options.places[0]), (DESTINATION, "destination", options.places[1])):
         local = place.startswith(("/", "./", "../")) or ":" not in place
         host, _, path = place.partition(":")
         if not place or not local and not (host.rpartition("@")[2] and path):
-            raise Refused(code, f"invalid {which}: {place!r}")
+            raise Refused(code, f"{place!r} can't be the {which}")
         if local and not (os.path.isdir(place) and os.access(place, os.R_OK)):
-            raise Refused(code, f'{which} path "{place}" is not a readable directory')
+            raise Refused(code, f"the {which}, {place!r}, isn't a directory that can be read")
         remote.append(not local)
     if all(remote):
-        raise Refused(ARGUMENTS, "only one of source or destination can be remote")
+        raise Refused(ARGUMENTS, "at least one place must be on this machine")
     if options.shellscript and options.shellscript_at_path:
-        raise Refused(SCRIPT, "flags --shellscript and --shellscript-at-path are both specified")
+        raise Refused(SCRIPT, "-s and -p exclude each other")
     if any(remote):
         raise Refused(CONNECTION, "no transport to remote places: mount the tree, or run the plan's requests through an agent")
 
@@ -84,12 +84,12 @@ def exclusions(path: str | None) -> str | None:
     if path is None:
         return None
     if not os.path.isfile(path):
-        raise Refused(EXCLUSIONS, "argument to flag --exclusions should be a file")
+        raise Refused(EXCLUSIONS, "there is no such list of exclusions")
     try:
         with open(path, encoding="utf-8") as f:
             return f.read()
     except (OSError, UnicodeDecodeError) as e:
-        raise Refused(EXCLUSION_FILE, f"argument to flag --exclusions isn't readable: {e}") from e
+        raise Refused(EXCLUSION_FILE, f"the list of exclusions can't be read: {e}") from e
 
 
 def session():
@@ -103,9 +103,12 @@ def session():
 def run(options: argparse.Namespace, say=print) -> int:
     from pyspark.sql import functions as F
 
+    from concurrent.futures import ThreadPoolExecutor
+
     from .functions import digest, paths, text
-    from .operators import apply, diff
+    from .operators import apply
     from .plans import reconcile
+    from .progress import Progress, observed
     from .sources.filetree import FileTree
     from .storage import cut
 
@@ -123,17 +126,35 @@ def run(options: argparse.Namespace, say=print) -> int:
             for row in apply.csv_lines(scan(source, options.one_file_system).where("NOT is_dir")).toLocalIterator():
                 say(row["line"])
         except Exception as e:
-            raise Refused(LISTING, f"while creating list: {e}") from e
+            raise Refused(LISTING, f"the list can't be made: {e}") from e
         return SUCCESS
     roots = {"source": source, "destination": destination}
-    every = {side: cut(scan(root, options.one_file_system), side) for side, root in roots.items()}
+    progress, frequency = Progress(spark), options.progress_frequency
+
+    def scanned(side: str):
+        rows, seen = observed(progress.counted(scan(roots[side], options.one_file_system), side))
+        found = cut(rows, side)
+        progress.finished.add(side)
+        return found, seen.get
+
+    def at(counts: dict, done: set) -> str:
+        return ", ".join(f"{n} at the {side}{' (all)' if side in done else ''}" for side, n in counts.items())
+
+    # both sides at once, as two jobs that share the session's tasks
+    with progress.told(frequency, lambda counts, done: say(f"entries found so far: {at(counts, done)}")), ThreadPoolExecutor(2) as pool:
+        sides = dict(zip(roots, pool.map(scanned, roots), strict=True))
+    every = {side: rows for side, (rows, _) in sides.items()}
     files = {side: rows.where("NOT is_dir").drop("is_dir") for side, rows in every.items()}
-    for row in diff.summary(files["source"].withColumn("side", F.lit("source")).unionByName(files["destination"].withColumn("side", F.lit("destination")))).select("side", "files", text.binary_size(F.col("total_size")).alias("size")).collect():
-        say(f"{row['side']}: {row['files']} files (total size {row['size']})")
+    for side, (_, seen) in sides.items():
+        (size,) = spark.range(1).select(text.binary_size(F.lit(seen["total_size"]))).first()
+        say(f"{side}: {seen['files']} files, {size} together")
 
     def hashed(rows, side: str):
         """Digests of files; archives' paths are absolute already."""
-        found = digest.tolerated(cut(digest.digest_files(rows, roots.get(side, "/")), f"digests-{side}"))
+        hashes = Progress(spark)
+        expected = (rows := cut(rows, f"to-hash-{side}")).count()
+        with hashes.told(frequency, lambda counts, _: say(f"digests of the {side}: {100 * counts[side] // max(expected, 1)}% of {expected}")):
+            found = digest.tolerated(cut(hashes.counted(digest.digest_files(rows, roots.get(side, "/")), side), f"digests-{side}"))
         return rows.join(found.select("path", F.col("fuzzy_hash").alias("hash")), "path").withColumn("ext", paths.extension(F.col("path")))
 
     archives = None
@@ -142,7 +163,7 @@ def run(options: argparse.Namespace, say=print) -> int:
         archives = rows if archives is None else archives.unionByName(rows)
     times = tuple(every[side].where("is_dir").select("path", "mtime") for side in roots) if options.sync_dir_timestamps else None
     try:
-        plan = reconcile.reconcile(files["source"], files["destination"], digest=hashed, copy_duplicates=options.copy_duplicates, archives=archives, directory_times=times)
+        plan = reconcile.reconcile(files["source"], files["destination"], digest=hashed, copy_duplicates=options.copy_duplicates, archives=archives, directory_times=times, directories=every["destination"].where("is_dir").select("path"))
         stamp = time.strftime("%y%m%d_%H%M%S")
         if options.verbose:
             apply.write_lines(plan.orphans, f"./info_{stamp}_orphans_at_source.txt")
@@ -150,19 +171,19 @@ def run(options: argparse.Namespace, say=print) -> int:
         script = options.shellscript_at_path or (f"./sync_actions_{stamp}.sh" if options.shellscript else "")
         if script:
             apply.write_script(reconcile.commands(plan.ordered(), source, destination, options.reflink).select(F.col("emit_seq").alias("seq"), "command"), script)
-            say(f"wrote {script}")
+            say(f"the script is {script}")
             return SUCCESS
         total, good, last = plan.actions.count(), 0, time.monotonic()
         for n, (_, fine, error) in enumerate(apply.apply(plan, destination, options.dry_run, options.reflink), 1):
             good += fine
             if not fine:
-                say(f"{n}/{total} failed due to: {error}")
+                say(f"action {n} of {total} failed: {error}")
             if time.monotonic() - last >= options.progress_frequency:
                 last = time.monotonic()
-                say(f"{100 * n / total:.0f}% done")
-        say(f"{good} actions would be performed" if options.dry_run else f"{good} out of {total} actions succeeded")
+                say(f"{n} of {total} actions done")
+        say(f"{good} actions would be performed" if options.dry_run else f"{good} of {total} actions succeeded")
     except Exception as e:
-        raise Refused(SYNC, f"while syncing: {e}") from e
+        raise Refused(SYNC, f"the plan can't be made or carried out: {e}") from e
     return SUCCESS
 
 
@@ -180,7 +201,7 @@ def main(arguments: list[str] | None = None) -> int:
             print(VERSION)
             return SUCCESS
         if not arguments:
-            raise Refused(ARGUMENTS, "no input directories passed")
+            raise Refused(ARGUMENTS, "no directories given")
         return run(options)
     except Refused as e:
         print(f"error: {e}", file=sys.stderr)

@@ -1,75 +1,89 @@
-"""Applying a plan on the driver: one pass, no retries, nothing deleted, nothing at the source changed."""
+"""Applying a plan: one pass, no retries, nothing deleted, nothing at the source changed."""
 
 from __future__ import annotations
 
 import os
-import shutil
-import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+from .files import Files, LocalFiles
 
-def apply(plan, destination_root: str, dry_run: bool = True, reflink: bool = False) -> Iterator[tuple[int, bool, str | None]]:
+RESULT = "exec_seq long, success boolean, error string"
+
+
+def apply(plan, destination_root: str, dry_run: bool = True, reflink: bool = False, files: Files | None = None) -> Iterator[tuple[int, bool, str | None]]:
     """Performs a plan's actions in execution order, touches before the moves of the same file, and tells (exec_seq, success, error) for each.
 
     It goes on after failures. Copies whose source was moved in this pass read the new place. A dry run does nothing and
-    counts every action as a success.
+    counts every action as a success. ``files``: where the destination is; this machine's files by default.
     """
     moved: dict[str, str] = {}
+    files = files or LocalFiles()
     for row in _passes(plan.executed()):
         error = None
         if not dry_run:
             try:
-                _perform(row, destination_root, moved, reflink)
-            except OSError as e:
+                _perform(row, destination_root, moved, reflink, files)
+            except (OSError, ValueError) as e:
                 error = str(e)
         yield row["exec_seq"], error is None, error
 
 
+def results(plan, destination_root: str, dry_run: bool = False, reflink: bool = False, files: Files | None = None, batch: int = 10_000) -> DataFrame:
+    """``apply``, with what it tells as a table (exec_seq, success, error), written once.
+
+    Actions have an order, so they are performed one by one; of their results no more than ``batch`` are held at a time.
+    """
+    spark, held, parts = plan.actions.sparkSession, [], []
+    for row in apply(plan, destination_root, dry_run, reflink, files):
+        held.append(row)
+        if len(held) == batch:
+            parts.append(cut(spark.createDataFrame(held, RESULT), "results"))
+            held = []
+    if held or not parts:
+        parts.append(cut(spark.createDataFrame(held, RESULT), "results"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def performed(executed: DataFrame, told: DataFrame) -> DataFrame:
+    """The actions of a plan (its ``executed``) with how each ended, success and error; null for what wasn't tried."""
+    return executed.join(told, "exec_seq", "left")
+
+
+def savings(done: DataFrame) -> DataFrame:
+    """By kind: actions, how many succeeded, and the bytes that these spare a transfer."""
+    fine = F.col("success")
+    return done.groupBy("kind").agg(F.count("*").alias("actions"), F.count_if(fine).alias("successes"), F.sum(F.when(fine, F.col("bytes_saved")).otherwise(F.lit(0))).alias("bytes_saved"))
+
+
 def _passes(executed: DataFrame) -> Iterator:
+    executed = cut(executed, "executed")
     for some in ("kind = 'touch' AND phase = 'match'", "kind <> 'touch'", "phase = 'dirs'"):
         yield from executed.where(some).orderBy("exec_seq").toLocalIterator()
 
 
-def _perform(row, root: str, moved: dict[str, str], reflink: bool) -> None:
+def _perform(row, root: str, moved: dict[str, str], reflink: bool, files: Files) -> None:
     target = os.path.join(root, row["to_path"])
     if row["kind"] == "touch":
-        os.utime(target, (row["mtime"], row["mtime"]))
+        files.touch(target, row["mtime"])
     elif row["kind"] == "mkdir":
-        os.makedirs(target, exist_ok=True)
+        files.mkdir(target)
     elif row["kind"] == "move":
-        if os.path.lexists(target):
-            raise FileExistsError(target)
-        os.rename(os.path.join(root, row["from_path"]), target)
+        files.move(os.path.join(root, row["from_path"]), target)
         moved[row["from_path"]] = row["to_path"]
     else:
-        source = os.path.join(root, moved.get(row["from_path"], row["from_path"]))
-        part = f"{target}.tmp"
-        try:
-            if not (reflink and _cloned(source, part)):
-                shutil.copyfile(source, part)
-                shutil.copymode(source, part)
-            os.utime(part, (row["mtime"], row["mtime"]))
-            os.replace(part, target)
-        except OSError:
-            if os.path.exists(part):
-                os.remove(part)
-            raise
-
-
-def _cloned(source: str, target: str) -> bool:
-    """A copy that shares blocks where the file system can, by the system's copy command; False where there is no such command."""
-    try:
-        return subprocess.run(["cp", "--reflink=auto", "-p", source, target], capture_output=True).returncode == 0
-    except FileNotFoundError:
-        return False
-
-
-def dry_results(plan) -> DataFrame:
+        files.copy(os.path.join(root, moved.get(row["from_path"], row["from_path"])), target, row["mtime"], reflink)
+
+
+def dry_results(executed: DataFrame) -> DataFrame:
     """What a dry run tells of each action (exec_seq, success, error), without the driver."""
-    return plan.executed().select("exec_seq", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    return executed.select("exec_seq", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
 
 
 def write_lines(rows: DataFrame, path: str, column: str = "path") -> None:
@@ -88,8 +102,8 @@ def write_script(lines: DataFrame, path: str) -> None:
 
 
 def csv_lines(files: DataFrame) -> DataFrame:
-    """path,size,mtime (column line), quoted as RFC 4180 has it: where a path holds a quote, a comma or a line end."""
-    quoted = F.when(F.col("path").rlike('[",\r\n]|^[ \t]'), F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("path"))
+    """path,size,mtime (column line), quoted as RFC 4180 has it: where a path holds a quote, a comma or a line end, begins with white space, or is \\. alone."""
+    quoted = F.when(F.col("path").rlike(r'[",\r\n]|^\p{IsWhite_Space}|^\\\.$'), F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("path"))
     return files.select(F.concat_ws(",", quoted, "size", "mtime").alias("line"))
 
 

@@ -1,10 +1,18 @@
-"""Inventories derived from the documents table, as FIXTURES.md defines them."""
+"""Inventories derived from the documents table, as FIXTURES.md defines them, and real trees of their files."""
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import diff
+from ..storage import home, scoped
+
 DERIVED = """
 SELECT doc_id, coalesce(text, '') AS text, lang, source, doc_id % 10 AS k, 1700000000 + doc_id * 60 AS t,
   concat(source, '/', lang, '/doc_', doc_id, '.', CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE lang END) AS p
@@ -34,6 +42,14 @@ def destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Directories that the destination has beside those above its files, most of them empty there.
+EMPTY = "SELECT DISTINCT concat(source, '/', lang) AS path FROM {base} WHERE doc_id % 3 = 0 UNION SELECT concat('hollow/', lang) FROM {base}"
+
+
+def empty_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EMPTY.format(base="{base}"), base=_base(spark, sf_dir))
+
+
 #: Two archives: the second holds all that the first does, under names that come before, and as much again.
 ARCHIVED = """
 SELECT 0 AS archive_ord, concat('/archive/', lang, '/', {name}) AS path, t AS mtime, text FROM {base} WHERE k = 7 AND doc_id % 20 = 7
@@ -43,3 +59,38 @@ UNION ALL SELECT 1, concat('/also/', lang, '/', {name}), t, text FROM {base} WHE
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(ARCHIVED.format(name="substring_index(p, '/', -1)", base="{base}"), base=_base(spark, sf_dir))
     return rows.select("archive_ord", "path", F.length(F.col("text").cast("binary")).cast("long").alias("size"), F.col("mtime").cast("long").alias("mtime"), F.col("text").cast("binary").alias("content"))
+
+
+def tree(files: DataFrame, name: str) -> str:
+    """Writes files (path, mtime, content) below a new folder in the shared one, by tasks, and gives its path.
+
+    Directories get the latest mtime below them, as ``diff.directories`` says. Beside every seventh file by size is a link
+    to it, which scans leave out. The shared folder must be one that tasks see as files.
+    """
+    spark = files.sparkSession
+    root = home(spark).removeprefix("file:")
+    if "://" in root.lstrip("/"):
+        raise ValueError(f"{root} isn't a folder of files")
+    root = scoped(spark, f"{root}/{name}-{uuid.uuid4().hex}")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, mtime, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                if len(content) % 7 == 0 and not os.path.lexists(f"{full}.link"):
+                    os.symlink(full, f"{full}.link")
+                with open(full, "wb") as f:
+                    f.write(content)
+                os.utime(full, (mtime, mtime))
+            yield batch.select([0])
+
+    def date(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, mtime in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                os.utime(os.path.join(root, path), (mtime, mtime))
+            yield batch.select([0])
+
+    files.select("path", "mtime", "content").mapInArrow(put, "path string").count()
+    diff.directories(files).select("path", "mtime").mapInArrow(date, "path string").count()
+    return root

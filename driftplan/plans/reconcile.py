@@ -66,7 +66,7 @@ def redirected(rows: DataFrame) -> DataFrame:
     return held.withColumn("from_path", F.coalesce("moved_to", "from_path")).drop("moved", "moved_to", "moved_at")
 
 
-def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None = None, mode: str = match.LOCAL, copy_duplicates: bool = False, archives: DataFrame | None = None, directory_times: tuple[DataFrame, DataFrame] | None = None, digest=None, resolve_touches: bool = False) -> Plan:
+def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None = None, mode: str = match.LOCAL, copy_duplicates: bool = False, archives: DataFrame | None = None, directory_times: tuple[DataFrame, DataFrame] | None = None, digest=None, resolve_touches: bool = False, directories: DataFrame | None = None) -> Plan:
     """Plans touches, directories, moves and copies.
 
     ``source``, ``destination``: path, size, mtime, and what ``hashes`` (a column over ``content``, say) or ``digest`` (a
@@ -74,6 +74,7 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
     before the digest. ``archives`` (archive_ord, path, size, content) are further sources of copies and imply
     ``copy_duplicates``. ``directory_times``: directories of both sides with mtimes. An orphan that only
     needs a touch of its own path counts as unmatched, so archives may copy over it, unless ``resolve_touches``.
+    ``directories``: paths of the destination's directories, empty ones too; without them only those above files are known.
     """
     copy_duplicates = copy_duplicates or archives is not None
     digest = digest or (lambda files, side: match.digested(files, hashes))
@@ -84,7 +85,7 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
     picked = cut(match.pick_best(lost, known, source.select("path", "size", "mtime")), "picked")
     moved, touched = match.moves(picked), match.touches(picked, mode)
     copied = match.copies(picked, mode) if copy_duplicates else picked.limit(0)
-    existing = diff.directories(destination) if mode == match.LOCAL else None
+    existing = _existing(destination, directories) if mode == match.LOCAL else None
     wanted = (moved if mode == match.LOCAL else picked.where(~F.col("in_src"))).select("orphan").unionByName(copied.select("orphan"))
     made = match.new_directories(wanted, existing)
     rows = [
@@ -111,6 +112,11 @@ def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None =
     return Plan(lost, known, picked, unmatched, actions, mode)
 
 
+def _existing(destination: DataFrame, directories: DataFrame | None) -> DataFrame:
+    above = diff.directories(destination).select("path")
+    return above if directories is None else above.unionByName(directories.select("path"))
+
+
 def _rows(of: DataFrame, phase: str, kind: str, from_path: Column, to_path: Column, mtime: Column | None = None, saved: Column | None = None) -> DataFrame:
     none = F.lit(None)
     return of.select(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), "orphan", from_path.cast("string").alias("from_path"), to_path.alias("to_path"), (none if mtime is None else mtime).cast("long").alias("mtime"), (F.lit(0) if saved is None else saved).cast("long").alias("bytes_saved"))

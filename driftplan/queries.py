@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digest, paths, text
-from .operators import apply, diff, match
+from .operators import agent, apply, diff, files, match
 from .plans import fixtures, reconcile
 from .sources import tables, wire
-from .storage import numbered
+from .sources.filetree import FileTree
+from .storage import cut, home, numbered, scoped
 
 SRC, DST = "/src", "/dst"
 QUERIES: dict = {}
@@ -47,10 +50,11 @@ def parent(column: str) -> str:
     return f"CASE WHEN {column} LIKE '%/%' THEN regexp_replace({column}, '/[^/]*$', '') ELSE '.' END"
 
 
-def plan_sql(mode: str, copy: bool, archive: bool = False, dirs: bool = False) -> str:
+def plan_sql(mode: str, copy: bool, archive: bool = False, dirs: bool = False, existing: str = "") -> str:
     local, copy = mode == match.LOCAL, copy or archive
     usable = "(in_src OR rn > 1)" if local else "in_src"
     ranks = {k: v for k, v in reconcile.PHASES[mode].items()}
+    known = f"(SELECT path FROM dirs UNION {existing})" if existing else "(SELECT path FROM dirs)"
     return f"""{MATCH},
 moved AS (SELECT * FROM picked WHERE NOT in_src AND rn = 1),
 copied AS (SELECT * FROM picked WHERE candidate <> orphan AND {usable} AND {str(copy).lower()}),
@@ -60,7 +64,7 @@ touched AS (
 wanted AS (SELECT orphan FROM {"moved" if local else "picked WHERE NOT in_src"} UNION ALL SELECT orphan FROM copied),
 made AS (
   SELECT {parent("orphan")} AS path, min(orphan) AS orphan FROM wanted GROUP BY 1
-  {"HAVING path <> '.' AND path NOT IN (SELECT path FROM dirs)" if local else ""}),
+  {f"HAVING path <> '.' AND path NOT IN {known}" if local else ""}),
 unmatched AS (SELECT * FROM ho WHERE path NOT IN (SELECT orphan FROM moved UNION ALL SELECT orphan FROM copied)),
 ha AS (SELECT archive_ord, path, size, ext, {SAMPLED} AS hash FROM arc),
 hit AS (
@@ -305,32 +309,41 @@ def action_keys(spark, sf_dir):
 
 @query(f"{COPY} SELECT count(*) AS actions, count(*) AS successes, sum(bytes_saved)::BIGINT AS bytes_saved FROM actions")
 def dry_run_summary(spark, sf_dir):
-    plan = _plan(spark, sf_dir, copy_duplicates=True)
-    told = apply.dry_results(plan).join(plan.executed().select("exec_seq", "bytes_saved"), "exec_seq")
+    rows = cut(_plan(spark, sf_dir, copy_duplicates=True).executed(), "executed")
+    told = apply.performed(rows, apply.dry_results(rows))
     return told.agg(F.count("*").alias("actions"), F.sum(F.col("success").cast("long")).alias("successes"), F.sum("bytes_saved").alias("bytes_saved"))
 
 
-#: The agent's plan as its requests, written from the message definitions: fields that are empty are left out.
-AGENT = plan_sql(match.AGENT, True)
+#: The agent's plan as its requests, written from the message definitions: fields that are empty are left out. Some paths
+#: read like values that are left out, or need escapes, and some times are zero.
+SENT = """SELECT emit_seq, kind, CASE emit_seq % 13 WHEN 0 THEN '0' WHEN 1 THEN 'false' WHEN 2 THEN concat('a"b/', from_path) ELSE from_path END AS from_path,
+  CASE emit_seq % 13 WHEN 0 THEN 'new/0' WHEN 3 THEN '0' WHEN 4 THEN 'false' WHEN 5 THEN concat(to_path, '"') ELSE to_path END AS to_path, CASE emit_seq % 13 WHEN 6 THEN 0 ELSE mtime END AS mtime FROM {ordered}"""
+AGENT = f"{plan_sql(match.AGENT, True)}, sent AS ({SENT.format(ordered='ordered')})"
+QUOTED = {c: f"""replace({c}, '"', '\\"')""" for c in ("from_path", "to_path")}
+STAMP = "CASE mtime WHEN 0 THEN '' ELSE ',\"mod_timestamp\":' || mtime END"
 SPEC = f"""CASE kind
-  WHEN 'move' THEN '{{"type":"move","base_path":"{DST}","from_rel_path":"' || from_path || '","to_rel_path":"' || to_path || '"}}'
-  WHEN 'touch' THEN '{{"type":"timestamp","dest_base_path":"{DST}","dest_rel_path":"' || to_path || '","mod_timestamp":' || mtime || '}}'
-  WHEN 'mkdir' THEN '{{"type":"mkdir","dir_path":"{DST}' || CASE to_path WHEN '.' THEN '' ELSE '/' || to_path END || '"}}'
-  ELSE '{{"type":"copy","mod_timestamp":' || mtime || ',"from_abs_path":"{DST}/' || from_path || '","to_abs_path":"{DST}/' || to_path || '"}}' END"""
+  WHEN 'move' THEN '{{"type":"move","base_path":"{DST}","from_rel_path":"' || {QUOTED["from_path"]} || '","to_rel_path":"' || {QUOTED["to_path"]} || '"}}'
+  WHEN 'touch' THEN '{{"type":"timestamp","dest_base_path":"{DST}","dest_rel_path":"' || {QUOTED["to_path"]} || '"' || {STAMP} || '}}'
+  WHEN 'mkdir' THEN '{{"type":"mkdir","dir_path":"{DST}' || CASE to_path WHEN '.' THEN '' ELSE '/' || {QUOTED["to_path"]} END || '"}}'
+  ELSE '{{"type":"copy"' || {STAMP} || ',"from_abs_path":"{DST}/' || {QUOTED["from_path"]} || '","to_abs_path":"{DST}/' || {QUOTED["to_path"]} || '"}}' END"""
 
 
 def _agent(spark, sf_dir) -> reconcile.Plan:
     return _plan(spark, sf_dir, mode=match.AGENT, copy_duplicates=True)
 
 
-@query(f"{AGENT} SELECT emit_seq, {SPEC} AS spec FROM ordered")
+def _sent(spark, sf_dir) -> DataFrame:
+    return spark.sql(SENT, ordered=_agent(spark, sf_dir).ordered())
+
+
+@query(f"{AGENT} SELECT emit_seq, {SPEC} AS spec FROM sent")
 def action_specs(spark, sf_dir):
-    return wire.action_specs(_agent(spark, sf_dir).ordered(), DST).select("emit_seq", "spec")
+    return wire.action_specs(_sent(spark, sf_dir), DST).select("emit_seq", "spec")
 
 
-@query(f"""{AGENT} SELECT (emit_seq - 1) // 100 AS part, '{{"actions":[' || string_agg({SPEC}, ',' ORDER BY emit_seq) || '],"dry_run":true}}' AS payload FROM ordered GROUP BY 1""")
+@query(f"""{AGENT} SELECT (emit_seq - 1) // 100 AS part, '{{"actions":[' || string_agg({SPEC}, ',' ORDER BY emit_seq) || '],"dry_run":true}}' AS payload FROM sent GROUP BY 1""")
 def perform_request(spark, sf_dir):
-    sent = wire.perform_requests(wire.action_specs(_agent(spark, sf_dir).ordered(), DST), True, 100)
+    sent = wire.perform_requests(wire.action_specs(_sent(spark, sf_dir), DST), True, 100)
     return sent.select("part", F.unbase64(F.get_json_object("value", "$.payload")).cast("string").alias("payload"))
 
 
@@ -364,7 +377,7 @@ def agent_walk_decode(spark, sf_dir):
 
 @query(f"{FULL} SELECT (SELECT count(*) FROM src)::BIGINT AS files, (SELECT count(*) FROM sdirs)::BIGINT AS dirs, (SELECT sum(size) FROM src)::BIGINT AS total_size")
 def agent_walk_encode(spark, sf_dir):
-    sent = wire._payload(wire.walk_lines(_inventory(spark, sf_dir), 100), "walk_response", wire.WALK, "value")
+    sent = wire.payloads(wire.walk_lines(_inventory(spark, sf_dir), 100), "walk_response", wire.WALK)
     return sent.agg(F.sum(F.size("files")).cast("long").alias("files"), F.sum(F.size("dirs")).cast("long").alias("dirs"), F.sum("total_size").alias("total_size"))
 
 
@@ -525,7 +538,105 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 @query("SELECT path, false AS is_dir FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(path)")
 def scan_inventory(spark, sf_dir):
     """The tables' own folder as a file tree; sizes and mtimes depend on the machine."""
-    from .sources.filetree import FileTree
-
     spark.dataSource.register(FileTree)
     return spark.read.format("filetree").option("root", sf_dir).load().select("path", "is_dir")
+
+
+def _scan(spark, root: str) -> DataFrame:
+    spark.dataSource.register(FileTree)
+    return spark.read.format("filetree").option("root", root).load()
+
+
+@query(f"{FULL} SELECT path, size, mtime, false AS is_dir FROM src UNION ALL SELECT path, 0, mtime, true FROM sdirs")
+def scan_tree(spark, sf_dir):
+    """The source inventory written as files, with links among them, and scanned."""
+    return _scan(spark, fixtures.tree(_src(spark, sf_dir), "source-tree"))
+
+
+def _trees(spark, sf_dir) -> tuple[dict[str, str], reconcile.Plan]:
+    """Both inventories as files, and the plan of what scans and reads of these files find."""
+    roots = {"source": fixtures.tree(_src(spark, sf_dir), "source-tree"), "destination": fixtures.tree(_dst(spark, sf_dir), "destination-tree")}
+    found = {side: cut(_scan(spark, root), f"{side}-scan") for side, root in roots.items()}
+
+    def hashed(rows: DataFrame, side: str) -> DataFrame:
+        said = digest.tolerated(cut(digest.digest_files(rows, roots[side]), f"{side}-digests"))
+        return rows.join(said.select("path", F.col("fuzzy_hash").alias("hash")), "path").withColumn("ext", paths.extension(F.col("path")))
+
+    plan = reconcile.reconcile(*(found[side].where("NOT is_dir").drop("is_dir") for side in roots), digest=hashed, copy_duplicates=True, directories=found["destination"].where("is_dir").select("path"))
+    return roots, plan
+
+
+PERFORMED = f"{COPY} SELECT kind, count(*) AS actions, count(*) AS successes, sum(bytes_saved)::BIGINT AS bytes_saved FROM actions GROUP BY kind"
+
+
+def _performed(spark, sf_dir, through_agent: bool) -> DataFrame:
+    roots, plan = _trees(spark, sf_dir)
+    plan.actions = cut(plan.actions, "actions")  # the trees change while the plan is carried out
+    there = files.AgentFiles(agent.serve) if through_agent else files.LocalFiles()
+    return apply.savings(apply.performed(plan.executed(), apply.results(plan, roots["destination"], files=there)))
+
+
+@query(PERFORMED)
+def performed_savings(spark, sf_dir):
+    """What a plan saves by actions that were performed on files."""
+    return _performed(spark, sf_dir, False)
+
+
+@query(PERFORMED)
+def performed_by_agent(spark, sf_dir):
+    return _performed(spark, sf_dir, True)
+
+
+@query(f"{COPY} SELECT path, size, mtime FROM orph WHERE path NOT IN (SELECT to_path FROM actions)")
+def left_after_performing(spark, sf_dir):
+    """Orphans that another scan finds after a plan was carried out: those that no action was for."""
+    roots, plan = _trees(spark, sf_dir)
+    plan.actions = cut(plan.actions, "actions")
+    for _ in apply.apply(plan, roots["destination"], dry_run=False):
+        pass
+    source, destination = (_scan(spark, root).where("NOT is_dir").drop("is_dir") for root in roots.values())
+    return diff.orphans(source, destination)
+
+
+@query(f"{plan_sql(match.LOCAL, True, existing=fixtures.EMPTY.format(base='base'))} SELECT to_path AS path FROM actions WHERE kind = 'mkdir'")
+def mkdir_beside_existing(spark, sf_dir):
+    """Directories to make where the destination has more than those above its files."""
+    return _plan(spark, sf_dir, copy_duplicates=True, directories=fixtures.empty_directories(spark, sf_dir)).actions.where("kind = 'mkdir'").select(F.col("to_path").alias("path"))
+
+
+@query(f"{BASE}, asked AS (SELECT count(*) AS n FROM orph) SELECT 20 AS missing, n AS digested, false AS refused FROM asked UNION ALL SELECT 21, NULL, true FROM asked")
+def digest_tolerance(spark, sf_dir):
+    """Digests of the orphans' files with 20 and with 21 files that can't be read: what is tolerated, and what isn't."""
+    source, root = _src(spark, sf_dir), fixtures.tree(_src(spark, sf_dir), "source-tree")
+    lost, rows = diff.orphans(source, _dst(spark, sf_dir).drop("content")).select("path"), []
+    for missing in (digest.TOLERATED, digest.TOLERATED + 1):
+        gone = spark.range(missing).select(F.concat(F.lit("gone/"), F.col("id").cast("string")).alias("path"))
+        try:
+            n = digest.tolerated(cut(digest.digest_files(lost.unionByName(gone), root), "digests")).where("error IS NULL").count()
+        except OSError:
+            n = None
+        rows.append((missing, n, n is None))
+    return spark.createDataFrame(rows, "missing int, digested long, refused boolean")
+
+
+@query(f"{BASE} SELECT path, size, mtime FROM orph")
+def orphan_stream(spark, sf_dir):
+    """The orphans kept by a stream of changes, in which every file first had another time, and some were deleted and came back."""
+    from .streaming import changes
+
+    sides = [rows.select(F.lit(side).alias("side"), "path", "size", "mtime") for side, rows in (("source", _src(spark, sf_dir)), ("destination", _dst(spark, sf_dir)))]
+    last = sides[0].unionByName(sides[1])
+    first = last.select(F.lit(1).cast("long").alias("seq"), "side", "path", "size", (F.col("mtime") - 7).alias("mtime"), F.lit(False).alias("deleted"))
+    gone = last.where("size % 3 = 0").select(F.lit(2).cast("long").alias("seq"), "side", "path", "size", "mtime", F.lit(True).alias("deleted"))
+    again = last.select(F.lit(3).cast("long").alias("seq"), "side", "path", "size", "mtime", F.lit(False).alias("deleted"))
+    log, out, state = (scoped(spark, f"{home(spark)}/{name}-{uuid.uuid4().hex}") for name in ("changes", "orphan-changes", "orphan-state"))
+    for some in (first, gone, again):
+        some.coalesce(1).write.mode("append").parquet(log)
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(log)
+    query = changes.orphan_changes(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return changes.current(spark.read.parquet(out))

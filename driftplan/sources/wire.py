@@ -16,21 +16,22 @@ def envelope(kind: str, payload: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), F.base64(payload.cast("binary")).alias("payload")))
 
 
-def _payload(lines: DataFrame, kind: str, schema: str, column: str) -> DataFrame:
+def payloads(lines: DataFrame, kind: str, schema: str, column: str = "value") -> DataFrame:
+    """The payloads of one type of message, read by ``schema``, a column per field."""
     message = F.from_json(F.col(column), "type string, payload string")
     return lines.select(message.alias("m")).where(F.col("m.type") == kind).select(F.from_json(F.unbase64("m.payload").cast("string"), schema).alias("p")).select("p.*")
 
 
 def walk_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """(path, size, mtime, is_dir) from walk responses."""
-    walk = _payload(lines, "walk_response", WALK, column)
+    walk = payloads(lines, "walk_response", WALK, column)
     files = walk.select(F.explode("files").alias("path", "f")).select("path", F.col("f.size").alias("size"), F.col("f.modified_timestamp").alias("mtime"), F.lit(False).alias("is_dir"))
     return files.unionByName(walk.select(F.explode("dirs").alias("path", "mtime")).select("path", F.lit(0).cast("long").alias("size"), "mtime", F.lit(True).alias("is_dir")))
 
 
 def digest_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """(path, ext, size, fuzzy_hash) from digest responses."""
-    rows = _payload(lines, "digest_response", DIGESTS, column).select(F.explode("digests").alias("path", "d"))
+    rows = payloads(lines, "digest_response", DIGESTS, column).select(F.explode("digests").alias("path", "d"))
     return rows.select("path", F.col("d.file_extension").alias("ext"), F.col("d.file_size").alias("size"), F.col("d.file_fuzzy_hash").alias("fuzzy_hash"))
 
 
@@ -46,23 +47,27 @@ def walk_lines(inventory: DataFrame, per_message: int = 10_000) -> DataFrame:
 
 def perform_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """(index, success, error) from perform responses; an error that was left out is null."""
-    rows = _payload(lines, "perform_response", RESULTS, column).select(F.explode("results").alias("r"))
+    rows = payloads(lines, "perform_response", RESULTS, column).select(F.explode("results").alias("r"))
     return rows.select("r.index", "r.success", "r.error")
 
 
 def progress_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """(kind, done, total) from the progress messages of scans and digests; a scan has no total."""
-    walks = _payload(lines, "walk_progress", "files_found bigint", column).select(F.lit("walk").alias("kind"), F.col("files_found").alias("done"), F.lit(None).cast("long").alias("total"))
-    return walks.unionByName(_payload(lines, "digest_progress", "files_hashed bigint, total bigint", column).select(F.lit("digest").alias("kind"), F.col("files_hashed").alias("done"), "total"))
+    walks = payloads(lines, "walk_progress", "files_found bigint", column).select(F.lit("walk").alias("kind"), F.col("files_found").alias("done"), F.lit(None).cast("long").alias("total"))
+    return walks.unionByName(payloads(lines, "digest_progress", "files_hashed bigint, total bigint", column).select(F.lit("digest").alias("kind"), F.col("files_hashed").alias("done"), "total"))
 
 
 def error_rows(lines: DataFrame, column: str = "value") -> DataFrame:
-    return _payload(lines, "error", "message string", column)
+    return payloads(lines, "error", "message string", column)
 
 
-def _given(value: Column) -> Column:
-    """Null for what messages leave out: empty strings, zeros, false."""
-    return F.when(~value.cast("string").isin("", "0", "false"), value)
+#: What messages leave out, by a field's type.
+EMPTY = {"string": "", "bigint": 0, "boolean": False}
+
+
+def _given(value: Column, kind: str) -> Column:
+    """Null for what messages leave out. A text that reads like a zero or like false is a text."""
+    return F.when(value != F.lit(EMPTY[kind]).cast(kind), value)
 
 
 def action_specs(actions: DataFrame, root: str, reflink: bool = False) -> DataFrame:
@@ -84,7 +89,8 @@ def action_specs(actions: DataFrame, root: str, reflink: bool = False) -> DataFr
         "to_abs_path": is_("copy", at(new)),
         "use_reflink": is_("copy", F.lit(reflink)),
     }
-    return actions.withColumn("spec", F.to_json(F.struct(*[_given(v).alias(k) for k, v in fields.items()])))
+    kinds = {"mod_timestamp": "bigint", "use_reflink": "boolean"}
+    return actions.withColumn("spec", F.to_json(F.struct(*[_given(v, kinds.get(k, "string")).alias(k) for k, v in fields.items()])))
 
 
 def perform_requests(specs: DataFrame, dry_run: bool, per_message: int = 10_000) -> DataFrame:
@@ -101,7 +107,7 @@ def request(kind: str, payload: Column | None = None) -> Column:
 
 
 def walk_request(root: Column, excluded: Column, one_file_system: bool = False, progress_ms: int = 0) -> Column:
-    return request("walk_request", F.to_json(F.struct(root.alias("dir_path"), excluded.alias("excluded_names"), _given(F.lit(progress_ms)).alias("progress_interval_ms"), _given(F.lit(one_file_system)).alias("one_file_system"))))
+    return request("walk_request", F.to_json(F.struct(root.alias("dir_path"), excluded.alias("excluded_names"), _given(F.lit(progress_ms).cast("bigint"), "bigint").alias("progress_interval_ms"), _given(F.lit(one_file_system), "boolean").alias("one_file_system"))))
 
 
 def digest_request(root: Column, files: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import diff
 
@@ -16,6 +17,65 @@ def latest(changes: DataFrame) -> DataFrame:
     return _last(changes).where("NOT deleted").drop("deleted", "seq")
 
 
+#: State is kept per key where Spark keeps it for such operators.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "seq long, size long, mtime long, deleted boolean"
+
+
+class _Sides(StatefulProcessor):
+    """What either side last said of a path."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sides = {side: handle.getValueState(side, STATE) for side in ("source", "destination")}
+
+    def _held(self) -> dict[str, tuple | None]:
+        return {side: tuple(state.get()) if state.exists() else None for side, state in self.sides.items()}
+
+    @staticmethod
+    def _orphan(held: dict[str, tuple | None]) -> tuple | None:
+        """Size and mtime of the source's file where the destination has none like it."""
+        own, other = (s[1:3] if s is not None and not s[3] else None for s in (held["source"], held["destination"]))
+        return None if own is None or own == other else own
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        before = self._orphan(held)
+        for some in rows:
+            for side, own in some.groupby("side"):
+                last = own.loc[own["seq"].idxmax()]
+                if side in held and (held[side] is None or held[side][0] < last["seq"]):
+                    numbers = (None if pd.isna(last[c]) else int(last[c]) for c in ("size", "mtime"))
+                    held[side] = (int(last["seq"]), *numbers, bool(last["deleted"]))
+        for side, state in self.sides.items():
+            if held[side] is not None:
+                state.update(held[side])
+        after = self._orphan(held)
+        if after != before:
+            size, mtime = after or before
+            yield pd.DataFrame({"path": [key[0]], "size": [size], "mtime": [mtime], "orphan": [after is not None]})
+
+    def close(self) -> None:
+        pass
+
+
+def orphan_changes(changes: DataFrame) -> DataFrame:
+    """A stream of (path, size, mtime, orphan) from a stream of changes: what has become an orphan, or changed as one, and what is one no longer.
+
+    A path's last states are kept under the path. So an epoch reads and writes the state of the paths that changed, however
+    large the inventories are; deleted entries keep a number, by which late changes are told. Several changes of a path
+    within an epoch count as the last of them.
+    """
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    used = changes.select("path", "side", "seq", "size", "mtime", "deleted")
+    return used.groupBy("path").transformWithStateInPandas(_Sides(), "path string, size long, mtime long, orphan boolean", "Update", "None")
+
+
+def current(changed: DataFrame) -> DataFrame:
+    """The orphans (path, size, mtime) after all of ``orphan_changes``' rows, each with the number of its epoch."""
+    last = changed.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "orphan"), "epoch").alias("last"))
+    return last.where("last.orphan").select("path", "last.size", "last.mtime")
+
+
 #: Epochs after which the changes since are folded into one inventory again.
 COMPACT = 20
 
@@ -24,8 +84,9 @@ def watch(changes: DataFrame, on_orphans: Callable[[DataFrame, int], None], chec
     """Folds each micro-batch of ``changes`` into the inventories and hands over the orphans as they then are.
 
     The inventories are beside the stream's own checkpoint, a folder per epoch: an epoch adds its last changes alone, and
-    every twentieth holds the whole state. A stream that starts again reads what the epochs before its own have left; an
+    every twentieth holds the whole state, and what is older than the last but one of these is deleted. A stream that starts again reads what the epochs before its own have left; an
     epoch that is done again writes the same folder. So ``on_orphans`` may see an epoch twice, but never a wrong state.
+    All orphans are worked out in each epoch; ``orphan_changes`` gives what changed instead, at the cost of the changes.
     """
 
     def fold(batch: DataFrame, epoch: int) -> None:
@@ -40,6 +101,9 @@ def watch(changes: DataFrame, on_orphans: Callable[[DataFrame, int], None], chec
                 state = state.unionByName(spark.read.schema(rows.schema).parquet(f"{home}/{_folder(n, kind)}"))
         (_last(state) if whole else rows).write.mode("overwrite").parquet(f"{home}/{_folder(epoch, whole)}")
         now = _last(state).where("NOT deleted")
+        for n, kind in done:
+            if n < since:  # an epoch that is done again is this one or a later one
+                _remove(spark, f"{home}/{_folder(n, kind)}")
         on_orphans(diff.orphans(now.where("side = 'source'"), now.where("side = 'destination'")), epoch)
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).start()
@@ -56,6 +120,11 @@ def _folder(epoch: int, whole: bool) -> str:
     return f"{'state' if whole else 'changes'}-{epoch:012d}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _epochs(spark: SparkSession, home: str) -> list[tuple[int, bool]]:
     """(epoch, whether it holds the whole state) of the folders that are complete."""
     path = spark._jvm.org.apache.hadoop.fs.Path(home)

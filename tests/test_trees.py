@@ -254,6 +254,6 @@ def test_sweep(spark, tmp_path):
     from driftplan import storage
 
     rows = storage.cut(spark.range(3))
-    assert rows.count() == 3 and os.path.isdir(storage._home(spark).removeprefix("file:"))
+    assert rows.count() == 3 and os.path.isdir(storage.home(spark).removeprefix("file:"))
     storage.sweep(spark)
-    assert not os.path.exists(storage._home(spark).removeprefix("file:"))
+    assert not os.path.exists(storage.home(spark).removeprefix("file:"))
