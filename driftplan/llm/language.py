@@ -18,6 +18,8 @@ DICTIONARY_BYTES, SAMPLE_CHARS, PIECES = 112_640, 2_000, 4
 PIECE_BYTES = 4_096
 ZSTD_LEVEL = 5
 UNKNOWN = "und"
+#: Letters, and numbers that aren't digits.
+ALPHANUMERIC = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters count as blanks.
 BLANKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -27,6 +29,11 @@ def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(BLANKED)
 
 
+def lettered(text: str) -> bool:
+    """Whether a text holds a letter: a character of category L. Numbers such as fractions and Roman ones are none."""
+    return any(c.group().isalpha() for c in ALPHANUMERIC.finditer(text))
+
+
 def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: str = "doc_id", size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """One raw-content dictionary per value of ``lang_col``: text of a bounded sample, at most ``size`` bytes each.
 
@@ -70,9 +77,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
         names = list(dictionaries)
         packers = [zstandard.ZstdCompressor(level=ZSTD_LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k in names]
-        letter = re.compile(r"[^\W\d_]")
         for batch in batches:
-            found = [_best(t, names, packers, letter, min_margin) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            found = [_best(t, names, packers, min_margin) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields[:-4]]
             cols = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*kept, *cols], names=schema.fieldNames())
@@ -80,8 +86,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     return used.mapInArrow(run, schema)
 
 
-def _best(text, names, packers, letter, min_margin) -> tuple[str, float, float, bool]:
-    if not text or not names or not letter.search(text):
+def _best(text, names, packers, min_margin) -> tuple[str, float, float, bool]:
+    if not text or not names or not lettered(text):
         return UNKNOWN, 0.0, 0.0, True
     data = folded(text)
     sizes = sorted((sum(len(p.compress(data[at : at + PIECE_BYTES])) for at in range(0, len(data), PIECE_BYTES)), i, k) for i, (k, p) in enumerate(zip(names, packers, strict=True)))
