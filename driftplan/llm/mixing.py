@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running
@@ -70,12 +70,19 @@ def _targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int, shar
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     n, total = sources.agg(F.count("*"), F.sum("source_size")).first()
     parts = max(1, -(-n // SOURCES))
-    turn = running(sources, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}, parts=parts)
+
+    def summed(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+        if parts > 1:
+            return running(rows, order, sums, parts=parts)
+        upto = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per source, at most SOURCES
+        return rows.select("*", *[F.sum(v).over(upto).alias(k) for k, v in sums.items()])
+
+    turn = summed(sources, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)})
     table = F.array(*[F.lit(float(w)) for w in weights])
     ranked = turn.withColumn("place", F.col("turn") - 1).withColumn("weight", F.get(table, F.col("place") % len(weights))).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
     # sources that reach their caps first, in order of cap per weight: what is left for the others is shared by weight
     full = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
-    upto = running(full, [F.col("ratio"), F.col("place")], {"caps": F.col("cap"), "weighed": F.col("weight")}, parts=parts)
+    upto = summed(full, [F.col("ratio"), F.col("place")], {"caps": F.col("cap"), "weighed": F.col("weight")})
     every = upto.agg(F.sum("weight")).first()[0]
     left = F.lit(share * float(total or 0)) - (F.col("caps") - F.col("cap"))
     others = F.lit(float(every or 0)) - (F.col("weighed") - F.col("weight"))
