@@ -18,8 +18,11 @@ SAMPLE, QUERIES, MADE = 20_000, 1_000, 4
 PER_CELL, SIDE = 24, 4_096
 TARGET_RECALL = 0.9995
 TINY = 1e-12
-#: Vectors of one length up to which they are one cell, without a model.
-PLAIN = 2_000
+#: Vectors of a label and length up to which they are one cell, without a model; centres of a codebook, at most: beyond
+#: about PER_CELL * CENTRES ** 2, a hundred million vectors of one label, cells grow in proportion to the label.
+PLAIN, CENTRES = 512, 2_048
+#: Parts that a label is counted in, and entries of a matrix of rows and centres at a time.
+SALTS, MATRIX = 64, 2_000_000
 #: Rows, entries of a grid and postings that are in memory at once.
 BLOCK, GRID, POSTS = 250, 4_000_000, 20_000
 #: Members whose cosines with a chunk are in memory at once, and pairs that are verified at once.
@@ -48,12 +51,24 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+_apart: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def apart(centres: np.ndarray) -> np.ndarray:
+    """Twice the distances between centres, remembered for those in use."""
+    held = _apart.get(id(centres))
+    if held is None or held[0] is not centres:
+        if len(_apart) >= 16:
+            _apart.clear()
+        held = _apart[id(centres)] = centres, 2 * np.sqrt(distances(centres, centres))
+    return held[1]
+
+
 def margins(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre, and the squared distance from the plane between it and each centre: 0 at the nearest one."""
     d = distances(x, centres)
     own = d.argmin(1)
-    apart = 2 * np.sqrt(distances(centres, centres))[own]
-    return own, (np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / np.maximum(apart, TINY)) ** 2
+    return own, (np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / np.maximum(apart(centres)[own], TINY)) ** 2
 
 
 def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +157,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     Independent codebooks on the halves of unit vectors, fitted on a bounded sample, form a product grid of cells. Every
     vector is in its home cell and visits the cells whose borders are near, as far as the target recall takes; it meets
     those at home there. Each meeting is verified. A pair that meets in both homes counts in the lower one; who visits whose
-    home is worked out from the codebooks, so a visit carries no list.
+    home is worked out from the codebooks, so a visit carries no list. Labels of about the same size share codebooks, with
+    as many centres as their size takes; labels of up to ``PLAIN`` vectors are a cell.
 
     Equal vectors of a label are one class with a count from the start, known by 128 bits of hash beyond that step. Vectors
     travel as they are given and are normalised where they meet. Cells with many members are dealt as pairs of chunks, so
@@ -160,10 +176,10 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform("v", lambda c: c + F.lit(0.0).cast(kind))))
     rows = rows.select("id", "label", "v", *[F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v")).alias(h) for seed, h in ((1, "h1"), (2, "h2"))])
     grouped = rows.where("v is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
-    classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    stats = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).where(F.col("n") > PLAIN).orderBy(F.desc("n")).collect()
-    models = {s["dim"]: _model(classes, s, threshold) for s in stats}
-    posts = cut(classes.mapInArrow(_post(models), f"label string, dim int, cell long, home long, class long, node long, copies long, v array<{kind}>"), "posts")
+    classes = _tiered(cut(grouped.withColumn("class", F.monotonically_increasing_id()), "vector-classes"))
+    stats = classes.where("tier > 0").groupBy("dim", "tier").agg(F.count("*").alias("n"), F.sum("share").alias("labels")).orderBy("dim", "tier").collect()
+    models = {(s["dim"], s["tier"]): _model(classes, s, threshold) for s in stats}
+    posts = cut(classes.mapInArrow(_post(models), f"label string, dim int, tier int, cell long, home long, class long, node long, copies long, v array<{kind}>"), "posts")
     sizes = cut(posts.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where(F.col("n") > SIDE).select("label", "dim", "cell", F.ceil(F.col("n") / F.lit(SIDE)).cast("int").alias("chunks")), "large-cells")
     dealt = posts.join(sizes, ["label", "dim", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
@@ -185,36 +201,52 @@ def _unit(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
+def _tiered(classes: DataFrame) -> DataFrame:
+    """``classes`` with dim, and their label's tier: 0 for few vectors, else labels within a factor of four; share: a label's shares are 1 together.
+
+    A label is counted in parts, and told its tier in parts: no task has all rows of a hot one.
+    """
+    parts = classes.withColumn("dim", F.size("v")).withColumn("salt", F.pmod(F.col("class"), F.lit(SALTS)).cast("int"))
+    counted = cut(parts.groupBy("label", "dim", "salt").agg(F.count("*").alias("n")), "label-parts")
+    whole = counted.groupBy("label", "dim").agg(F.sum("n").alias("whole"))
+    tier = F.when(F.col("whole") > PLAIN, F.floor(F.log2("whole") / 2).cast("int")).otherwise(F.lit(0))
+    known = counted.select("label", "dim", "salt").join(whole, ["label", "dim"]).select("label", "dim", "salt", tier.alias("tier"), (1 / F.col("whole")).alias("share"))
+    return cut(parts.join(known, ["label", "dim", "salt"]).drop("salt"), "tiered-classes")
+
+
 def _model(classes: DataFrame, s, threshold: float):
+    """Codebooks and reach for the labels of a tier, as many centres as a label of their mean size takes."""
+    classes = classes.where((F.col("dim") == s["dim"]) & (F.col("tier") == s["tier"]))
     share = min(1.0, SAMPLE / s["n"])
-    drawn = classes.where((F.size("v") == s["dim"]) & (F.abs(F.xxhash64("node", F.lit("sample"))) < share * float(1 << 63))).select("label", "v", "node").orderBy("node", "label", "v").limit(2 * SAMPLE).toArrow()
+    drawn = classes.where((F.abs(F.xxhash64("node", F.lit("sample"))) < share * float(1 << 63))).select("label", "v", "node").orderBy("node", "label", "v").limit(2 * SAMPLE).toArrow()
     if not drawn.num_rows:
-        drawn = classes.where(F.size("v") == s["dim"]).orderBy("node", "label", "v").limit(1).select("label", "v", "node").toArrow()
+        drawn = classes.orderBy("node", "label", "v").limit(1).select("label", "v", "node").toArrow()
     x = _unit(drawn["v"].combine_chunks(), s["dim"])
-    k = int(np.clip(np.sqrt(s["n"] / s["labels"] / PER_CELL), 1, min(512, len(x))))
+    k = int(np.clip(np.sqrt(s["n"] / s["labels"] / PER_CELL), 1, min(CENTRES, len(x))))
     return fit(x, np.array(drawn["label"].to_pylist(), object), k, threshold)
 
 
-def _of(models, dim: int):
-    """The model for a length; few vectors are one cell with its centre at zero."""
-    return models.get(dim) or ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0)
+def _of(models, dim: int, tier: int):
+    """The model for a length and tier; few vectors are one cell with its centre at zero."""
+    return models.get((dim, tier)) or ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0)
 
 
 def _post(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "class", "node", "copies", "v"]
+        names = ["label", "class", "node", "copies", "v", "dim", "tier"]
         for batch in batches:
-            label, class_, node, copies, v = (batch.column(batch.schema.get_field_index(n)) for n in names)
-            sizes = np.diff(np.asarray(v.offsets)) if batch.num_rows else np.zeros(0, int)
-            for dim in np.unique(sizes).tolist():
-                for at in np.array_split(np.flatnonzero(sizes == dim), -(-int((sizes == dim).sum()) // 2_000)):
-                    home, rows, cells = visits(_unit(v.take(pa.array(at)), dim), *_of(models, dim))
+            label, class_, node, copies, v, dims, tiers = (batch.column(batch.schema.get_field_index(n)) for n in names)
+            kinds = np.stack((dims.to_numpy(), tiers.to_numpy()), axis=1)
+            for dim, tier in np.unique(kinds, axis=0).tolist():
+                model, own = _of(models, dim, tier), np.flatnonzero((kinds == (dim, tier)).all(1))
+                for at in np.array_split(own, -(-len(own) // max(1, min(2_000, MATRIX // len(model[0][0]))))):
+                    home, rows, cells = visits(_unit(v.take(pa.array(at)), dim), *model)
                     for i in range(0, len(rows), POSTS):
                         of, cell = rows[i : i + POSTS], cells[i : i + POSTS]
-                        take = pa.array(at[of])
+                        take, same = pa.array(at[of]), np.ones(len(of), np.int32)
                         yield pa.RecordBatch.from_arrays(
-                            [label.take(take), pa.array(np.full(len(of), dim, np.int32)), pa.array(cell), pa.array(home[of]), class_.take(take), node.take(take), copies.take(take), v.take(take)],
-                            names=["label", "dim", "cell", "home", "class", "node", "copies", "v"],
+                            [label.take(take), pa.array(dim * same), pa.array(tier * same), pa.array(cell), pa.array(home[of]), class_.take(take), node.take(take), copies.take(take), v.take(take)],
+                            names=["label", "dim", "tier", "cell", "home", "class", "node", "copies", "v"],
                         )
 
     return run
@@ -234,10 +266,10 @@ def _visits(x: np.ndarray, rows: np.ndarray, cells: np.ndarray, books: tuple[np.
 def _meet(models, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        i, j, cell, dim = (table[c][0].as_py() for c in ("i", "j", "cell", "dim"))
+        i, j, cell, dim, tier = (table[c][0].as_py() for c in ("i", "j", "cell", "dim", "tier"))
         if table.num_rows < 2:
             return pa.table({c: pa.array([], pa.int64()) for c in ("class", "links", "node", "root")})
-        model = _of(models, dim)
+        model = _of(models, dim, tier)
         v = table["v"].combine_chunks()
         x = _unit(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, dim)
         class_, node, copies, home, own = (table[c].to_numpy() for c in ("class", "node", "copies", "home", "own"))
