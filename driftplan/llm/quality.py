@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import cut, pieces, spread
+from .common import cut, pieces, safe_parts
 
-#: Labelled rows that the model is fitted on, at most. Word vectors come from pieces of these, spread over the whole text,
-#: of so many characters together; the network sees whole texts.
-SAMPLE, SAMPLE_CHARS, PIECES = 6_000, 8_000, 8
+#: Labelled rows that the model is fitted on, at most, with their whole texts; tasks that sum up what stands beside words.
+SAMPLE, FIT_TASKS = 6_000, 8
 #: Words are told apart by hash up to WORDS; SHAPES are kinds of tokens, and TOTAL what has a vector.
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 15, 1 << 9, 32, 4, 2
 TOTAL = WORDS + SHAPES
@@ -63,22 +62,36 @@ def _upper() -> np.ndarray:
     return np.array([chr(c).isupper() for c in range(segment.TABLE)], np.int64)
 
 
-def word_vectors(texts: list[str], index: np.ndarray) -> np.ndarray:
-    """Each word's own index vector plus the direction of the sum of those that stand within REACH of it."""
-    total = np.zeros((TOTAL, DIM), np.float32)
-    at = 0
-    while at < len(texts):
-        part = texts[at : at + 200]
-        at += 200
-        words, shapes, bounds = tokens(part)
-        of = np.repeat(np.arange(len(part)), np.diff(bounds))
-        for ids in (words, shapes):
-            for step in range(1, REACH + 1):
-                near = of[step:] == of[:-step]
-                for a, b in ((ids[step:][near], words[:-step][near]), (ids[:-step][near], words[step:][near])):
-                    np.add.at(total, a, index[b])
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return index / np.sqrt(NONZERO) + total / np.maximum(norm, 1e-6)
+def beside(texts: list[str], index: np.ndarray) -> np.ndarray:
+    """For each word the sum of the index vectors of those that stand within REACH of it: whole numbers, so that sums agree in any order."""
+    total = np.zeros((TOTAL, DIM), np.int64)
+    index = index.astype(np.int64)
+    words, shapes, bounds = tokens(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    for ids in (words, shapes):
+        for step in range(1, REACH + 1):
+            near = of[step:] == of[:-step]
+            for a, b in ((ids[step:][near], words[:-step][near]), (ids[:-step][near], words[step:][near])):
+                for at in range(0, len(a), STEP):
+                    order = np.argsort(a[at : at + STEP], kind="stable")
+                    found, first = np.unique(a[at : at + STEP][order], return_index=True)
+                    total[found] += np.add.reduceat(index[b[at : at + STEP][order]], first)
+    return total
+
+
+def word_vectors(total: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Each word's own index vector plus the direction of what stands beside it."""
+    norm = np.linalg.norm(total.astype(np.float64), axis=1, keepdims=True)
+    return (index / np.sqrt(NONZERO) + total / np.maximum(norm, 1e-6)).astype(np.float32)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sums over a task's whole texts, a long one in parts."""
+    index, total = index_vectors(), np.zeros((TOTAL, DIM), np.int64)
+    for _, some in pieces(batches, "text", CHUNK_CHARS):
+        for part in [some] if len(some) > 1 else [[p] for p in safe_parts(some[0], CHUNK_CHARS)]:
+            total += beside(part, index)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
@@ -140,19 +153,21 @@ class Network:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE):
     """Word vectors and network from at most ``sample`` labelled rows, drawn evenly by a hash of the id. Without labels of both kinds: None.
 
-    Word vectors are sums over pieces of the drawn texts; then the tasks pool these texts whole, as ``score`` does, and the
-    network is fitted on what they found. So the driver holds a bounded number of rows and characters, however long texts
-    are. Null texts count as empty, rows without label don't count; ties in the order are broken by text and label.
+    Word vectors are sums over the drawn texts, whole, made by ``FIT_TASKS`` tasks; then tasks pool these texts, as ``score``
+    does, and the network is fitted on what they found. So the driver holds numbers alone, as many as there are words and
+    rows, however long texts are. Null texts count as empty, rows without label don't count; ties in the order are broken by text and label.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), F.col(label_col).cast("int").alias("label"))
     share = min(1.0, 1.1 * sample / max(rows.count(), 1))
     at = F.abs(F.xxhash64(F.col("id").cast("string"), F.lit("quality")))
-    drawn = cut(rows.withColumn("at", at).where(F.col("at") < share * float(1 << 63)).withColumn("mark", F.xxhash64("text")).orderBy("at", "mark", "label").limit(sample), "labelled")
-    texts = [r["piece"] for r in drawn.orderBy("at", "mark", "label").select(spread(F.col("text"), SAMPLE_CHARS, PIECES).alias("piece")).toLocalIterator()]
-    if not 0 < drawn.where("label = 1").count() < len(texts):
+    drawn = cut(rows.withColumn("at", at).where(F.col("at") < share * float(1 << 63)).withColumn("mark", F.xxhash64("text")).orderBy("at", "mark", "label").limit(sample).repartition(FIT_TASKS, "at"), "labelled")
+    if not 0 < drawn.where("label = 1").count() < drawn.count():
         return None
-    vectors = word_vectors(texts, index_vectors()).astype(np.float32)
+    total = np.zeros((TOTAL, DIM), np.int64)
+    for r in drawn.select("text").mapInArrow(_summed, "total binary").toLocalIterator():
+        total += np.frombuffer(r["total"], np.int64).reshape(TOTAL, DIM)
+    vectors = word_vectors(total, index_vectors())
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in pieces(batches, "text", CHUNK_CHARS):

@@ -460,7 +460,7 @@ def test_language_by_brute_force(spark, small):
 def test_quality_pools_by_brute_force():
     rng = random.Random(8)
     texts = ["", "one", "日本 語x", *(" ".join(rng.choice(["alpha", "beta", "GAMMA", "12", "!!", "é"]) for _ in range(rng.randint(1, 300))) for _ in range(20))]
-    vectors = quality.word_vectors(texts, quality.index_vectors())
+    vectors = quality.word_vectors(quality.beside(texts, quality.index_vectors()), quality.index_vectors())
     words, shapes, bounds = quality.tokens(texts)
     for step in (7, 100_000):
         quality.STEP, held = step, quality.STEP
