@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["cut", "no_surrogates", "partitions", "pieces", "running", "safe_parts", "shared_dir", "spread", "text_or_empty"]
+__all__ = ["cut", "no_surrogates", "partitions", "pieces", "running", "safe_parts", "shared_dir", "spread", "text_or_empty", "through_tree"]
+
+#: Blocks whose messages one task of a bucket takes, about; beyond, messages are combined in a tree.
+FAN = 1_000
+MESSAGE = "block long, bucket int, body binary"
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -75,3 +79,28 @@ def safe_parts(text: str, limit: int = 1_000_000) -> list[str]:
         out.append(text[at:i])
         at = i
     return [*out, text[at:]]
+
+
+def through_tree(messages: DataFrame, senders: int, answer: Callable, combine: Callable, deal: Callable) -> DataFrame:
+    """Answers to messages (block, bucket, body), as messages: ``answer`` takes a table with all that a bucket got.
+
+    With more than ``FAN`` senders, groups of about so many are combined first, bucket by bucket, and answered as one sender;
+    the groups then deal the answers out. So what every block asks for is one task's work nowhere. ``combine`` makes one body
+    of several, ``deal`` takes the same bodies and the answer to the combined one and gives an answer to each.
+    """
+    if senders <= FAN:
+        return messages.groupBy("bucket").applyInArrow(answer, MESSAGE)
+    groups = -(-senders // FAN)
+
+    def up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        return pa.table({"block": table["group"][:1], "bucket": table["bucket"][:1], "body": pa.array([combine(table["body"].to_pylist())], pa.binary())})
+
+    def down(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array(deal(table["body"].to_pylist(), answers["body"][0].as_py()), pa.binary())})
+
+    grouped = messages.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    combined = cut(grouped.groupBy("group", "bucket").applyInArrow(up, MESSAGE), "combined")
+    answers = through_tree(combined, groups, answer, combine, deal).toDF("to", "of", "body")
+    return grouped.groupBy("group", "bucket").cogroup(answers.groupBy("to", "of")).applyInArrow(down, MESSAGE)

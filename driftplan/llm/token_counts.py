@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import cut, partitions, pieces, safe_parts
+from .common import MESSAGE, cut, partitions, pieces, safe_parts, through_tree
 
 #: Characters of text in a block, and in one array while a block is built.
 BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 500_000
@@ -26,7 +26,6 @@ SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 BUCKET_CHARS = 32_000_000
 #: Pre-tokens whose pieces the library counts at a time.
 BATCH = 2_000
-TABLE = "block long, bucket int, body binary"
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -38,7 +37,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     frequency list crosses the network by word, so frequent words weigh no more than rare ones: one a block.
 
     There are as many buckets as the table's size takes for each to fit a worker. A block sends at most one message per
-    distinct pre-token, however many buckets there are. Hashes deal pre-tokens to buckets; what tells them apart is their
+    distinct pre-token, however many buckets there are; with thousands of blocks, groups of them are answered as one, in a
+    tree, so that a word of every block reaches its bucket once a group. Hashes deal pre-tokens to buckets; what tells them apart is their
     content. Null and empty texts have 0 tokens. Very long texts are taken whole, in parts that no pre-token spans. Repeated
     rows are counted each; a null id is carried. An empty table gives an empty result. Other columns of ``docs`` are
     ignored, whatever their names. Returns ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
@@ -59,15 +59,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield held.rows(block, buckets)
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [_unpack(b)[0].decode("utf-8").split("\n") for b in table["body"].to_pylist()]
-        places: dict[str, int] = {}
-        found = [np.array([places.setdefault(w, len(places)) for w in own], np.int64) for own in lists]
-        del lists
-        words, tokenizer, n = list(places), _library(tokenizer_path), np.zeros(len(places), np.uint32)
+        words, found = _places(table["body"].to_pylist())
+        tokenizer, n = _library(tokenizer_path), np.zeros(len(words), np.uint32)
         for i in range(0, len(words), BATCH):
             n[i : i + BATCH] = [len(e.ids) for e in tokenizer.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array([_pack(n[x].tobytes()) for x in found], pa.binary())})
 
+    def combine(bodies: list[bytes]) -> bytes:
+        return _pack("\n".join(_places(bodies)[0]).encode("utf-8"))
+
+    def deal(bodies: list[bytes], said: bytes) -> list[bytes]:
+        n = np.frombuffer(_unpack(said)[0], np.uint32)
+        return [_pack(n[x].tobytes()) for x in _places(bodies)[1]]
+
     result = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(table: pa.Table) -> pa.Table:
@@ -81,12 +85,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokens = base + np.bincount(doc, n[at].astype(np.float64) * often, len(per)).astype(np.int64) if len(at) else base
         return pa.table({id_col: pa.ipc.open_stream(own[0]).read_all().column(0), "n_bytes": sizes, "n_tokens": tokens})
 
-    blocks = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, TABLE), "token-blocks")
-    answers = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, TABLE)
+    blocks = cut(docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != id_col else F.col(text_col)).toDF("id", "text").mapInArrow(block_up, MESSAGE), "token-blocks")
+    answers = through_tree(blocks.where("bucket >= 0"), blocks.where("bucket < 0").count(), answer, combine, deal)
     counted = blocks.where("bucket < 0").unionByName(answers).groupBy("block").applyInArrow(total, result)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def _places(bodies: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of several messages, and where each message's words are among them."""
+    places: dict[str, int] = {}
+    found = [np.array([places.setdefault(w, len(places)) for w in _unpack(b)[0].decode("utf-8").split("\n")], np.int64) for b in bodies]
+    return list(places), found
+
+
 @lru_cache(1)
 def _library(path: str):
     """The tokenizer, once per worker and on the task's own thread: a pool of threads per worker would hold memory and CPUs that the task wasn't given."""
