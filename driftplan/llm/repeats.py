@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import segment
-from .common import cut, partitions
+from . import common, segment
+from .common import MESSAGE, cut, partitions, through_tree
 from .token_counts import _pack, _unpack
 
 #: Bytes of text for each bucket, at most about: more buckets than shuffle partitions where that takes more.
@@ -22,7 +22,8 @@ BUCKET_BYTES = 64_000_000
 GRAM, BLOCK_BYTES, CHUNK = 32, 8_000_000, 1_000_000
 #: Copies to leave out are broadcast up to so many rows (16 bytes and a hash each), joined by exchange beyond.
 FEW = 200_000
-TABLE = "block long, bucket int, body binary"
+#: Suffixes times lengths of left contexts whose windows are compared at a time.
+COMPARED = 700_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -38,11 +39,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Windows are equal if their bytes are: grams pick what is compared by hash, then contexts to the right and to the left
     are both sorted and get classes by their bytes. Of windows that a block holds twice it removes the later ones itself,
-    and suffixes all of whose windows are such don't travel: a passage in most documents is sent once a block.
+    and suffixes all of whose windows are such don't travel: a passage in most documents is sent once a block, and with
+    thousands of blocks goes on once a group of them, in a tree.
 
     A text that is a copy of one with a smaller id goes as a whole (if it has ``length`` bytes at all) and isn't sorted.
     Null texts count as empty. A null id comes before all others; rows that repeat an id are ordered by their place in
-    the table. Very long texts are blocks of their own. An empty table gives an empty result. Other columns of ``docs`` are
+    the table, and in no certain order where more than ``FEW`` rows are copies, as these are left out by an exchange. Very long texts are blocks of their own. An empty table gives an empty result. Other columns of ``docs`` are
     ignored, whatever their names. Returns one row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed
     runs), kept (remaining bytes), kept_sha256.
     """
@@ -53,11 +55,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     copies = cut(texts.join(firsts, "sha").where(order > F.col("first")).select("id", "sha", "n"), "copies")
     skip = copies.select("id", "sha").distinct()
     few = skip.count() <= FEW
-    blocks = cut(source.join(F.broadcast(skip) if few else skip, ["id", "sha"], "left_anti").select("id", "bytes").mapInArrow(_block_up, TABLE), "blocks")
-    buckets = max(partitions(docs.sparkSession), -(-blocks.count() * BLOCK_BYTES // BUCKET_BYTES))
-    answers = blocks.mapInArrow(_grams(length, buckets), TABLE).groupBy("bucket").applyInArrow(_repeated, TABLE)
-    runs = blocks.unionByName(answers).groupBy("block").applyInArrow(_runs(length, buckets), TABLE)
-    covers = runs.groupBy("bucket").applyInArrow(_merge(length), TABLE)
+    blocks = cut(source.join(F.broadcast(skip) if few else skip, ["id", "sha"], "left_anti").select("id", "bytes").mapInArrow(_block_up, MESSAGE), "blocks")
+    senders = blocks.count()
+    buckets = max(partitions(docs.sparkSession), -(-senders * BLOCK_BYTES // BUCKET_BYTES))
+    answers = through_tree(blocks.mapInArrow(_grams(length, buckets), MESSAGE), senders, _repeated, _all_grams, _deal_masks)
+    runs = blocks.unionByName(answers).groupBy("block").applyInArrow(_runs(length, buckets), MESSAGE)
+    covers = _covers(runs, senders, length)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     found = blocks.unionByName(covers).groupBy("block").applyInArrow(_cut_out, schema)
     gone = copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(EMPTY).alias("kept_sha256"))
@@ -65,6 +68,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     return found.unionByName(gone).select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 
 
+def _covers(runs: DataFrame, senders: int, length: int) -> DataFrame:
+    """Removed spans by block. With many blocks, runs are merged in a tree, a group of blocks at a time: a group keeps the first of its equal windows only, so a passage of every block goes on as one suffix a group."""
+    if senders <= common.FAN:
+        return runs.groupBy("bucket").applyInArrow(_merge(length), MESSAGE)
+    groups = -(-senders // common.FAN)
+    grouped = runs.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    merged = cut(grouped.groupBy("group", "bucket").applyInArrow(_merge(length, whole=False), f"{MESSAGE}, run boolean"), "merged-runs")
+    return merged.where("NOT run").drop("run").unionByName(_covers(merged.where("run").drop("run"), groups, length))
+
+
 def _row(block: int, bucket: int, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], names=["block", "bucket", "body"])
 
@@ -149,15 +162,30 @@ def _grams(length: int, buckets: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each block's grams of this bucket: does the gram occur twice or more?"""
-    bodies = [_unpack(b) for b in table["body"].to_pylist()]
-    grams = [np.frombuffer(b[0], np.uint64) for b in bodies]
+def _counted(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct grams of several messages, which of them occur twice or more, and where each message's are among them."""
+    opened = [_unpack(b) for b in bodies]
+    grams = [np.frombuffer(b[0], np.uint64) for b in opened]
     distinct, inverse, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     twice = n > 1
-    twice[inverse[np.concatenate([np.frombuffer(b[1], bool) for b in bodies])]] = True
-    masks = np.split(twice[inverse], np.cumsum([len(g) for g in grams])[:-1])
-    return _table([(block, bucket, _pack(m.tobytes())) for block, bucket, m in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), masks, strict=True)])
+    twice[inverse[np.concatenate([np.frombuffer(b[1], bool) for b in opened])]] = True
+    return distinct, twice, np.split(inverse, np.cumsum([len(g) for g in grams])[:-1])
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """For each block's grams of this bucket: does the gram occur twice or more?"""
+    _, twice, places = _counted(table["body"].to_pylist())
+    return _table([(block, bucket, _pack(twice[x].tobytes())) for block, bucket, x in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), places, strict=True)])
+
+
+def _all_grams(bodies: list[bytes]) -> bytes:
+    distinct, twice, _ = _counted(bodies)
+    return _pack(distinct.tobytes(), twice.tobytes())
+
+
+def _deal_masks(bodies: list[bytes], said: bytes) -> list[bytes]:
+    mask = np.frombuffer(_unpack(said)[0], bool)
+    return [_pack(mask[x].tobytes()) for x in _counted(bodies)[2]]
 
 
 def _runs(length: int, buckets: int):
@@ -197,7 +225,7 @@ def _runs(length: int, buckets: int):
             at = np.arange(length)
             tails = suffix[(at >= lcp[:, None]) & (at < right[:, None])]
             before = reach[stay][np.arange(length - GRAM) < left[:, None]]
-            columns = (lcp.astype(np.uint8), right.astype(np.uint8), left.astype(np.uint8), low_[stay].astype(np.uint8), tails, before, known[stay], ids[text], text.astype(np.int32), a - bounds[text], spans[1].astype(np.int32), spans[2], spans[3])
+            columns = (lcp.astype(np.uint8), right.astype(np.uint8), left.astype(np.uint8), low_[stay].astype(np.uint8), tails, before, known[stay], ids[text], text.astype(np.int32), a - bounds[text], here[stay], spans[1].astype(np.int32), spans[2], spans[3])
             out.append((block, int(gram[part[0]] % np.uint64(buckets)), _pack(*(c.tobytes() for c in columns))))
         return _table(out)
 
@@ -266,8 +294,11 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, prefixes
 
 
-def _merge(length: int):
-    """Removed spans of the windows that a bucket's merged suffixes show to be repeats, by block."""
+def _merge(length: int, whole: bool = True):
+    """Removed spans of the windows that a bucket's merged suffixes show to be repeats, by block.
+
+    Unless these are the ``whole`` table's runs, also a run (marked so) of the suffixes that have a first window among these.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         runs, heads, spans = [], [], []
@@ -283,36 +314,54 @@ def _merge(length: int):
             n = len(lcp)
             reach = np.zeros((n, length - GRAM), np.uint8)
             reach[np.arange(length - GRAM) < left[:, None].astype(np.int64)] = np.frombuffer(c[5], np.uint8)
-            heads.append((np.full(n, block, np.int64), left.astype(np.int64), low.astype(np.int64), reach, np.frombuffer(c[6], np.uint8), *(np.frombuffer(x, k) for x, k in zip(c[7:10], (np.int64, np.int32, np.int64), strict=True))))
-            own = [np.frombuffer(x, k) for x, k in zip(c[10:], (np.int32, np.int64, np.int64), strict=True)]
+            heads.append((left.astype(np.int64), low.astype(np.int64), reach, np.frombuffer(c[6], np.uint8), *(np.frombuffer(x, k) for x, k in zip(c[7:11], (np.int64, np.int32, np.int64, np.int64), strict=True))))
+            own = [np.frombuffer(x, k) for x, k in zip(c[11:], (np.int32, np.int64, np.int64), strict=True)]
             spans.append((np.full(len(own[0]), block, np.int64), *own))
         order, prefixes = merge_runs(runs)
         first = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])))
         place = np.array([first[r] + i for r, i in order], np.int64)
-        block, left, low, reach, known, ids, text, anchor = (np.concatenate(c)[place] for c in zip(*heads, strict=True))
+        left, low, reach, known, ids, text, anchor, block = (np.concatenate(c)[place] for c in zip(*heads, strict=True))
         lcp = np.array(prefixes, np.int64)
         # groups of equal grams, in batches
         edges = np.flatnonzero(np.concatenate(([True], lcp[1:] < GRAM, [True])))
         many = np.diff(edges) > 1
-        start, bounds = 0, edges[1:]
+        start, bounds, stay = 0, edges[1:], np.ones(len(lcp), bool)
         while start < len(lcp):
             end = int(bounds[min(np.searchsorted(bounds, start + 20_000), len(bounds) - 1)])
             rows = np.arange(start, end)
             rows = rows[many[np.searchsorted(edges, rows, "right") - 1]]
             if len(rows):
-                spans.append(_windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length)[0])
+                found, stay[rows] = _windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, length)
+                spans.append(found)
             start = end
-        block, text, begin, end = (np.concatenate(c) for c in zip(*spans, strict=True))
-        order = np.argsort(block, kind="stable")
-        out = []
-        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            if len(part):
-                out.append((int(block[part[0]]), table["bucket"][0].as_py(), _pack(text[part].astype(np.int32).tobytes(), begin[part].tobytes(), end[part].tobytes())))
-        return _table(out)
+        bucket = table["bucket"][0].as_py()
+        out = _by_block(spans, bucket)
+        if whole:
+            return _table(out)
+        kept = np.flatnonzero(stay)
+        lcp = np.minimum.reduceat(lcp[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+        lcp[0] = 0
+        strings = [runs[r][0][i] for r, i in (order[k] for k in kept.tolist())]
+        tails = b"".join([s[p:] for s, p in zip(strings, lcp.tolist(), strict=True)])
+        right, none = np.array([len(s) for s in strings], np.uint8), np.zeros(0, np.int64)
+        before = reach[kept][np.arange(length - GRAM) < left[kept, None]]
+        columns = (lcp.astype(np.uint8), right, left[kept].astype(np.uint8), low[kept].astype(np.uint8), np.frombuffer(tails, np.uint8), before, known[kept], ids[kept], text[kept], anchor[kept], block[kept], none, none, none)
+        out.append((table["group"][0].as_py(), bucket, _pack(*(c.tobytes() for c in columns))))
+        return _table(out).append_column("run", pa.array([False] * (len(out) - 1) + [True]))
 
     return work
 
 
+def _by_block(spans: list[tuple[np.ndarray, ...]], bucket: int) -> list[tuple[int, int, bytes]]:
+    """A message per block with its spans."""
+    block, text, begin, end = (np.concatenate(c) for c in zip(*spans, strict=True))
+    order, out = np.argsort(block, kind="stable"), []
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        if len(part):
+            out.append((int(block[part[0]]), bucket, _pack(text[part].astype(np.int32).tobytes(), begin[part].tobytes(), end[part].tobytes())))
+    return out
+
+
 def _prefix_classes(lcp: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """[row, i]: rows in order agree in their first lengths[i] bytes exactly if their classes are equal; lcp: common prefix with the row before."""
     return np.cumsum(lcp[:, None] < lengths, axis=0, dtype=np.int64)
@@ -323,31 +372,36 @@ def _windows(rows, lcp, left, low, reach, known, ids, block, text, anchor, lengt
 
     A window of a suffix reaches o bytes to the left of the anchor and length - o to the right; two are equal if both agree.
     """
-    offsets = np.arange(length - GRAM + 1)
-    right = _prefix_classes(lcp[rows], length - offsets)
     context = np.ascontiguousarray(reach[rows])
     by_left = np.argsort(context.view(f"V{length - GRAM}").ravel().view(f"S{length - GRAM}"), kind="stable")
     differ = context[by_left[1:]] != context[by_left[:-1]]
     agree = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), length - GRAM)))
-    before = np.empty((len(rows), len(offsets)), np.int64)
-    before[by_left] = _prefix_classes(agree, offsets)
+    del context, differ
     order = np.lexsort((anchor[rows], text[rows], block[rows], ids[rows], known[rows]))
-    n = left[rows][order] - low[rows][order] + 1
-    own = np.repeat(order, n)
-    o = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[rows][order], n)
-    # classes and offsets are under the number of rows and 128: numbers up to 2**63 tell all apart for 2**28 suffixes
-    key = (right[own, o] * (len(rows) + 1) + before[own, o]) * 128 + o
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    fresh = first[inverse] == np.arange(len(key))
-    new = np.zeros(len(rows), bool)
-    new[own[fresh]] = True
-    own, start = own[~fresh], (anchor[rows][own] - o)[~fresh]
-    of, at = block[rows][own], text[rows][own]
-    order = np.lexsort((start, at, of))
-    of, at, start = of[order], at[order], start[order]
-    edge = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + length)))) if len(of) else np.zeros(0, np.int64)
-    last = np.append(edge[1:], len(of)) - 1 if len(of) else edge
-    return (of[edge], at[edge], start[edge], start[last] + length), new
+    new, found = np.zeros(len(rows), bool), []
+    # windows that reach differently far to the left are different: some lengths at a time, fewer for large groups
+    step = max(1, COMPARED // len(rows))
+    for least in range(0, length - GRAM + 1, step):
+        offsets = np.arange(least, min(least + step, length - GRAM + 1))
+        right, before = _prefix_classes(lcp[rows], length - offsets), np.empty((len(rows), len(offsets)), np.int64)
+        before[by_left] = _prefix_classes(agree, offsets)
+        from_ = np.maximum(low[rows][order], least)
+        n = np.maximum(np.minimum(left[rows][order], offsets[-1]) - from_ + 1, 0)
+        own = np.repeat(order, n)
+        o = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(from_, n)
+        # classes and offsets are under the number of rows and 128: numbers up to 2**63 tell all apart for 2**28 suffixes
+        key = (right[own, o - least] * (len(rows) + 1) + before[own, o - least]) * 128 + o
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        fresh = first[inverse] == np.arange(len(key))
+        new[own[fresh]] = True
+        own, start = own[~fresh], (anchor[rows][own] - o)[~fresh]
+        of, at = block[rows][own], text[rows][own]
+        by_start = np.lexsort((start, at, of))
+        of, at, start = of[by_start], at[by_start], start[by_start]
+        edge = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + length)))) if len(of) else np.zeros(0, np.int64)
+        last = np.append(edge[1:], len(of)) - 1 if len(of) else edge
+        found.append((of[edge], at[edge], start[edge], start[last] + length))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)), new
 
 
 def _cut_out(table: pa.Table) -> pa.Table:
