@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.accumulators import Accumulator
@@ -17,7 +18,7 @@ class Progress:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.counts: dict[str, Accumulator] = {}
+        self.counts: dict[str, Accumulator | SimpleNamespace] = {}
         self.finished: set[str] = set()
 
     def counted(self, rows: DataFrame, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ class Progress:
 
         return rows.mapInArrow(run, rows.schema)
 
+    def counter(self, name: str) -> Callable[[int], None]:
+        """For what isn't a table: a function that takes the count under ``name`` so far."""
+        count = self.counts[name] = SimpleNamespace(value=0)
+        return lambda n: setattr(count, "value", n)
+
     def now(self) -> dict[str, int]:
         return {name: count.value for name, count in self.counts.items()}
 

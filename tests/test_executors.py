@@ -278,3 +278,83 @@ def test_csv_quotes(spark):
     names = ["plain", 'a"b', "a,b", " lead", "\tlead", " lead", " lead", "\\.", "\\.x", "trail ", "new\nline"]
     lines = [r.line for r in apply.csv_lines(spark.createDataFrame([(n, 1, 2) for n in names], "path string, size long, mtime long")).collect()]
     assert [x.startswith('"') for x in lines] == [False, True, True, True, True, True, True, True, False, False, True]
+
+
+@pytest.fixture
+def ssh(tmp_path, monkeypatch):
+    """An ssh that notes its arguments and runs the last one here."""
+    (tmp_path / "bin").mkdir()
+    script = tmp_path / "bin/ssh"
+    script.write_text(f"""#!/bin/sh
+echo "$@" >> {tmp_path}/asked
+for last; do :; done
+cd {os.getcwd()} && exec sh -c "$last"
+""")
+    script.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}/bin", prepend=os.pathsep)
+    return tmp_path / "asked"
+
+
+REMOTE = f"{sys.executable} -m driftplan"
+
+
+@pytest.mark.parametrize("side", ["source", "destination"])
+def test_remote_places(spark, trees, ssh, monkeypatch, capsys, side):  # noqa: F811
+    tmp, put = trees
+    put("src", "new/a.txt", b"one", 200)
+    put("dst", "a.txt", b"one", 100)
+    put("src", "0", b"two", 100)
+    put("dst", "false", b"two", 100)
+    put("src", "archived", b"three", 100)
+    put("old", "x", b"three", 50)
+    put("src", "other", b"not there", 100)
+    put("src", "Thumbs.db", b"left out", 100)
+    places = [str(tmp / "src"), str(tmp / "dst")]
+    at = 0 if side == "source" else 1
+    places[at] = f"me@host:2222:{places[at]}"
+    options = ["--sidekick-path", REMOTE, "-i", "/key", "-a", str(tmp / "old"), "-f", "100ms"]
+    if side == "source":
+        assert cli.main(["--list", *options, *places]) == cli.SUCCESS
+        assert [x for x in capsys.readouterr().out.splitlines() if "," in x and " " not in x][-1:] and (tmp / "dst/a.txt").exists()
+    assert cli.main(["-p", str(tmp / "do.sh"), *options, *places]) == cli.SUCCESS
+    commands = (tmp / "do.sh").read_text().splitlines()
+    assert all(c.startswith("ssh me@host '") == (side == "destination") for c in commands) and any("mv -v -n" in c for c in commands)
+    assert cli.main(["-n", *options, *places]) == cli.SUCCESS and "actions would be performed" in capsys.readouterr().out
+    assert cli.main([*options, *places]) == cli.SUCCESS
+    said = capsys.readouterr().out
+    assert "source: 4 files" in said and "failed" not in said
+    found = {os.path.relpath(os.path.join(d, n), tmp / "dst"): int(os.stat(os.path.join(d, n)).st_mtime) for d, _, names in os.walk(tmp / "dst") for n in names}
+    assert found == {"new/a.txt": 200, "0": 100, "archived": 100}
+    asked = ssh.read_text().splitlines()
+    assert set(asked) == {f"-l me -p 2222 -i /key -T host {REMOTE} --{x}" for x in ("version", "agent")}
+
+
+def test_remote_places_without_a_fit_agent(spark, trees, ssh):  # noqa: F811
+    tmp, _ = trees
+    places = [str(tmp / "src"), f"host:{tmp}/dst"]
+    for command in ("false", "echo v1.10.5 #", "echo nonsense #", "sh -c 'exit 3' #"):
+        assert cli.main(["--sidekick-path", command, *places]) == cli.CONNECTION
+    assert cli.main(["--sftp", "--sidekick-path", REMOTE, *places]) == cli.CONNECTION
+    # an agent that can't read the directory
+    assert cli.main(["--sidekick-path", REMOTE, places[0], "host:/nowhere/at/all"]) == cli.SYNC
+
+
+def test_digests_and_actions_of_an_agent_in_batches(spark, trees, monkeypatch):  # noqa: F811
+    from driftplan.operators import remote
+
+    tmp, put = trees
+    for i in range(7):
+        put("dst", f"f{i}", b"x" * i, 100)
+    monkeypatch.setattr(remote, "BATCH", 3)
+    tree, told = remote.AgentTree(spark, agent.serve), []
+    rows = tree.scan(str(tmp / "dst"), [], tell=told.append)
+    assert sorted((r.path, r.size) for r in rows.collect()) == [(f"f{i}", i) for i in range(7)] and told == [7]
+    asked = rows.select("path").unionByName(spark.createDataFrame([("gone",)], "path string"))
+    found = {r.path: (r.size, r.error is None) for r in tree.digests(asked, str(tmp / "dst"), told.append).collect()}
+    assert found == {f"f{i}": (i, True) for i in range(7)} | {"gone": (None, False)} and told[-1] == 8
+    ordered = spark.createDataFrame([(i + 1, "touch", f"f{i}", f"f{i}", 300 + i) for i in range(7)] + [(8, "move", "gone", "there", None)], "emit_seq long, kind string, from_path string, to_path string, mtime long")
+    assert [(n, fine) for n, fine, _ in tree.perform(ordered, str(tmp / "dst"))] == [(i + 1, i < 7) for i in range(8)]
+    assert [int(os.stat(tmp / f"dst/f{i}").st_mtime) for i in range(7)] == [300 + i for i in range(7)]
+    assert tree.digests(rows.where("false"), str(tmp / "dst")).count() == 0
+    with pytest.raises(OSError):
+        tree.scan(str(tmp / "gone"), [])
