@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftplan.llm import stages
+from driftplan.storage import scope
 
 STAGES = [
     ("language", stages.language_stage),
@@ -19,8 +20,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written to the shared folder and read again."""
+    """All stages over ``documents``, each stage's result written to the shared folder and read again. What a stage writes on its way is deleted when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stages.written(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = stages.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
