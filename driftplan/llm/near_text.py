@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ LIST_SIDE, FAMILY_SIDE = 512, 256
 #: Shingles of a document up to which a piece is dealt by number; pieces of longer ones have fewer documents.
 HEAVY = 4_000
 CHUNK_CHARS = 500_000
+#: Pairs that are left to confirm, beyond which common shingles are counted along postings instead of pair by pair.
+MANY = 256
 
 
 def shingles(texts: list[str], width: int) -> list[np.ndarray]:
@@ -149,19 +151,24 @@ def _connect(signature: np.ndarray, n: np.ndarray, root: np.ndarray, percent: in
 
     Collisions of a few rows, members of the smallest components, are counted with all others at a time. Pairs that are
     connected already are skipped, and it ends when all that is left is connected: a group of near copies takes one step.
+    Where that takes more, collisions are counted along the lists of rows with a value in common.
     """
-    active, step = np.arange(len(root)), 1
+    active, step, common = np.arange(len(root)), 1, None if hashes is None else _Postings(lambda: np.concatenate(hashes), n)
+    values = _Postings(lambda: (signature + (np.arange(signature.shape[1]) << 32)).ravel(), np.full(len(root), signature.shape[1]))
     while len(active) and (root[active] != root[active[0]]).any():
         own = root[active]
         order = np.lexsort((own, np.bincount(own, minlength=len(root))[own]))
         pivots, active = active[order[:step]], active[np.sort(order[step:])]
         every = np.concatenate((pivots, active))
-        hits = np.count_nonzero(signature[pivots][:, None, :] == signature[every][None, :, :], axis=2)
+        if step > 4 and len(every) > 64:
+            hits = np.stack([values.with_every(p)[every] for p in pivots.tolist()])
+        else:
+            hits = np.count_nonzero(signature[pivots][:, None, :] == signature[every][None, :, :], axis=2)
         a, b = np.nonzero(hits >= SHARED)
         x, y, hits = pivots[a], every[b], hits[a, b]
         fit = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
         x, y, hits = x[fit], y[fit], hits[fit]
-        root = merge_roots(root, x, y) if hashes is None else _confirm(x, y, hits, root, hashes, percent)
+        root = merge_roots(root, x, y) if common is None else _confirm(x, y, hits, root, hashes, common, percent)
         step = min(64, 4 * step)
     return root
 
@@ -212,12 +219,44 @@ def _links(families: DataFrame, classes: DataFrame, source: DataFrame, width: in
     return _linked(sets, "family", "id", FAMILY_SIDE, FAMILY_SIDE * HEAVY, ("n", "hashes", "signature"), find)
 
 
-def _confirm(x: np.ndarray, y: np.ndarray, hits: np.ndarray, root: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
-    """Roots after comparing full sets of the pairs x-y, best first, as long as they aren't connected."""
+class _Postings:
+    """Lists of the rows that hold an element, to count what rows have in common. Made when they are first needed."""
+
+    def __init__(self, elements: Callable[[], np.ndarray], sizes: np.ndarray):
+        self.elements, self.sizes, self.rows = elements, sizes, None
+
+    def with_every(self, one: int) -> np.ndarray:
+        """How many elements of one row each row holds, counted along their lists."""
+        if self.rows is None:
+            self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
+            self.place = np.unique(self.elements(), return_inverse=True)[1].astype(np.int32)
+            order = np.argsort(self.place, kind="stable")
+            self.rows = (np.searchsorted(self.ends, order, "right") - 1).astype(np.int32)
+            self.lists = np.concatenate(([0], np.cumsum(np.bincount(self.place))))
+        own = self.place[self.ends[one] : self.ends[one + 1]]
+        start, n = self.lists[own], self.lists[own + 1] - self.lists[own]
+        start, n = start[n > 1], n[n > 1]  # lists with this row alone are skipped
+        at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        return np.bincount(self.rows[at], minlength=len(self.sizes))
+
+
+def _confirm(x: np.ndarray, y: np.ndarray, hits: np.ndarray, root: np.ndarray, hashes: list[np.ndarray], common: _Postings, percent: int) -> np.ndarray:
+    """Roots after comparing full sets of the pairs x-y, best first, as long as they aren't connected.
+
+    Where the best ones leave many pairs apart, as among documents that share much and aren't alike, the common shingles of
+    each x with all others are counted at once.
+    """
     turn = 1
     order = np.lexsort((y, x, -hits))
     x, y = x[order], y[order]
     while len(x):
+        if turn > 2 and len(x) > MANY:
+            hit = np.zeros(len(x), bool)
+            for one in np.unique(x).tolist():
+                at = np.flatnonzero(x == one)
+                n = common.with_every(one)[y[at]]
+                hit[at] = 100 * n >= percent * (common.sizes[one] + common.sizes[y[at]] - n)
+            return merge_roots(root, x[hit], y[hit])
         # the best pairs of every document that are left: one each, then twice as many each time
         now = (_places(x) < turn) | (_places(y) < turn)
         hit = np.array([_similar(hashes[p], hashes[q], percent) for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True)], bool)

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_operators import ODD, TOKENS, frame
+from test_operators import ODD, TOKENS, frame, roots
 
-from driftplan.llm import common, language, mixing, near_vectors, packing, private, quality, repeats, token_counts
+from driftplan.llm import common, language, mixing, near_text, near_vectors, packing, private, quality, repeats, token_counts
 
 
 def test_letters():
@@ -222,3 +222,20 @@ def test_padding_of_packed_sequences(spark, small, capacity):
     found = packing.pack(docs, TOKENS["op3"], capacity=capacity).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
     odd = found[(found != capacity) & (found & (found - 1) != 0)]
     assert (found <= capacity).all() and (capacity - odd).sum() <= 0.001 * found.sum()
+
+
+@pytest.mark.parametrize("many", [4, 10**9])
+def test_documents_that_share_much(monkeypatch, many):
+    """Families in which most pairs are near the threshold, some above: what is linked, pair by pair and along postings."""
+    monkeypatch.setattr(near_text, "MANY", many)
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate((rng.choice(100, rng.integers(75, 100), replace=False), rng.integers(1000, 10**9, rng.integers(0, 14))))).astype(np.uint64) for _ in range(220)]
+    signature, n = near_text.signatures(sets), np.array([len(s) for s in sets])
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    near = 100 * common >= 75 * (n[:, None] + n - common)
+    assert 0.02 < near.mean() < 0.9
+    wanted = roots(len(sets), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i != j])
+    assert near_text._connect(signature, n, np.arange(len(sets)), 75, sets).tolist() == wanted
+    hits = (signature[:, None, :] == signature[None]).sum(2)
+    values = near_text._Postings(lambda: (signature + (np.arange(32) << 32)).ravel(), np.full(len(sets), 32))
+    assert all((values.with_every(i) == np.where(np.arange(len(sets)) == i, values.with_every(i), hits[i])).all() for i in range(len(sets)))
