@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from . import segment
 from .common import cut, pieces, safe_parts
-from .packing import _byte_letters, _Ids
+from .packing import REMEMBERED, _byte_letters, _Ids
 from .token_counts import _pack, _unpack
 
 #: Characters of text in a block, and tokenised at a time.
-BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 500_000
+BLOCK_CHARS, CHUNK_CHARS = 6_000_000, 1_000_000
 #: A pair of ids is first id * 2 ** PAIR_BITS + second id.
 PAIR_BITS = 16
 TABLE = "block long, pair long, n long, body binary"
@@ -114,8 +114,7 @@ class _Pieces(_Ids):
         names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
         self.apart = not any(blank in p.lstrip(blank) for p in names)
         self.table = _Table([bytes([int(p[3:-1], 16)]) if library.is_byte(i) else p.replace(blank, " ").encode() for i, p in enumerate(names)])
-        # the library adds a blank to what isn't empty
-        self.encode = lambda word: library.encode(word.decode("utf-8", "surrogatepass")[1:]) if word != b" " else [library.piece_to_id(blank)]
+        self.encode, self.blank = library.encode, [library.piece_to_id(blank)]
         self.known: dict[str, list[int]] = {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +131,19 @@ class _Pieces(_Ids):
         return flat.astype(np.int64), per
 
 
+    def _found(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words, those that aren't remembered encoded together. The library adds a blank to what isn't empty."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        known |= zip(new, self.encode([w[1:] for w in new], num_threads=1), strict=True)
+        if " " in known:
+            known[" "] = self.blank
+        found = [known[w] for w in words]
+        if len(known) > REMEMBERED:
+            known.clear()
+        return found
+
+
 class _Table:
     """The bytes of every id."""
 
@@ -197,7 +209,7 @@ class _Block:
         at = 0
         while at < len(parts):
             end, held = at, 0
-            while end < len(parts) and (end == at or held + len(parts[end]) <= 2 * CHUNK_CHARS):
+            while end < len(parts) and (end == at or held + len(parts[end]) <= CHUNK_CHARS):
                 held += len(parts[end])
                 end += 1
             key, often = self._part(parts[at:end], np.array(of[at:end]), counts, fine, shown)

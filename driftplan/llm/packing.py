@@ -158,15 +158,7 @@ class _Ids:
     def _ids(self, points, starts, offsets, text) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(points))
         first, inverse = segment.distinct_spans(points, starts, ends)
-        known, found = self.known, []
-        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-            word = text[a:b]
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self.encode(word.encode("utf-8", "surrogatepass"))
-            found.append(ids)
-        if len(known) > REMEMBERED:
-            known.clear()
+        found = self._found([text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         n = np.fromiter(map(len, found), np.int64, len(found))
         store = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
         size = n[inverse]
@@ -175,6 +167,18 @@ class _Ids:
         total = np.concatenate(([0], behind))[np.searchsorted(starts, offsets)]
         return store[at], np.diff(total)
 
+    def _found(self, words: list[str]) -> list[list[int]]:
+        """The ids of distinct pre-tokens."""
+        known, found = self.known, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.encode(word.encode("utf-8", "surrogatepass"))
+            found.append(ids)
+        if len(known) > REMEMBERED:
+            known.clear()
+        return found
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others, in order, for U+0100 and up."""
