@@ -17,7 +17,8 @@ from .queries import tokenizer
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    return cut(df, f"stage-{name}")
+    """A stage's result, which outlives the scope that the stage's own intermediate tables belong to."""
+    return cut(df, f"stage-{name}", keep=True)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
