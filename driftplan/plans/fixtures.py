@@ -61,17 +61,23 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("archive_ord", "path", F.length(F.col("text").cast("binary")).cast("long").alias("size"), F.col("mtime").cast("long").alias("mtime"), F.col("text").cast("binary").alias("content"))
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which must be one that tasks and driver see as files."""
+    root = home(spark).removeprefix("file:")
+    if "://" in root.lstrip("/"):
+        raise ValueError(f"{root} isn't a folder of files")
+    path = scoped(spark, f"{root}/{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
 def tree(files: DataFrame, name: str) -> str:
     """Writes files (path, mtime, content) below a new folder in the shared one, by tasks, and gives its path.
 
     Directories get the latest mtime below them, as ``diff.directories`` says. Beside every seventh file by size is a link
-    to it, which scans leave out. The shared folder must be one that tasks see as files.
+    to it, which scans leave out.
     """
-    spark = files.sparkSession
-    root = home(spark).removeprefix("file:")
-    if "://" in root.lstrip("/"):
-        raise ValueError(f"{root} isn't a folder of files")
-    root = scoped(spark, f"{root}/{name}-{uuid.uuid4().hex}")
+    root = folder(files.sparkSession, name)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

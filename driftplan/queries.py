@@ -290,6 +290,17 @@ def script_lines(spark, sf_dir):
     return _script(spark, sf_dir)
 
 
+def _reflink_sql() -> str:
+    copies = "cp -pv \"{DST}/' || from_path || '\" \"{DST}/' || to_path || '\" &&".replace("{DST}", DST)
+    shared = "if [ \"$(uname)\" = \"Darwin\" ]; then cp -pv -c {}; else cp -pv --reflink=auto {}; fi &&".replace("{}", copies[len("cp -pv ") : -len(" &&")])
+    return COMMAND.replace(copies, shared)
+
+
+@query(f"{_reflink_sql()} SELECT seq, command FROM said")
+def script_lines_reflink(spark, sf_dir):
+    return reconcile.commands(_plan(spark, sf_dir, copy_duplicates=True).ordered(), SRC, DST, True).select(F.col("emit_seq").alias("seq"), "command")
+
+
 @query(f"{COMMAND} SELECT seq, 'ssh user@host ''' || replace(command, '''', '''\\''''') || '''' AS command FROM said")
 def script_lines_ssh(spark, sf_dir):
     return _script(spark, sf_dir).withColumn("command", reconcile.over_ssh(F.col("command"), "user@host"))
@@ -640,3 +651,56 @@ def orphan_stream(spark, sf_dir):
     query = changes.orphan_changes(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return changes.current(spark.read.parquet(out))
+
+
+@query(f"{CRC}")
+def digest_tree(spark, sf_dir):
+    """Digests of files, of which at most three ranges of bytes are read."""
+    found = digest.digest_files(_src(spark, sf_dir), fixtures.tree(_src(spark, sf_dir), "source-tree"))
+    return found.select("path", paths.extension(F.col("path")).alias("ext"), "size", "fuzzy_hash")
+
+
+@query(PERFORMED)
+def performed_with_reflink(spark, sf_dir):
+    """Copies by the system's copy command, which shares blocks where the file system can."""
+    roots, plan = _trees(spark, sf_dir)
+    plan.actions = cut(plan.actions, "actions")
+    return apply.savings(apply.performed(plan.executed(), apply.results(plan, roots["destination"], reflink=True)))
+
+
+@query(f"{BASE} SELECT row_number() OVER (ORDER BY path) AS place, path FROM orph")
+def orphan_dump(spark, sf_dir):
+    """The list of orphans that a verbose run leaves, as it is read again."""
+    where = f"{fixtures.folder(spark, 'dump')}/orphans.txt"
+    apply.write_lines(diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content")), where)
+    with open(where, encoding="utf-8") as f:
+        found = f.read().split("\n")
+    return spark.createDataFrame([(i, p) for i, p in enumerate(found, 1) if p], "place long, path string")
+
+
+@query(f"{BASE} SELECT path || ',' || size || ',' || mtime AS line FROM src")
+def command_line_list(spark, sf_dir):
+    """What the command line lists of a real tree."""
+    from . import __main__ as cli
+
+    root, said = fixtures.tree(_src(spark, sf_dir), "source-tree"), []
+    code = cli.run(cli.parser().parse_args(["--list", root, root]), said.append)
+    return spark.createDataFrame([(x,) for x in said if code == cli.SUCCESS], "line string")
+
+
+@query(f"""{COPY}, n AS (SELECT count(*) AS n FROM actions)
+SELECT 'dry run' AS run, 0 AS code, n || ' actions would be performed' AS last FROM n UNION ALL SELECT 'real', 0, n || ' of ' || n || ' actions succeeded' FROM n
+UNION ALL SELECT 'again', 0, '0 of 0 actions succeeded' FROM n UNION ALL SELECT 'no destination', 3, NULL FROM n UNION ALL SELECT 'no option', 1, NULL FROM n""")
+def command_line_runs(spark, sf_dir):
+    """Runs of the command line on real trees: exit codes and what is said last."""
+    from . import __main__ as cli
+
+    roots, rows = [fixtures.tree(f(spark, sf_dir), "tree") for f in (_src, _dst)], []
+    for name, arguments in (("dry run", ["-n", "-c", *roots]), ("real", ["-c", *roots]), ("again", ["-c", *roots]), ("no destination", [roots[0], f"{roots[1]}/none"]), ("no option", ["--none"])):
+        said = []
+        try:
+            code = cli.run(cli.parser().parse_args(arguments), said.append)
+        except cli.Refused as e:
+            code, said = e.code, [None]
+        rows.append((name, code, said[-1]))
+    return spark.createDataFrame(rows, "run string, code int, last string")
