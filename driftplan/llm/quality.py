@@ -64,19 +64,22 @@ def _upper() -> np.ndarray:
 
 def beside(texts: list[str], index: np.ndarray) -> np.ndarray:
     """For each word the sum of the index vectors of those that stand within REACH of it: whole numbers, so that sums agree in any order."""
-    total = np.zeros((TOTAL, DIM), np.int64)
-    index = index.astype(np.int64)
     words, shapes, bounds = tokens(texts)
     of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    for ids in (words, shapes):
+    # of an index vector only the few places count that aren't zero
+    places = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :NONZERO]
+    signs = np.take_along_axis(index, places, axis=1).astype(np.float64)
+    total = np.zeros(TOTAL * DIM)
+    for at in range(0, len(words), STEP):
+        ends = min(at + STEP, len(words))
         for step in range(1, REACH + 1):
-            near = of[step:] == of[:-step]
-            for a, b in ((ids[step:][near], words[:-step][near]), (ids[:-step][near], words[step:][near])):
-                for at in range(0, len(a), STEP):
-                    order = np.argsort(a[at : at + STEP], kind="stable")
-                    found, first = np.unique(a[at : at + STEP][order], return_index=True)
-                    total[found] += np.add.reduceat(index[b[at : at + STEP][order]], first)
-    return total
+            here = np.arange(at, min(ends, len(words) - step))
+            here = here[of[here] == of[here + step]]
+            for ids in (words, shapes):
+                to, other = np.concatenate((ids[here + step], ids[here])), np.concatenate((words[here], words[here + step]))
+                for k in range(NONZERO):
+                    total += np.bincount(to * DIM + places[other, k], signs[other, k], TOTAL * DIM)
+    return total.astype(np.int64).reshape(TOTAL, DIM)
 
 
 def word_vectors(total: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -87,11 +90,19 @@ def word_vectors(total: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: the sums over a task's whole texts, a long one in parts."""
+    import zstandard
+
     index, total = index_vectors(), np.zeros((TOTAL, DIM), np.int64)
     for _, some in pieces(batches, "text", CHUNK_CHARS):
         for part in [some] if len(some) > 1 else [[p] for p in safe_parts(some[0], CHUNK_CHARS)]:
             total += beside(part, index)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+    yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], names=["total"])
+
+
+def _opened(body: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64).reshape(TOTAL, DIM)
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
@@ -164,9 +175,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     drawn = cut(rows.withColumn("at", at).where(F.col("at") < share * float(1 << 63)).withColumn("mark", F.xxhash64("text")).orderBy("at", "mark", "label").limit(sample).repartition(FIT_TASKS, "at"), "labelled")
     if not 0 < drawn.where("label = 1").count() < drawn.count():
         return None
-    total = np.zeros((TOTAL, DIM), np.int64)
-    for r in drawn.select("text").mapInArrow(_summed, "total binary").toLocalIterator():
-        total += np.frombuffer(r["total"], np.int64).reshape(TOTAL, DIM)
+    total = sum(_opened(r["total"]) for r in drawn.select("text").mapInArrow(_summed, "total binary").collect())  # a row per task
     vectors = word_vectors(total, index_vectors())
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

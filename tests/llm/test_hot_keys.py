@@ -202,7 +202,7 @@ def test_word_vectors_from_whole_texts(spark):
     index = quality.index_vectors()
     whole = quality.beside(texts, index)
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    found = [np.frombuffer(r.total, np.int64).reshape(quality.TOTAL, quality.DIM) for r in docs.mapInArrow(quality._summed, "total binary").collect()]
+    found = [quality._opened(r.total) for r in docs.mapInArrow(quality._summed, "total binary").collect()]
     assert (sum(found) == whole).all()
     plain = np.zeros_like(whole)
     words, shapes, bounds = quality.tokens(texts[:2])
