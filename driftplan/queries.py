@@ -229,11 +229,6 @@ def sorted_orphans(spark, sf_dir):
     return numbered(diff.orphans(_src(spark, sf_dir).drop("content"), _dst(spark, sf_dir).drop("content")).select("path"), ["path"], "place")
 
 
-@query("SELECT name FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(tables.DEFAULT_EXCLUSIONS)[:3]) + ") AS t(name)")
-def first_examples(spark, sf_dir):
-    return tables.first_few(spark.createDataFrame([(n,) for n in tables.DEFAULT_EXCLUSIONS], "name string"))
-
-
 CRC = f"""{BASE}, tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
 part AS (SELECT path, ext, size, CASE WHEN size <= 16384 THEN hex(encode(content)) ELSE substr(hex(encode(content)), 1, 16384) || substr(hex(encode(content)), 2 * (size // 2) + 1, 8192) || substr(hex(encode(content)), 2 * (size - 4096) + 1, 8192) END AS h FROM src),
 crc AS (SELECT path, ext, size, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS c FROM part, tbl)
@@ -489,11 +484,20 @@ def fn_parallelism(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.parallelism(F.col("doc_id") % 70).alias("p")).select("doc_id", "p.*")
 
 
-@query("SELECT DISTINCT trim(x) AS name FROM (SELECT unnest(string_split(replace(l, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM (SELECT ' ' || source || chr(13) || chr(10) || chr(10) || lang || '  ' AS l FROM documents)) WHERE trim(x) <> ''")
+EXCLUDED = "SELECT DISTINCT trim(x) AS name FROM (SELECT unnest(string_split(replace(l, chr(13) || chr(10), chr(10)), chr(10))) AS x FROM (SELECT ' ' || source || chr(13) || chr(10) || chr(10) || lang || '  ' AS l FROM documents)) WHERE trim(x) <> ''"
+
+
+@query(EXCLUDED)
 def exclusion_parse(spark, sf_dir):
     return tables.exclusions(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("concat(' ', source, '\r\n\n', lang, '  ') AS value"))
 
 
+@query(f"{EXCLUDED} ORDER BY name LIMIT 3")
+def first_examples(spark, sf_dir):
+    """The first three names that lists of exclusions hold."""
+    return tables.first_few(exclusion_parse(spark, sf_dir))
+
+
 MOUNTS = r"SELECT DISTINCT concat('/dev/', source, '  /mnt/', source, '\040disk ext', {n}, ' rw') AS value FROM {documents}"
 MOUNTED = r"WITH mounts AS (SELECT DISTINCT '/mnt/' || source || ' disk' AS mountpoint, 'ext4' AS fstype FROM documents)"
 
