@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import segment
-from .common import cut, pieces, safe_parts
+from .common import cut, no_surrogates, pieces, safe_parts
 from .packing import REMEMBERED, _byte_letters, _Ids
 from .token_counts import _pack, _unpack
 
@@ -245,7 +245,7 @@ class _Block:
 
     def _part(self, parts: list[str], of: np.ndarray, counts: np.ndarray, fine: np.ndarray, shown: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Tokenises parts of documents, adds to ``counts`` and ``shown``; (document and pair, occurrences) of the parts' links."""
-        raw = [segment_bytes(p) for p in parts]
+        raw = [no_surrogates(p) for p in parts]
         a, per_a = self.one(parts)
         b, per_b = self.other(parts)
         good = given_back(self.one.table, a, per_a, raw) & given_back(self.other.table, b, per_b, raw)
@@ -305,10 +305,6 @@ class _Block:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own), pa.array(n[at : at + 50_000].astype(np.int64)), pa.nulls(len(own), pa.binary())], names=names)
 
 
-def segment_bytes(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
-
-
 def _totals(id_col: str):
     def run(held: pa.Table, answers: pa.Table) -> pa.Table:
         ipc, per, steps, often = _unpack(held["body"][0].as_py())

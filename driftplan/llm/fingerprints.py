@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segment
-from .common import cut, partitions, pieces
+from .common import cut, no_surrogates, partitions, pieces
 
 #: Bins of a fingerprint, low-order bits kept of each, and words of a shingle.
 BINS, BITS, WIDTH = 256, 4, 5
@@ -120,16 +120,12 @@ def _edge(part: int, edge: str, id_, text: str, print_: str, kind: pa.DataType,
 def _beside(ids: list, texts: list[str], own: np.ndarray, next_texts: list[str], following: np.ndarray, kind: pa.DataType, names: list[str], of: tuple[int, int, int]) -> pa.RecordBatch:
     edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, next_texts, strict=True)]
     other = codes(edited, *of)
-    shas = [hashlib.sha256(segment_bytes(t)).hexdigest() for t in edited]
+    shas = [hashlib.sha256(no_surrogates(t)).hexdigest() for t in edited]
     bits = of[1]
     columns = [pa.array(ids, kind), pa.array([len(t) for t in texts], pa.int64()), pa.array(shas), pa.array(packed(own, bits)), pa.array(packed(other, bits)), pa.array(alike(own, other, bits)), pa.array(alike(own, following, bits))]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def segment_bytes(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
-
-
 def codes(texts: list[str], bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> np.ndarray:
     """A row of ``bins`` small numbers per text: the low-order bits of its densified minima. A text without words has a row of 255."""
     least = np.full((len(texts), bins), EMPTY, np.uint64)

@@ -5,6 +5,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import corpus_pipeline
 from test_operators import ODD, frame, roots, shingle_set
 
+from driftplan import storage
 from driftplan.llm import stages
 
 
@@ -44,3 +45,12 @@ def test_stages_with_odd_rows(spark):
     assert all(rows(mixed).count(r) <= 3 * every.count(r) and rows(mixed).count(r) % every.count(r) == 0 for r in every)
     for name in stage:
         assert stage[name](spark, docs.where("false"), "").count() == 0
+
+
+def test_intermediate_tables_go(spark, small):
+    """What stages write on their way is deleted; their results stay until the application ends."""
+    folder = storage.home(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    packed = corpus_pipeline.run(spark, small)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert left == {f"stage-{name}" for name, _ in corpus_pipeline.STAGES[:-1]} and packed.count() > 0
