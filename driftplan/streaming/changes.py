@@ -63,7 +63,7 @@ def orphan_changes(changes: DataFrame) -> DataFrame:
 
     A path's last states are kept under the path. So an epoch reads and writes the state of the paths that changed, however
     large the inventories are; deleted entries keep a number, by which late changes are told. Several changes of a path
-    within an epoch count as the last of them.
+    within an epoch count as the last of them. The session's state store becomes RocksDB, which such state needs.
     """
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     used = changes.select("path", "side", "seq", "size", "mtime", "deleted")
