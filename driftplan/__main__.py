@@ -72,7 +72,7 @@ def checked(options: argparse.Namespace) -> None:
         host, _, path = place.partition(":")
         if not place or not local and not (host.rpartition("@")[2] and path):
             raise Refused(code, f"{place!r} can't be the {which}")
-        if local and not (os.path.isdir(place) and os.access(place, os.R_OK)):
+        if local and (os.path.islink(place) or not os.path.isdir(place) or not os.access(place, os.R_OK)):
             raise Refused(code, f"the {which}, {place!r}, isn't a directory that can be read")
         remote.append(not local)
     if all(remote):

@@ -28,6 +28,12 @@ def test_options(trees, arguments, code):  # noqa: F811
     assert cli.main([a.format(src=tmp / "src", dst=tmp / "dst") for a in arguments]) == code
 
 
+def test_a_link_is_no_place(trees):  # noqa: F811
+    tmp, _ = trees
+    os.symlink(tmp / "src", tmp / "link")
+    assert cli.main([str(tmp / "link"), str(tmp / "dst")]) == cli.SOURCE and cli.main([str(tmp / "src"), str(tmp / "link")]) == cli.DESTINATION
+
+
 def test_run(spark, trees, monkeypatch, capsys):  # noqa: F811
     tmp, put = trees
     monkeypatch.chdir(tmp)
