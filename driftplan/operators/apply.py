@@ -17,7 +17,8 @@ RESULT = "exec_seq long, success boolean, error string"
 def apply(plan, destination_root: str, dry_run: bool = True, reflink: bool = False, files: Files | None = None) -> Iterator[tuple[int, bool, str | None]]:
     """Performs a plan's actions in execution order, touches before the moves of the same file, and tells (exec_seq, success, error) for each.
 
-    It goes on after failures. Copies whose source was moved in this pass read the new place. A dry run does nothing and
+    It goes on after failures. Copies whose source was moved in this pass read the new place; if that move failed, as it does
+    where something is at its target, they read the old one. A dry run does nothing and
     counts every action as a success. ``files``: where the destination is; this machine's files by default.
     """
     moved: dict[str, str] = {}
@@ -78,7 +79,8 @@ def _perform(row, root: str, moved: dict[str, str], reflink: bool, files: Files)
         files.move(os.path.join(root, row["from_path"]), target)
         moved[row["from_path"]] = row["to_path"]
     else:
-        files.copy(os.path.join(root, moved.get(row["from_path"], row["from_path"])), target, row["mtime"], reflink)
+        source = row["planned_from"]
+        files.copy(os.path.join(root, moved.get(source, source)), target, row["mtime"], reflink)
 
 
 def dry_results(executed: DataFrame) -> DataFrame:

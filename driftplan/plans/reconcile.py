@@ -60,10 +60,10 @@ class Plan:
 
 
 def redirected(rows: DataFrame) -> DataFrame:
-    """A copy whose source an earlier action (by exec_seq) moves reads from the move's target."""
+    """A copy whose source an earlier action (by exec_seq) moves reads from the move's target, if that succeeds; planned_from is where it reads otherwise."""
     moved = rows.where("kind = 'move'").select(F.col("from_path").alias("moved"), F.col("to_path").alias("moved_to"), F.col("exec_seq").alias("moved_at"))
     held = rows.join(moved, (F.col("kind") == "copy") & (F.col("phase") == "match") & (F.col("from_path") == F.col("moved")) & (F.col("moved_at") < F.col("exec_seq")), "left")
-    return held.withColumn("from_path", F.coalesce("moved_to", "from_path")).drop("moved", "moved_to", "moved_at")
+    return held.withColumn("planned_from", F.col("from_path")).withColumn("from_path", F.coalesce("moved_to", "from_path")).drop("moved", "moved_to", "moved_at")
 
 
 def reconcile(source: DataFrame, destination: DataFrame, hashes: Column | None = None, mode: str = match.LOCAL, copy_duplicates: bool = False, archives: DataFrame | None = None, directory_times: tuple[DataFrame, DataFrame] | None = None, digest=None, resolve_touches: bool = False, directories: DataFrame | None = None) -> Plan:

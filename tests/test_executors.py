@@ -201,6 +201,20 @@ def test_results_as_a_table(spark, trees):  # noqa: F811
     assert {r.kind: (r.actions, r.successes, r.bytes_saved) for r in apply.savings(done).collect()} == {"mkdir": (1, 1, 0), "touch": (2, 1, 1), "move": (2, 1, 1)}
 
 
+def test_copies_beside_a_move_that_fails(spark, trees):  # noqa: F811
+    """Something else is at the target of a move: copies of the file that should have moved read it where it is."""
+    tmp, put = trees
+    for d in "ABC":
+        put("src", f"{d}/x", b"thing", 100)
+    put("dst", "wrong/x", b"thing", 100)
+    put("dst", "A/x", b"other", 50)
+    plan = planned(spark, tmp, True)
+    plan.actions = storage.cut(plan.actions)
+    told = {(r.kind, r.to_path): r.success for r in apply.performed(plan.executed(), apply.results(plan, str(tmp / "dst"))).collect()}
+    assert told == {("move", "A/x"): False, ("copy", "B/x"): True, ("copy", "C/x"): True, ("mkdir", "B"): True, ("mkdir", "C"): True}
+    assert {p: (tmp / "dst" / p).read_bytes() for p in ("A/x", "B/x", "C/x", "wrong/x")} == {"A/x": b"other", "B/x": b"thing", "C/x": b"thing", "wrong/x": b"thing"}
+
+
 def test_scopes(spark):
     there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
     before = storage.cut(spark.range(3))
