@@ -190,6 +190,7 @@ class _Block:
 
     def __init__(self, one: _Bytes, other: _Pieces, groups: bool):
         self.one, self.other, self.groups = one, other, groups
+        self.shown_ids = one.table.shown + other.table.shown
         self.kind: pa.DataType | None = None
         self.ids, self.shas, self.shown, self.counts, self.chars = [], [], [], [], 0
         self.docs, self.pairs, self.times = [], [], []
@@ -273,15 +274,13 @@ class _Block:
         place_b = np.arange(len(b)) + (before + per_a - (np.cumsum(per_b) - per_b))[group_b]
         last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(a)]
         last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
-        one, other = self.one.table.shown, self.other.table.shown
-        said = np.empty(n, object)
-        size_a, size_b = len(one) // 3, len(other) // 3
-        said[place_a] = [one[i] for i in (a + last_a * size_a).tolist()]
-        said[place_b] = [other[i] for i in (b + last_b * 2 * size_b).tolist()]
-        start = 0
-        said = said.tolist()
+        size_a, size_b = len(self.one.table.sizes), len(self.other.table.sizes)
+        said = np.empty(n, np.int64)
+        said[place_a] = a + last_a * size_a
+        said[place_b] = 3 * size_a + b + last_b * 2 * size_b
+        start, of_id = 0, self.shown_ids.__getitem__
         for i, end in zip(of.tolist(), ends.tolist(), strict=True):
-            shown[i].append(b"".join(said[start:end]))
+            shown[i].append(b"".join(map(of_id, said[start:end].tolist())))
             start = end
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
