@@ -1,5 +1,5 @@
 import pytest
-from oracle import same
+from oracle import TABLES, same
 
 from driftplan.queries import ORACLES, QUERIES
 
@@ -13,6 +13,23 @@ def test_query(spark, small, name):
         assert len(found)
 
 
+def test_tables_in_parts(spark, small, tmp_path):
+    """Tables that are folders of parts are entries like those that are one file, below a link as well; a folder without files isn't a table."""
+    tables, link = tmp_path / "tables", tmp_path / "link"
+    tables.mkdir()
+    link.symlink_to(tables)
+    for i, name in enumerate(TABLES):
+        at = tables / f"{name}.parquet"
+        if i % 2:
+            (at / "day=1").mkdir(parents=True)
+        for part in (at / "part-0.parquet", at / "day=1/part-1.parquet") if i % 2 else (at,):
+            part.write_bytes(b"")
+    found = QUERIES["scan_inventory"](spark, str(link)).toPandas()
+    assert sorted(found.itertuples(index=False, name=None)) == sorted((f"{t}.parquet", False) for t in TABLES)
+    (tables / "hollow.parquet").mkdir()
+    assert [r.path for r in QUERIES["scan_inventory"](spark, str(tables)).where("is_dir").collect()] == ["hollow.parquet"]
+
+
 def test_digest_stands_behind_the_semi_joins(spark, small):
     from pyspark.sql import functions as F
 
