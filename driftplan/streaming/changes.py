@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -17,42 +16,38 @@ def latest(changes: DataFrame) -> DataFrame:
     return _last(changes).where("NOT deleted").drop("deleted", "seq")
 
 
-#: State is kept per key where Spark keeps it for such operators.
+#: State is kept per key where Spark keeps it for such operators. One value a path for both sides: each access is a message.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "seq long, size long, mtime long, deleted boolean"
+STATE = ", ".join(f"{side}_seq long, {side}_size long, {side}_mtime long, {side}_deleted boolean" for side in ("source", "destination"))
+SIDES = {"source": 0, "destination": 4}
 
 
 class _Sides(StatefulProcessor):
     """What either side last said of a path."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {side: handle.getValueState(side, STATE) for side in ("source", "destination")}
-
-    def _held(self) -> dict[str, tuple | None]:
-        return {side: tuple(state.get()) if state.exists() else None for side, state in self.sides.items()}
+        self.state = handle.getValueState("sides", STATE)
 
     @staticmethod
-    def _orphan(held: dict[str, tuple | None]) -> tuple | None:
+    def _orphan(held: list) -> tuple | None:
         """Size and mtime of the source's file where the destination has none like it."""
-        own, other = (s[1:3] if s is not None and not s[3] else None for s in (held["source"], held["destination"]))
+        own, other = (tuple(held[at + 1 : at + 3]) if held[at] is not None and not held[at + 3] else None for at in SIDES.values())
         return None if own is None or own == other else own
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, found = list(self.state.get() or [None] * 8), False
         before = self._orphan(held)
-        for some in rows:
-            for side, own in some.groupby("side"):
-                last = own.loc[own["seq"].idxmax()]
-                if side in held and (held[side] is None or held[side][0] < last["seq"]):
-                    numbers = (None if pd.isna(last[c]) else int(last[c]) for c in ("size", "mtime"))
-                    held[side] = (int(last["seq"]), *numbers, bool(last["deleted"]))
-        for side, state in self.sides.items():
-            if held[side] is not None:
-                state.update(held[side])
+        for row in rows:
+            at = SIDES.get(row.side)
+            if at is not None and (held[at] is None or held[at] < row.seq):
+                held[at : at + 4] = row.seq, row.size, row.mtime, bool(row.deleted)
+                found = True
+        if found:
+            self.state.update(tuple(held))
         after = self._orphan(held)
         if after != before:
             size, mtime = after or before
-            yield pd.DataFrame({"path": [key[0]], "size": [size], "mtime": [mtime], "orphan": [after is not None]})
+            yield Row(path=key[0], size=size, mtime=mtime, orphan=after is not None)
 
     def close(self) -> None:
         pass
@@ -67,7 +62,7 @@ def orphan_changes(changes: DataFrame) -> DataFrame:
     """
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     used = changes.select("path", "side", "seq", "size", "mtime", "deleted")
-    return used.groupBy("path").transformWithStateInPandas(_Sides(), "path string, size long, mtime long, orphan boolean", "Update", "None")
+    return used.groupBy("path").transformWithState(_Sides(), "path string, size long, mtime long, orphan boolean", "Update", "None")
 
 
 def current(changed: DataFrame) -> DataFrame:

@@ -40,3 +40,19 @@ def test_digest_stands_behind_the_semi_joins(spark, small):
     src, dst = fixtures.source(spark, small), fixtures.destination(spark, small)
     plan = match.digested(diff.orphans(src, dst), digest.fuzzy_hash(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("crc32") < plan.index("LeftAnti")
+
+
+def test_a_stream_of_changes_is_no_single_task(spark, small, tmp_path):
+    """The tables' rows are read by as many tasks as there are parts, and what a stream reads is in as many files."""
+    spark.read.parquet(f"{small}/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    log, stream = [], spark.readStream.__class__.parquet
+
+    def noted(self, path, *more):
+        log.append(path)
+        return stream(self, path, *more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(spark.readStream.__class__, "parquet", noted)
+        found = QUERIES["orphan_stream"](spark, str(tmp_path)).toPandas()
+    same(found, ORACLES["orphan_stream"], small)
+    assert all(spark.read.parquet(log[0]).where(f"seq = {seq}").select("_metadata.file_path").distinct().count() > 1 for seq in (1, 2, 3))
