@@ -214,15 +214,22 @@ def _run(options: argparse.Namespace, spark, names: str | None, roots: dict[str,
         total, good, last = plan.actions.count(), 0, time.monotonic()
         if "destination" in trees:
             told = trees["destination"].perform(plan.ordered(), roots["destination"], options.dry_run, options.reflink)
+            for n, (_, fine, error) in enumerate(told, 1):
+                good += fine
+                if not fine:
+                    say(f"action {n} of {total} failed: {error}")
+                if time.monotonic() - last >= frequency:
+                    last = time.monotonic()
+                    say(f"{n} of {total} actions done")
+        elif options.dry_run:
+            good = total
         else:
-            told = apply.apply(plan, roots["destination"], options.dry_run, options.reflink)
-        for n, (_, fine, error) in enumerate(told, 1):
-            good += fine
-            if not fine:
-                say(f"action {n} of {total} failed: {error}")
-            if time.monotonic() - last >= frequency:
-                last = time.monotonic()
-                say(f"{n} of {total} actions done")
+            done = Progress(spark)
+            with done.told(frequency, lambda counts, _: say(f"{sum(counts.values())} of {total} actions done")):
+                failed = cut(apply.results(plan, roots["destination"], reflink=options.reflink, progress=done).where("NOT success"), "failed")
+            good = total - failed.count()
+            for row in failed.orderBy("exec_seq").toLocalIterator():
+                say(f"action {row['exec_seq']} of {total} failed: {row['error']}")
         say(f"{good} actions would be performed" if options.dry_run else f"{good} of {total} actions succeeded")
     except Exception as e:
         raise Refused(SYNC, f"the plan can't be made or carried out: {e}") from e

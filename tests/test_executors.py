@@ -15,6 +15,7 @@ from test_trees import planned, scan, trees  # noqa: F401
 from driftplan import __main__ as cli
 from driftplan import progress, storage
 from driftplan.operators import agent, apply, files
+from driftplan.plans import reconcile
 from driftplan.sources import wire
 from driftplan.streaming import changes
 
@@ -372,3 +373,57 @@ def test_digests_and_actions_of_an_agent_in_batches(spark, trees, monkeypatch):
     assert tree.digests(rows.where("false"), str(tmp / "dst")).count() == 0
     with pytest.raises(OSError):
         tree.scan(str(tmp / "gone"), [])
+
+
+def action_rows(*rows):
+    """A plan of (kind, from, to) without reconciliation, executed in this order."""
+    columns = "phase string, kind string, orphan string, from_path string, planned_from string, to_path string, mtime long, bytes_saved long, exec_seq long"
+    return lambda spark: SimpleNamespace(actions=(df := spark.createDataFrame([("match", kind, to, old, old, to, 100, 0, n) for n, (kind, old, to) in enumerate(rows, 1)], columns)), executed=lambda: reconcile.redirected(df.drop("planned_from")))
+
+
+def snapshot(root):
+    return {os.path.relpath(os.path.join(d, n), root): open(os.path.join(d, n)).read() for d, _, names in os.walk(root) for n in names}
+
+
+@pytest.mark.parametrize("through_agent", [False, True])
+def test_actions_are_performed_by_tasks(spark, trees, through_agent, monkeypatch):  # noqa: F811
+    """The driver gets no rows of a plan whose actions don't meet; those that do end as they do one by one."""
+    tmp, put = trees
+    there = files.AgentFiles(agent.serve, anywhere=True) if through_agent else files.LocalFiles()
+    loose = action_rows(("mkdir", None, "new"), *[("move", f"m{i}", f"new/m{i}") for i in range(40)], *[("copy", f"m{i}", f"copies/c{i}") for i in range(40)], ("touch", "t", "t"))(spark)
+    for name in (*[f"m{i}" for i in range(40)], "t"):
+        put("dst", name, name.encode(), 50)
+    with monkeypatch.context() as patch:
+        patch.setattr(type(loose.actions), "toLocalIterator", lambda self, *_: pytest.fail("rows of the driver") if not self.isEmpty() else iter(()))
+        told = apply.results(loose, str(tmp / "dst"), files=there).collect()
+    assert {r.exec_seq for r in told} == set(range(1, 83)) and len(told) == 82 and all(r.success for r in told)
+    assert snapshot(tmp / "dst") == {f"new/m{i}": f"m{i}" for i in range(40)} | {f"copies/c{i}": f"m{i}" for i in range(40)} | {"t": "t"}
+    assert int(os.stat(tmp / "dst/t").st_mtime) == 100
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tasks_do_what_the_driver_does(spark, trees, seed):  # noqa: F811
+    """Chains, swaps, targets that are others' sources, directories where files were: results and files of a plan in any order of its actions."""
+    tmp, put = trees
+    rng = random.Random(seed)
+    rows = [("move", "a", "b"), ("move", "c", "a"), ("move", "d", "e"), ("copy", "e", "f"), ("copy", "g", "e"), ("move", "h", "i"), ("copy", "h", "h1"), ("copy", "h", "h2"), ("move", "j", "j2/j"), ("mkdir", None, "j"), ("move", "k", "j/k"), ("move", "l", "l2"), ("copy", "l", "l2/x"), ("mkdir", None, "n"), ("move", "m", "n/m"), ("copy", "o", "p"), ("move", "o", "q")]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[:1] != ("mkdir",) or r[2] != "n")  # as in plans, a directory comes before what is put there
+    plan = action_rows(*rows)(spark)
+    for side in ("one", "two"):
+        for name in "abcdeghijklmo":
+            if name != "b":
+                put(side, name, name.encode(), 50)
+    (tmp / "one/j2").mkdir()
+    (tmp / "two/j2").mkdir()
+    wanted = {n: fine for n, fine, _ in apply.apply(plan, str(tmp / "one"), dry_run=False)}
+    told = apply.results(plan, str(tmp / "two"))
+    assert {r.exec_seq: r.success for r in told.collect()} == wanted
+    assert snapshot(tmp / "two") == snapshot(tmp / "one")
+
+
+def test_a_task_that_is_tried_again_finds_its_moves_done(trees):  # noqa: F811
+    tmp, put = trees
+    put("dst", "a", b"a", 50)
+    row = {"kind": "move", "from_path": "a", "to_path": "b"}
+    assert [apply._tried(row, str(tmp / "dst"), {}, False, files.LocalFiles(), again) is None for again in (False, True, False)] == [True, True, False]
