@@ -33,19 +33,20 @@ def apply(plan, destination_root: str, dry_run: bool = True, reflink: bool = Fal
         yield from _one_by_one(rows, destination_root, reflink, files or LocalFiles())
 
 
-def results(plan, destination_root: str, dry_run: bool = False, reflink: bool = False, files: Files | None = None, batch: int = 10_000, progress: Progress | None = None) -> DataFrame:
+def results(plan, destination_root: str, dry_run: bool = False, reflink: bool = False, files: Files | None = None, batch: int = 10_000, progress: Progress | None = None, executed: DataFrame | None = None) -> DataFrame:
     """Performs a plan's actions and tells of them as a table (exec_seq, success, error), written once.
 
     Tasks perform them, where ``files`` can be used in tasks: first touches, directories and copies from where files are,
     then moves, then copies from where moves have put files, at last directories' times. So no action waits for another of
     its kind. Actions that meet another's path (``entangled``) are performed one by one in execution order, by the driver,
     after the moves; of their results no more than ``batch`` are held at a time. Files that tasks can't use are the driver's
-    work throughout. ``progress`` counts what tasks have done.
+    work throughout. ``progress`` counts what tasks have done. ``executed``: the plan's own, where it is written already;
+    ordering a plan costs two sorts of it.
     """
     files, spark = files or LocalFiles(), plan.actions.sparkSession
     if not dry_run and not getattr(files, "anywhere", False):
         return _told(spark, apply(plan, destination_root, dry_run, reflink, files), batch)
-    executed = cut(plan.executed(), "executed")
+    executed = cut(plan.executed(), "executed") if executed is None else executed
     if dry_run:
         return dry_results(executed)
     tied = cut(entangled(executed, destination_root), "entangled")

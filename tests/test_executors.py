@@ -427,3 +427,13 @@ def test_a_task_that_is_tried_again_finds_its_moves_done(trees):  # noqa: F811
     put("dst", "a", b"a", 50)
     row = {"kind": "move", "from_path": "a", "to_path": "b"}
     assert [apply._tried(row, str(tmp / "dst"), {}, False, files.LocalFiles(), again) is None for again in (False, True, False)] == [True, True, False]
+
+
+def test_a_plan_is_ordered_once(spark, small, monkeypatch):
+    """Ordering is two sorts of all actions: what is performed and what is told of it share them."""
+    from driftplan import queries
+
+    orders = []
+    monkeypatch.setattr(reconcile, "numbered", lambda df, order, name: orders.append(name) or storage.numbered(df, order, name))
+    assert queries.QUERIES["performed_by_agent"](spark, small).count() == 4
+    assert orders == ["emit_seq", "exec_seq"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftplan.functions import digest, paths
 from driftplan.operators import apply, diff, match
+from driftplan.plans import fixtures
 from driftplan.plans.reconcile import reconcile
 from driftplan.sources.filetree import FileTree
 from driftplan.streaming.changes import latest, watch
@@ -124,6 +125,28 @@ def test_unreadable_files_are_tolerated_up_to_a_number(spark, tmp_path):
         digest.tolerated(found)
 
 
+def test_files_to_digest_are_dealt_evenly(spark, tmp_path):
+    """A join may leave all files in one part, as small tables are; reading them is the work of all tasks."""
+    one = spark.range(4000).select(F.concat(F.lit("gone/"), F.col("id").cast("string")).alias("path")).coalesce(1)
+    shares = [r["count"] for r in digest.digest_files(one, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 4000 and len(shares) == spark.sparkContext.defaultParallelism and max(shares) < 2 * min(shares)
+
+
+def test_trees_of_fixtures(spark):
+    """Contents, times, and links that name their neighbours: a path that is too long for an inode would cost each link a block."""
+    rows = [(f"d{i % 3}/e/f{i}", 1_000 + i, b"x" * i) for i in range(30)]
+    files = spark.createDataFrame(rows, "path string, mtime long, content binary")
+    for root in (fixtures.tree(files, "some-tree"), fixtures.tree(files.repartition(5), "some-tree")):
+        for path, mtime, content in rows:
+            full = os.path.join(root, path)
+            with open(full, "rb") as f:
+                assert f.read() == content and os.fstat(f.fileno()).st_mtime == mtime
+            assert os.path.lexists(f"{full}.link") == (len(content) % 7 == 0)
+            if len(content) % 7 == 0:
+                assert os.readlink(f"{full}.link") == os.path.basename(path) and os.path.samefile(full, f"{full}.link")
+        assert [os.stat(os.path.join(root, d)).st_mtime for d in ("d0", "d1/e", "d2")] == [1_027, 1_028, 1_029]
+
+
 @pytest.mark.parametrize(("resolve", "copies"), [(False, 1), (True, 0)])
 def test_touched_files_and_archives(spark, resolve, copies):
     schema = "path string, size long, mtime long, content string"
