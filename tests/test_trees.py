@@ -231,6 +231,32 @@ def test_scan_deals_large_directories_and_tells_of_errors(spark, tmp_path, monke
     assert "error" in scan(spark, tmp_path, errors="true").columns
 
 
+def test_scan_sends_no_names_of_files(tmp_path, monkeypatch):
+    """The driver doesn't open directories without directories, and what it gives tasks doesn't grow with the files; each task finds its share."""
+    import pickle
+
+    from driftplan.sources import filetree
+
+    for i in range(300):
+        for d in ("a/b", "a/c"):
+            (tmp_path / d).mkdir(parents=True, exist_ok=True)
+            (tmp_path / d / f"{'long' * 9}{i}").write_bytes(b"x")
+    (tmp_path / "a/c/d").mkdir()
+    wanted = sorted(os.path.relpath(os.path.join(d, n), tmp_path) for d, dirs, files in os.walk(tmp_path) for n in (*dirs, *files))
+    reader, opened = filetree._Reader({"root": str(tmp_path)}), []
+    monkeypatch.setattr(filetree, "NAMES", 50)
+    with monkeypatch.context() as patch:
+        patch.setattr(filetree.os, "scandir", lambda p, real=os.scandir: opened.append(os.path.relpath(p, tmp_path)) or real(p))
+        parts = reader.partitions()
+    assert len(pickle.dumps(parts)) < 100 * len(parts) + 1000 and 10 < len(parts) < 60
+    if os.lstat(tmp_path).st_nlink == 3:  # not all file systems count so
+        assert sorted(opened) == [".", "a", "a/c"]
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == wanted
+    (tmp_path / "a/b/new").mkdir()
+    (tmp_path / "a/b/new/f").write_bytes(b"x")
+    assert {"a/b/new", "a/b/new/f"} <= {r[0] for p in parts for r in reader.read(p)}
+
+
 def test_equal_files_stay_linear(spark):
     n = 10_000
     src = spark.range(n).selectExpr("concat('src/a', id) AS path", "0L AS size", "1L AS mtime", "'' AS hash", "'' AS ext")
